@@ -9,7 +9,8 @@ aggregation of it, and no table of documents or sources reaches the driver.
 
 Rates become copies by systematic rounding in order of size: copies = floor(after) - floor(before), where before and
 after are the sums of rates up to a document and with it. Neighbours have nearly equal sizes, so what a source takes
-differs from its target by about its largest document at most.
+differs from its target by about half its largest document at most; a copy more or less of a few documents of falling
+size then brings it as near as their sizes allow.
 """
 
 from __future__ import annotations
@@ -118,7 +119,27 @@ def mix_sizes(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     firsts = firsts.join(rated, ["source_key", "size"])
     in_part = Window.partitionBy("source_key", "size", "part").orderBy("doc_id")
     out = rows.withColumn("source_key", _key(F.col("source"))).withColumn("k", F.row_number().over(in_part)).join(firsts, ["source_key", "size", "part"])
-    # The half makes the last partial copy of a source round to nearest; the tiny part absorbs the error of the sums.
-    to = lambda k: F.floor(F.col("below") + (F.col("first") + k) * F.col("rate") + 0.5 + 1e-9)
+    to = lambda k: F.floor(F.col("below") + (F.col("first") + k) * F.col("rate") + 0.5 + 1e-9)  # noqa: E731  # the tiny part absorbs the error of the sums
     copies = F.when(F.col("size") > 0, F.least(to(F.col("k")) - to(F.col("k") - 1), F.lit(most))).otherwise(0).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    out = cut(out.select("doc_id", "source_key", "size", "part", "k", "source_size", "target", copies.alias("copies")))
+    changes = _corrections(out, most)
+    out = out.join(changes, ["source_key", "size", "part", "k"], "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def _corrections(rounded: DataFrame, most: int) -> DataFrame:
+    """One copy more or less of a few documents of each source, so that what rounding left is as small as they allow.
+
+    The candidates are the largest and the smallest document of each power of two of sizes, under sixty a source;
+    from the largest on, each is taken that fits into what is still missing or too much.
+    """
+    left = rounded.groupBy("source_key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
+    can = rounded.join(left, "source_key").where("size > 0").where(F.when(F.col("left") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0))
+    at = F.struct("size", "part", "k")
+    ends = can.groupBy("source_key", F.floor(F.log2("size")).alias("power")).agg(F.max("left").alias("left"), F.max(at).alias("high"), F.min(at).alias("low"))
+    per_source = ends.groupBy("source_key").agg(F.max("left").alias("left"), F.reverse(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("high", "low")))))).alias("can"))
+    start = F.struct(F.abs("left").alias("left"), F.slice("can", 1, 0).alias("taken"))
+    nearer = lambda s, c: c["size"] <= s["left"]
+    step = lambda s, c: F.struct(F.when(nearer(s, c), s["left"] - c["size"]).otherwise(s["left"]).alias("left"), F.when(nearer(s, c), F.array_append(s["taken"], c)).otherwise(s["taken"]).alias("taken"))
+    picked = per_source.select("source_key", F.signum("left").cast("long").alias("change"), F.explode(F.aggregate("can", start, step)["taken"]).alias("c"))
+    return picked.select("source_key", "c.*", "change")

@@ -19,6 +19,12 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.toxicity import toxicity
+
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.llm.exact_dedup import exact_dedup
 
@@ -38,8 +44,14 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix(read(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.langid import language_id
+
+    return language_id(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_harmonic_pack, op3_shards, op7_exact_dedup, op8_entropy_mix)}
+    return {f.__name__: f for f in (op1_harmonic_pack, op3_shards, op5_toxicity, op7_exact_dedup, op8_entropy_mix, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
