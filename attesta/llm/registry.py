@@ -25,6 +25,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.decision_list import quality_rules
+
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.llm.exact_dedup import exact_dedup
 
@@ -51,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_harmonic_pack, op3_shards, op5_toxicity, op7_exact_dedup, op8_entropy_mix, op10_language_id)}
+    return {f.__name__: f for f in (op1_harmonic_pack, op3_shards, op5_toxicity, op6_quality_rules, op7_exact_dedup, op8_entropy_mix, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
