@@ -25,6 +25,7 @@ from attesta.llm.common import SPACE, cut, pick
 #: Runs merged at once, and entries that a node should hold at most.
 FAN_IN = 8
 ENTRIES_PER_NODE = 500_000
+BROADCAST_ROWS = 500_000
 
 _RUN = "node int, digest binary, fingerprint long, chars long, keep_id long, row long, ties long, n long"
 _KEY = ("digest", "fingerprint", "chars")
@@ -142,4 +143,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     gone = cut(gone.select(F.col("doc_id").alias("x_id"), F.col("digest").alias("x_digest"), F.when(same, F.col("row")).alias("x_row")).distinct())
     rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__digest": F.unhex(F.sha2(normalised(F.col("text")), 256))})
     hit = F.col("doc_id").cast("long").eqNullSafe(F.col("x_id")) & (F.col("__digest") == F.col("x_digest")) & (F.col("x_row").isNull() | (F.col("__row") == F.col("x_row")))
-    return rows.join(gone, hit, "left_anti").select(*docs.columns)
+    # Up to BROADCAST_ROWS of some 60 bytes are sent to every task, so that the texts need not move; more are joined.
+    hint = F.broadcast if gone.count() <= BROADCAST_ROWS else lambda x: x
+    return rows.join(hint(gone), hit, "left_anti").select(*docs.columns)

@@ -277,6 +277,15 @@ class JaccardJoin:
         return cut(pairs)
 
 
+def _components(join: JaccardJoin) -> DataFrame:
+    """doc_id, digest, n, component for each row."""
+    linked, classes = join.links()
+    joined = connected_components(linked)
+    rows = join.rows.select("doc_id", "row", "n", "digest").join(classes.select(F.col("digest").alias("d"), F.col("node").alias("class")), F.when(F.col("n") > 0, F.col("digest")) == F.col("d"), "left")
+    rows = rows.select("doc_id", "row", "n", F.coalesce("class", "row").alias("node"))
+    return cut(rows.join(joined.withColumnRenamed("node", "j"), F.col("node") == F.col("j"), "left").select("doc_id", "row", "n", F.coalesce("component", "node").alias("component")))
+
+
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
@@ -284,13 +293,27 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     nothing. Equal sets link. Repeated rows are rows of one component. A null id counts as larger than others, and a
     component of null ids alone has a null id. An empty table gives an empty one. Other columns are ignored.
     """
-    join = JaccardJoin(docs, size, percent, id_col, text_col)
-    linked, classes = join.links()
-    joined = connected_components(linked)
-    rows = join.rows.select("doc_id", "row", "n", "digest").join(classes.select(F.col("digest").alias("d"), F.col("node").alias("class")), F.when(F.col("n") > 0, F.col("digest")) == F.col("d"), "left")
-    rows = rows.select("doc_id", "row", "n", F.coalesce("class", "row").alias("node"))
-    rows = rows.join(joined.withColumnRenamed("node", "j"), F.col("node") == F.col("j"), "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
-    rows = cut(rows)
+    rows = _components(JaccardJoin(docs, size, percent, id_col, text_col))
     ids = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).where("members > 1").select(F.col("component").alias("c"), F.col("component_id").alias("smallest"))
     out = rows.join(ids, F.col("component") == F.col("c"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) with the smallest doc_id of their component, with docs' columns.
+
+    Of rows that share that id, the first read stays.
+    """
+    rows = _components(JaccardJoin(docs, size, percent))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = rows.groupBy("component").agg(F.min(rank).alias("first"), F.count("*").alias("members")).where("members > 1").select(F.col("component").alias("c"), "first")
+    gone = rows.join(first, F.col("component") == F.col("c")).where(F.col("row") != F.col("first.row"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    # Rows go by their id; those that share the id of the row that stays, or another's, also by their number.
+    often = rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("often"))
+    gone = gone.withColumn("numbered", same).join(often, F.col("doc_id").eqNullSafe(F.col("often")), "left")
+    gone = cut(gone.select(F.col("doc_id").alias("x_id"), F.when(F.col("numbered") | F.col("often").isNotNull() | F.col("doc_id").isNull(), F.col("row")).alias("x_row")).distinct())
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    hit = F.col("doc_id").cast("long").eqNullSafe(F.col("x_id")) & (F.col("x_row").isNull() | (F.col("__row") == F.col("x_row")))
+    hint = F.broadcast if gone.count() <= BROADCAST_IDS else lambda x: x
+    return numbered.join(hint(gone), hit, "left_anti").select(*docs.columns)

@@ -198,4 +198,5 @@ def identify(docs: DataFrame, model: Model | None, held_out: Column | None = Non
 
 def language_id(docs: DataFrame) -> DataFrame:
     """Trains on the rows of docs (doc_id, text, lang) that are not held out and identifies all rows."""
+    docs = pick(docs, "doc_id", "text", "lang")
     return identify(docs, train(docs.where(not_held_out(F.col("doc_id")))))

@@ -26,6 +26,8 @@ MAX_COPIES = 2
 STEPS = 40
 #: Parts of the documents of one source and size, numbered on their own.
 PARTS = 1024
+#: Rows of three numbers that are sent to every task so that texts need not move; more are joined.
+BROADCAST_ROWS = 1_000_000
 
 
 def token_targets(totals: DataFrame, weights=WEIGHTS, share=SHARE, most=MAX_COPIES) -> DataFrame:
@@ -100,6 +102,20 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return mix_sizes(cut(rows), weights, share, most)
 
 
+def take_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, source and any others) as often as the mix takes them, with docs' columns."""
+    rows = docs.select(F.col("doc_id"), F.col("source"), F.size(words(F.col("text"))).cast("long").alias("size"))
+    copies = mix_sizes(cut(rows)).where("copies > 0")
+    # Rows that repeat an id and size share their copies out evenly.
+    copies = copies.groupBy("doc_id", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    copies = copies.select(F.col("doc_id").alias("x_id"), F.col("size").alias("x_size"), F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("x_copies"))
+    sized = docs.withColumn("__size", F.size(words(F.col("text"))).cast("long"))
+    hint = F.broadcast if copies.count() <= BROADCAST_ROWS else lambda x: x
+    hit = F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("__size") == F.col("x_size"))
+    taken = sized.join(hint(copies), hit).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("x_copies"))))
+    return taken.select(*docs.columns)
+
+
 def mix_sizes(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MAX_COPIES) -> DataFrame:
     """As entropy_mix, of rows (doc_id, source, size)."""
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))

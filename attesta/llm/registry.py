@@ -13,12 +13,24 @@ def op1_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_pack(read(spark, sf_dir, "documents"))
 
 
+def op2_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.licences import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.llm.sharding import shard_documents
 
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.quality import classify
+
+    return classify(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.llm.toxicity import toxicity
 
@@ -74,8 +86,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_harmonic_pack, op3_shards, op5_toxicity, op6_quality_rules, op7_exact_dedup, op8_entropy_mix, op9_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_harmonic_pack, op2_licence_sentences, op3_shards, op4_quality_classifier, op5_toxicity, op6_quality_rules, op7_exact_dedup, op8_entropy_mix, op9_jaccard_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op9_jaccard_join": OP9_SQL}
+    from attesta.llm.licences import scan_sql
+
+    return {"op2_licence_sentences": scan_sql(), "op7_exact_dedup": OP7_SQL, "op9_jaccard_join": OP9_SQL}
