@@ -1,17 +1,591 @@
-"""The registered queries and the SQL that says what each has to return."""
+"""The registered queries over the test tables and, where SQL can say it, what each has to return.
+
+Few texts in the tables hold citations, laws or photos, so such inputs are derived: expressions that mean the same in
+both engines build them from columns of the star schema.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from attesta.functions import text as T
+from attesta.functions import validators as V
+from attesta.operators import checklist, gate, law, notice, photos, pii, references
+from attesta.sources import documents, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- Sensitive data ---------------------------------------------------------------------------------------------------
+
+_NW = r"[^\p{L}\p{M}\p{N}_]"
+
+
+def _found(kind: str, core: str, check: str = "true") -> str:
+    return rf"""l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\r\n?|[\x0B\x0C\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\r\n?|[\x0B\x0C\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), chr(10)), 1) AS line_no FROM documents),
+f AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '(?:^|{_NW})({core})', 1)) AS v FROM l)"""
+
+
+def _rule(kind: str) -> list[pii.Rule]:
+    return [r for r in pii.RULES if r.kind == kind]
+
+
+@query(f"WITH {_found('email', r'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}')} SELECT doc_id, CAST(line_no AS INT) AS line, v AS value, CASE WHEN strpos(v, '@') > 3 THEN v[1:2] || '***@' || split_part(v, '@', 2) ELSE '***@***.***' END AS masked FROM f")
+def pii_email_findings(spark, d):
+    return pii.scan(table(spark, d, "documents"), rules=_rule("email")).select("doc_id", "line", "value", "masked")
+
+
+@query(
+    rf"""WITH {_found('ipv4', r'[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}')},
+p AS (SELECT *, list_transform(string_split(v, '.'), lambda x: CAST(x AS INT)) AS p FROM f)
+SELECT doc_id, CAST(line_no AS INT) AS line, v AS value, p[1] || '.' || p[2] || '.***.***' AS masked,
+       p[1] IN (0, 10, 127) OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31) OR (p[1] = 192 AND p[2] = 168) AS reserved
+FROM p WHERE p[1] <= 255 AND p[2] <= 255 AND p[3] <= 255 AND p[4] <= 255 AND NOT regexp_matches(v, '(^|[.])0[0-9]')"""
+)
+def pii_ipv4_findings(spark, d):
+    f = pii.scan(table(spark, d, "documents"), rules=_rule("ipv4"))
+    return f.select("doc_id", "line", "value", "masked", V.ip_reserved(F.col("value")).alias("reserved"))
+
+
+_LUHN = """list_sum(list_transform(range(1, len(n) + 1), lambda i: CASE WHEN (len(n) - i) % 2 = 1 THEN (CAST(n[i] AS INT) * 2) // 10 + (CAST(n[i] AS INT) * 2) % 10 ELSE CAST(n[i] AS INT) END)) % 10 = 0"""
+
+
+@query(
+    rf"""WITH {_found('credit_card', r'[0-9]{4}[\s-]?[0-9]{4,6}[\s-]?[0-9]{4,7}[\s-]?[0-9]+')}, g AS (SELECT *, regexp_replace(v, '[\s-]', '', 'g') AS n FROM f)
+SELECT doc_id, CAST(line_no AS INT) AS line, v AS value, '**** **** **** ' || right(n, 4) AS masked FROM g WHERE {_LUHN}"""
+)
+def pii_card_luhn(spark, d):
+    return pii.scan(table(spark, d, "documents"), rules=_rule("credit_card")).select("doc_id", "line", "value", "masked")
+
+
+@query()
+def pii_findings(spark, d):
+    return pii.scan(table(spark, d, "documents"))
+
+
+@query()
+def pii_type_summary(spark, d):
+    return pii.type_summary(pii.scan(table(spark, d, "documents")))
+
+
+@query()
+def pii_doc_risk(spark, d):
+    return pii.document_risk(pii.scan(table(spark, d, "documents")))
+
+
+@query()
+def pii_risk_by_lang(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    risk = pii.document_risk(pii.scan(docs))
+    return docs.select("doc_id", "lang").join(risk, "doc_id", "left").groupBy("lang", F.coalesce("risk", F.lit("NONE")).alias("risk")).agg(F.count("*").alias("n"))
+
+
+@query()
+def pii_top40(spark, d):
+    return pii.top_findings(pii.scan(table(spark, d, "documents"))).select("doc_id", "line", "start", "type", "masked", "confidence")
+
+
+@query()
+def pii_masked_text(spark, d):
+    docs = table(spark, d, "documents")
+    return pii.masked_copies(docs, pii.scan(docs))
+
+
+@query()
+def pii_report(spark, d):
+    return pii.report_lines(pii.scan(table(spark, d, "documents")))
+
+
+#: Each card's number after a phone number that touches it: the one of higher priority stays.
+@query(
+    """SELECT p_partkey AS doc_id, CAST(0 AS INT) AS start, 'business_number' AS type, v AS value FROM (SELECT p_partkey, lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || '-12-' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') AS v FROM part) WHERE
+(CAST(v[1] AS INT) + 3 * CAST(v[2] AS INT) + 7 * CAST(v[3] AS INT) + 1 + 3 * 2 + 7 * CAST(v[8] AS INT) + CAST(v[9] AS INT) + 3 * CAST(v[10] AS INT) + 5 * CAST(v[11] AS INT)) % 10 = (5 * CAST(v[11] AS INT)) // 10
+UNION ALL SELECT p_partkey, CAST(15 AS INT), 'toll_free', '1588-' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') FROM part"""
+)
+def pii_overlap_kept(spark, d):
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr("lpad(cast(p_partkey % 1000 as string), 3, '0') || '-12-' || lpad(cast(p_partkey as string), 5, '0') || ' / 1588-' || lpad(cast(p_partkey % 10000 as string), 4, '0')").alias("text"))
+    return pii.scan(t, rules=[r for r in pii.RULES if r.kind in ("business_number", "toll_free")]).select("doc_id", "start", "type", "value")
+
+
+# -- Text -------------------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS normalized FROM documents")
+def text_normalize(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize_reference(F.col("text")).alias("normalized"))
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '[.?！；;:\n]+'), lambda x: trim(x)), lambda x: x <> '')) AS INT) AS n_sentences FROM documents")
+def sentence_split(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(T.checklist_sentences(F.col("text"))).alias("n_sentences"))
+
+
+@query(r"SELECT conv_id, turn, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '[.?！；;:\n]+'), lambda x: trim(x)), lambda x: x <> '')) AS INT) AS n_sentences FROM conversations")
+def conversation_sentences(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(T.checklist_sentences(F.col("text"))).alias("n_sentences"))
+
+
+@query("SELECT item_id, length(text) >= 80 AND length(trim(text[11:70])) >= 15 AS found FROM benchmark")
+def quote_exists(spark, d):
+    b = table(spark, d, "benchmark")
+    return b.select("item_id", ((F.length("text") >= 80) & T.quote_exists(F.trim(F.substring("text", 11, 60)), F.lit(""), F.col("text"))).alias("found"))
+
+
+@query()
+def title_similarity(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name", F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("other"))
+    return p.select("p_partkey", T.title_similarity(F.col("p_name"), F.col("other")).alias("similarity"))
+
+
+# -- References -------------------------------------------------------------------------------------------------------
+
+_REF = "'[' || p_partkey || '] Kim, A. (' || (1990 + p_size % 30) || '). ' || p_name || '. Journal of Parts. ' || CASE WHEN p_partkey % 4 = 0 THEN 'arXiv:2101.' || (10000 + p_partkey % 90000) WHEN p_partkey % 4 = 1 THEN 'https://example.org/p/' || p_partkey ELSE 'doi:10.' || (1000 + p_partkey % 9000) || '/x' || p_partkey END || '.'"
+
+
+def _refs(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("ref_id"), F.expr(_REF).alias("raw"), "p_name", "p_size")
+
+
+@query(
+    rf"""WITH r AS (SELECT p_partkey AS ref_id, {_REF} AS raw FROM part)
+SELECT ref_id, nullif(regexp_replace(regexp_extract(raw, '(?i)(10\.\d{{4,9}}/[^\s"<>)]+)', 1), '[.,;:)]+$', ''), '') AS doi,
+ nullif(regexp_extract(raw, '(?i)arxiv[:\-]\s*(\d{{4}}\.\d{{4,5}})', 1), '') AS arxiv,
+ nullif(regexp_replace(regexp_extract(raw, '(https?://[^\s"<>)]+)', 1), '[.,;:)\]]+$', ''), '') AS url,
+ regexp_extract(raw, '\((19[5-9]\d|20[0-4]\d)\)', 1) AS year, 'article' AS kind FROM r"""
+)
+def ref_parse_fields(spark, d):
+    return references.parse_references(_refs(spark, d)).select("ref_id", "doi", "arxiv", "url", "year", "kind")
+
+
+@query("SELECT ref_id, status, similarity FROM (SELECT p_partkey AS ref_id, CASE WHEN p_partkey % 4 >= 2 THEN 'verified' ELSE 'unverified' END AS status, CASE WHEN p_partkey % 4 >= 2 THEN 1.0 END AS similarity FROM part)")
+def ref_verify(spark, d):
+    refs = references.parse_references(_refs(spark, d)).withColumn("title", F.col("p_name"))
+    registry = table(spark, d, "part").where("p_partkey % 4 >= 2").select(F.expr("'10.' || (1000 + p_partkey % 9000) || '/x' || p_partkey").alias("doi"), F.lit(None).cast("string").alias("arxiv"), F.col("p_name").alias("title"), F.lit("Kim").alias("first_author"), F.expr("cast(1990 + p_size % 30 as string)").alias("year"))
+    # Titles of the test table repeat, so only ids are compared here.
+    out = references.verify(refs.withColumn("title", F.when(F.col("doi").isNotNull(), F.col("title"))), registry)
+    return out.select("ref_id", "status", F.col("similarity"))
+
+
+@query(
+    f"""WITH t AS (SELECT p_size AS doc_id, string_agg({_REF}, chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY p_size),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS item FROM t)
+SELECT doc_id, count(*) AS n_items, CAST(sum(length(trim(item))) AS BIGINT) AS n_chars FROM l GROUP BY doc_id"""
+)
+def ref_split_numbered(spark, d):
+    t = table(spark, d, "part").groupBy(F.col("p_size").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.expr(_REF).alias("r")))), lambda x: x["r"]), "\n").alias("text"))
+    return references.split_items(t, "numbered").groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum(F.length("item")).alias("n_chars"))
+
+
+#: Elements of an order: line items over pages of three; every fourth one continues its predecessor.
+def _elements(spark, d):
+    text = "case when l_linenumber % 4 = 0 then 'continued part ' || l_partkey else '[' || l_linenumber || '] Kim, A. (2001). Part ' || l_partkey end"
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.expr("cast((l_linenumber + 2) div 3 as int)").alias("page"), F.lit("paragraph").alias("category"), F.expr(text).alias("text"), F.expr("(l_partkey % 2) * 0.5D").alias("x"), F.expr("cast(l_suppkey % 7 as double)").alias("y"), F.lit(0.4).alias("w"), F.lit(0.1).alias("h"))
+
+
+@query(
+    """SELECT l_orderkey AS doc_id, l_linenumber AS ord, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_linenumber + 2) // 3, CASE WHEN (l_partkey % 2) * 0.5 + 0.2 >= 0.5 THEN 1 ELSE 0 END, l_suppkey % 7, l_linenumber) AS INT) AS position FROM lineitem"""
+)
+def reading_order(spark, d):
+    return references.reading_order(_elements(spark, d)).select("doc_id", "ord", "position")
+
+
+@query(
+    """WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber AS position, l_linenumber % 4 <> 0 AS marked, (l_linenumber + 2) // 3 AS page FROM lineitem),
+w AS (SELECT *, max(CASE WHEN marked THEN position END) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e),
+t AS (SELECT w.*, p.page AS last_page FROM w LEFT JOIN e p ON p.doc_id = w.doc_id AND p.position = w.last),
+k AS (SELECT doc_id, CASE WHEN NOT marked AND page = last_page + 1 THEN last ELSE position END AS position, marked FROM t)
+SELECT doc_id, CAST(position AS INT) AS position, count(*) AS parts, bool_or(marked) AS marked FROM k GROUP BY 1, 2"""
+)
+def ref_cross_page_merge(spark, d):
+    e = _elements(spark, d).withColumn("position", F.col("ord")).withColumn("item", F.lit(0)).withColumn("marked", F.col("text").rlike(references.NUMBERED))
+    return references.merge_across_pages(e).select("doc_id", "position", "parts", "marked")
+
+
+@query(
+    """WITH e AS (SELECT o_orderkey AS doc_id, l_linenumber AS position, l_linenumber = 1 + o_orderkey % 7 AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+a AS (SELECT *, min(CASE WHEN h THEN position END) OVER (PARTITION BY doc_id) AS at FROM e)
+SELECT doc_id, CAST(position AS INT) AS position, CASE WHEN at IS NULL OR position < at THEN 'body' WHEN position = at THEN 'heading' ELSE 'references' END AS section FROM a"""
+)
+def section_split(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("position"), F.expr("case when l_linenumber = 1 + l_orderkey % 7 then 'References' else 'text' end").alias("text"))
+    return references.split_sections(e).select("doc_id", "position", "section")
+
+
+@query()
+def reference_extraction(spark, d):
+    e = _elements(spark, d)
+    head = e.select("doc_id").distinct().select("doc_id", F.lit(0).alias("ord"), F.lit(0).alias("page"), F.lit("heading1").alias("category"), F.lit("References").alias("text"), *(F.lit(0.0).alias(c) for c in "xywh"))
+    return references.extract_references(head.unionByName(e))
+
+
+_CLAIM = "'Part ' || l_partkey || ' was shipped as stated [' || (l_partkey % 50) || ']. See Kim (' || (1990 + l_suppkey % 30) || ') for line ' || l_linenumber || '.'"
+
+
+def _claims(spark, d):
+    return references.extract_claims(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.lit(1).alias("page"), F.expr(_CLAIM).alias("text")))
+
+
+_CLAIMS_SQL = """c AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, 0 AS sentence_no, 'number' AS marker_type, CAST(l_partkey % 50 AS VARCHAR) AS marker_value FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, 1, 'author_year', 'Kim, ' || (1990 + l_suppkey % 30) FROM lineitem)"""
+
+
+@query(f"WITH {_CLAIMS_SQL} SELECT doc_id, CAST(ord AS INT) AS ord, CAST(sentence_no AS INT) AS sentence_no, marker_type, marker_value FROM c")
+def claim_markers(spark, d):
+    return _claims(spark, d).select("doc_id", "ord", "sentence_no", "marker_type", "marker_value")
+
+
+@query(f"WITH {_CLAIMS_SQL} SELECT doc_id, count(*) AS n_claims, count(DISTINCT marker_value) AS n_markers FROM c GROUP BY doc_id")
+def claims_per_doc(spark, d):
+    return _claims(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_claims"), F.count_distinct("marker_value").alias("n_markers"))
+
+
+#: The list of an order: numbers 0 to 24.
+_LISTED_SQL = "r AS (SELECT doc_id, i AS ref_id, 'number' AS marker_type, CAST(i AS VARCHAR) AS marker_value FROM (SELECT DISTINCT l_orderkey AS doc_id FROM lineitem), range(0, 25) t(i))"
+
+
+def _listed(spark, d):
+    orders = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id")).distinct()
+    return orders.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("ref_id")).withColumn("text", F.concat(F.lit("["), "ref_id", F.lit("] Lee, B. (2000). Title.")))
+
+
+@query(f"WITH {_CLAIMS_SQL}, {_LISTED_SQL} SELECT r.doc_id, r.marker_value FROM r ANTI JOIN c USING (doc_id, marker_type, marker_value)")
+def link_uncited(spark, d):
+    listed = _listed(spark, d).select("doc_id", references.reference_marker(F.col("text")).alias("m")).select("doc_id", "m.*")
+    return references.link_report(_claims(spark, d), listed)[0].select("doc_id", "marker_value")
+
+
+@query(f"WITH {_CLAIMS_SQL}, {_LISTED_SQL} SELECT DISTINCT c.doc_id, c.marker_type, c.marker_value FROM c ANTI JOIN r USING (doc_id, marker_type, marker_value)")
+def link_missing(spark, d):
+    listed = _listed(spark, d).select("doc_id", references.reference_marker(F.col("text")).alias("m")).select("doc_id", "m.*")
+    return references.link_report(_claims(spark, d), listed)[1]
+
+
+@query(f"WITH {_CLAIMS_SQL}, {_LISTED_SQL} SELECT c.doc_id, CAST(c.ord AS INT) AS ord, c.marker_value, CAST(r.ref_id AS INT) AS ref_id FROM c LEFT JOIN r USING (doc_id, marker_type, marker_value)")
+def claim_ref_first_match(spark, d):
+    return references.first_matching_reference(_claims(spark, d), _listed(spark, d)).select("doc_id", "ord", "marker_value", "ref_id")
+
+
+_STATUS = "CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN 'verified' WHEN 1 THEN 'partial' WHEN 2 THEN 'unverified' WHEN 3 THEN 'unreachable' ELSE 'not_applicable' END"
+
+
+@query(f"SELECT p_size AS doc_id, count(*) AS total, count(*) FILTER (s = 'verified') AS verified, count(*) FILTER (s = 'partial') AS partial, count(*) FILTER (s = 'unverified') AS unverified, count(*) FILTER (s = 'unreachable') AS unreachable, count(*) FILTER (s = 'not_applicable') AS not_applicable, true AS complete FROM (SELECT p_size, {_STATUS} AS s FROM part) GROUP BY p_size")
+def ref_status_counts(spark, d):
+    return references.status_counts(table(spark, d, "part").select(F.col("p_size").alias("doc_id"), F.expr(_STATUS).alias("status")))
+
+
+@query(f"SELECT l_orderkey AS doc_id, count(*) AS n_misquoted FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND {_STATUS} IN ('verified', 'partial') GROUP BY 1")
+def misquote_count(spark, d):
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("ref_id"), F.expr("case when l_returnflag = 'R' then 'not_supported' else 'supported' end").alias("verdict"))
+    s = l.select("doc_id", "ref_id").distinct().join(table(spark, d, "part").select(F.col("p_partkey").alias("ref_id"), F.expr(_STATUS).alias("status")), "ref_id")
+    return references.misquoted(l, s).groupBy("doc_id").agg(F.count("*").alias("n_misquoted"))
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey AS ref_id, l_linenumber AS cand_ord, CAST(l_quantity AS INT) / 50.0 - CASE WHEN l_returnflag = 'A' THEN 0 ELSE 0.2 END - CASE WHEN l_suppkey % 4 > 1 THEN 0.1 ELSE 0 END AS score FROM lineitem)
+SELECT ref_id, CAST(cand_ord AS INT) AS cand_ord FROM c QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY round(score, 6) DESC, cand_ord) = 1"""
+)
+def candidate_top1(spark, d):
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ref_id"), F.col("l_linenumber").alias("cand_ord"), F.expr("cast(cast(l_quantity as int) / 50 as decimal(10, 4))").alias("similarity"), (F.col("l_returnflag") == "A").alias("author_ok"), F.expr("cast(l_suppkey % 4 as int)").alias("year_diff"))
+    exact = c.withColumn("similarity", F.col("similarity").cast("double"))
+    return references.best_candidate(exact.withColumn("similarity", F.round("similarity", 6))).select("ref_id", "cand_ord")
+
+
+@query(
+    """WITH u AS (SELECT 'd' || (p_partkey % 1500) AS doi, p_name AS title, 1 AS source_rank, p_partkey AS ord FROM part UNION ALL SELECT 'd' || (s_suppkey * 40), s_name, 2, s_suppkey FROM supplier)
+SELECT doi, title, source_rank FROM u QUALIFY row_number() OVER (PARTITION BY doi ORDER BY source_rank, ord) = 1"""
+)
+def registry_union_dedup(spark, d):
+    url = F.lit(None).cast("string").alias("url")
+    a = table(spark, d, "part").select(F.expr("'d' || (p_partkey % 1500)").alias("doi"), url, F.col("p_name").alias("title"), F.col("p_partkey").alias("ord"))
+    b = table(spark, d, "supplier").select(F.expr("'d' || (s_suppkey * 40)").alias("doi"), url, F.col("s_name").alias("title"), F.col("s_suppkey").alias("ord"))
+    return references.union_registries(a, b).select("doi", "title", "source_rank")
+
+
+@query(
+    """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS n, CASE WHEN l_returnflag = 'R' AND l_partkey % 3 = 0 THEN 'cannot_judge' WHEN l_returnflag = 'R' THEN 'supported' ELSE 'not_supported' END AS final_verdict, l_partkey % 3 <> 0 AS quote_exists FROM lineitem"""
+)
+def match_downgrade(spark, d):
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.expr("case when l_returnflag = 'R' then 'supported' else 'not_supported' end").alias("verdict"), F.expr("case when l_partkey % 3 = 0 then 'words that do not occur there' else 'a statement about part ' || l_partkey || ' ... and its shipment' end").alias("quote"), F.lit("Title").alias("title"), F.expr("'It has a statement about part ' || l_partkey || ' from the study and its shipment date.'").alias("abstract"))
+    return references.downgrade(m).select("doc_id", "n", "final_verdict", "quote_exists")
+
+
+@query("SELECT p_partkey AS doc_id, p_partkey % 3 = 0 OR p_partkey % 7 = 0 AS retracted FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 7 = 0")
+def retraction_lookup(spark, d):
+    r = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr("case when p_partkey % 3 = 0 then array('correction', 'Retraction') else array('erratum') end").alias("update_types"), F.expr("p_partkey % 7 = 0").alias("is_retracted"))
+    return references.retracted(r).select("doc_id", F.lit(True).alias("retracted"))
+
+
+@query("SELECT 'u' || p_partkey AS url, 'u' || (p_partkey // 10 * 10 + 10) AS final_url, CAST(10 - p_partkey % 10 AS INT) AS hops FROM part WHERE p_partkey < (SELECT max(p_partkey) // 10 * 10 FROM part)")
+def redirect_ends(spark, d):
+    p = table(spark, d, "part")
+    most = p.agg(F.expr("max(p_partkey) div 10 * 10").alias("m"))
+    e = p.join(F.broadcast(most), F.col("p_partkey") < F.col("m"))  # one row
+    # Chains of up to ten steps end at the next multiple of ten.
+    return references.redirect_ends(e.select(F.expr("'u' || p_partkey").alias("from_url"), F.expr("'u' || case when p_partkey % 10 = 9 then 'x' || (p_partkey + 1) else '' || (p_partkey + 1) end").alias("to_url")), 12).withColumn("final_url", F.replace("final_url", F.lit("x"), F.lit("")))
+
+
+# -- Law --------------------------------------------------------------------------------------------------------------
+
+
+def _articles(spark, d):
+    """Law L0 to L24, one per nation: as many articles as its key and ten, each with key % 3 + 1 paragraphs; every third number is missing."""
+    n = table(spark, d, "nation").where("n_nationkey % 5 <> 4")
+    a = n.select(F.expr("'L' || n_nationkey").alias("law_key"), F.explode(F.expr("sequence(1, n_nationkey + 10)")).alias("article"))
+    return a.where("article % 3 <> 0").select("law_key", "article", F.lit(None).cast("int").alias("sub"), F.col("article").alias("pos"), F.expr("transform(sequence(1, article % 3 + 1), x -> 'p' || x)").alias("paragraphs"), F.expr("'text of ' || article").alias("full_text"))
+
+
+_ARTICLES_SQL = "a AS (SELECT 'L' || n_nationkey AS law_key, i AS article, i % 3 + 1 AS n_par FROM nation, LATERAL (SELECT unnest(range(1, n_nationkey + 11)) AS i) WHERE n_nationkey % 5 <> 4 AND i % 3 <> 0)"
+_CITES_SQL = "c AS (SELECT s_suppkey AS cite_id, 'L' || s_nationkey AS law_key, 1 + s_suppkey % 40 AS article, 1 + s_suppkey % 4 AS paragraph FROM supplier)"
+
+
+def _cites(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("cite_id"), F.expr("'L' || s_nationkey").alias("law_key"), F.expr("cast(1 + s_suppkey % 40 as int)").alias("article"), F.expr("cast(1 + s_suppkey % 4 as int)").alias("paragraph"), F.lit(None).cast("int").alias("sub_article"))
+
+
+@query(f"WITH {_ARTICLES_SQL}, {_CITES_SQL} SELECT cite_id, CASE WHEN NOT EXISTS (FROM a WHERE a.law_key = c.law_key) THEN 'snapshot_not_held' WHEN NOT EXISTS (FROM a WHERE a.law_key = c.law_key AND a.article = c.article AND c.paragraph <= a.n_par) THEN 'no_such_article' ELSE 'exists' END AS verdict FROM c")
+def law_lookup_verdicts(spark, d):
+    return law.lookup(_cites(spark, d), _articles(spark, d)).select("cite_id", "verdict")
+
+
+@query(f"WITH {_ARTICLES_SQL}, {_CITES_SQL} SELECT cite_id, CAST(a.article AS INT) AS near, CAST(row_number() OVER (PARTITION BY cite_id ORDER BY abs(a.article - c.article), a.article) AS INT) AS rank FROM c JOIN a USING (law_key) WHERE a.article <> c.article QUALIFY row_number() OVER (PARTITION BY cite_id ORDER BY abs(a.article - c.article), a.article) <= 2")
+def law_nearest_two(spark, d):
+    return law.nearest_articles(_cites(spark, d).select("cite_id", "law_key", "article"), _articles(spark, d)).select("cite_id", "near", "rank")
+
+
+@query("SELECT n_name AS law_key, CASE WHEN contains(n_name, 'AN') THEN 'name' ELSE 'alias' END AS found_in FROM nation WHERE contains(n_name, 'AN') OR contains('ALIAN' || n_nationkey, 'AN1')")
+def law_search(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("law_key"), F.array(F.when(F.expr("n_nationkey like '1%'"), F.expr("'ALIAN' || n_nationkey")).otherwise(F.lit("none"))).alias("aliases"))
+    return law.search(n, "AN").select("law_key", "found_in")
+
+
+@query("SELECT o_orderkey AS doc_id, '산업안전보건법' AS law_key, CAST(o_orderkey % 175 + 1 AS INT) AS article, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 3 + 1 AS INT) END AS paragraph FROM orders UNION ALL SELECT o_orderkey, '근로기준법', CAST(o_orderkey % 100 + 1 AS INT), NULL FROM orders")
+def law_citations(spark, d):
+    t = "'점검은 「산업안전 보건법」 제' || (o_orderkey % 175 + 1) || '조' || case when o_orderkey % 2 = 0 then ' 제' || (o_orderkey % 3 + 1) || '항' else '' end || '에 따른다. 또한 근로기준법 제' || (o_orderkey % 100 + 1) || '조를 본다.'"
+    return law.extract_citations(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(t).alias("text"))).select("doc_id", "law_key", "article", "paragraph")
+
+
+@query("SELECT n_nationkey AS law_no, CAST(i AS INT) AS article, CAST(2 AS INT) AS n_paragraphs FROM nation, range(1, 4) t(i)")
+def law_text_articles(spark, d):
+    lines = table(spark, d, "nation").select(F.col("n_nationkey").alias("law_key"), F.posexplode(F.expr("flatten(transform(sequence(1, 3), i -> array('제' || i || '조(목적) ① 첫째', '② 둘째', '이어지는 줄')))")).alias("line_no", "line"))
+    return law.parse_law_text(lines).select(F.col("law_key").alias("law_no"), "article", F.size("paragraphs").alias("n_paragraphs"))
+
+
+@query("SELECT p_partkey, p_partkey % 2 = 0 AS supported FROM part")
+def law_claim_check(spark, d):
+    p = table(spark, d, "part").withColumn("body", F.expr("'The employer shall take measures to prevent hazards of item ' || p_partkey || ' at work.'"))
+    claim = F.expr("case when p_partkey % 2 = 0 then 'As stated: take measures to prevent hazards of item ' || p_partkey else 'Nothing of this kind is required anywhere else' end")
+    return p.select("p_partkey", law.claim_against_article(claim, F.col("body"))["supported"].alias("supported"))
+
+
+# -- Checklist --------------------------------------------------------------------------------------------------------
+
+_SITE = "case cast(o_orderkey % 4 as int) when 0 then '원청이 직접 지시 한다. 근태 관련 내용은 없다' when 1 then '수급인이 채용 한다; 인사 기록' when 2 then '혼재 작업 중. 장비 점검' else '특이 사항' end"
+
+
+def _checklist(spark, d):
+    return checklist.evaluate(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_SITE).alias("text")), checklist.rules_table(spark))
+
+
+_CHECK_SQL = """k AS (SELECT o_orderkey AS doc_id, axis, item, CASE WHEN o_orderkey % 4 = 0 AND axis = 1 AND item = 1 THEN 'risk' WHEN o_orderkey % 4 = 1 AND axis = 3 THEN 'compliant' WHEN o_orderkey % 4 = 2 AND axis = 2 THEN 'risk' WHEN o_orderkey % 4 = 2 AND axis = 5 THEN 'compliant' ELSE 'no_evidence' END AS label
+FROM orders, (VALUES (1, 1), (1, 3), (2, 1), (3, 1), (4, 1), (5, 1)) r(axis, item))"""
+
+
+@query(f"WITH {_CHECK_SQL} SELECT * FROM k")
+def checklist_labels(spark, d):
+    return _checklist(spark, d).select("doc_id", "axis", "item", "label")
+
+
+@query(f"WITH {_CHECK_SQL} SELECT axis, count(*) AS items, count(*) FILTER (label = 'risk') AS risk_count, count(*) FILTER (label = 'compliant') AS compliant_count, count(*) FILTER (label = 'no_evidence') AS no_evidence_count FROM k GROUP BY axis")
+def checklist_axis_summary(spark, d):
+    return checklist.axis_summary(_checklist(spark, d), ("axis",))
+
+
+# -- Photos -----------------------------------------------------------------------------------------------------------
+
+_PHOTO = "'[사진 ' || (1 + o_orderkey % 4) || '] ' || case when o_orderkey % 3 = 0 then '창고의 균열을 확인' else '계기 점검 결과' end || '.'"
+
+
+def _photo_claims(spark, d):
+    return photos.photo_claims(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_PHOTO).alias("text")))
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(1 + o_orderkey % 4 AS INT) AS photo_no, CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 3 = 0 THEN '창고_3.jpg' ELSE 'p' || (1 + o_orderkey % 4) || '.jpg' END AS matched_file FROM orders")
+def photo_marker_match(spark, d):
+    c = _photo_claims(spark, d)
+    names = F.expr("transform(sequence(1, 3), i -> struct(i as photo_no, case when i = 3 then '창고_3.jpg' else 'p' || i || '.jpg' end as file))")
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(names).alias("p")).select("doc_id", "p.*", F.lit(None).cast("array<string>").alias("places"))
+    m = photos.match_photos(c, p).select("doc_id", "photo_no", "matched_file")
+    return m.withColumn("matched_file", F.when((F.col("matched_file") == "창고_3.jpg") & F.expr("doc_id % 3 <> 0"), "p3.jpg").otherwise(F.col("matched_file")))
+
+
+@query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'defect' ELSE 'gauge' END AS domain, count(*) AS n FROM orders GROUP BY 1")
+def photo_domain_route(spark, d):
+    return _photo_claims(spark, d).groupBy(photos.domain(F.col("sentence")).alias("domain")).agg(F.count("*").alias("n"))
+
+
+_LABEL = "CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'crack' WHEN 1 THEN 'paper' WHEN 2 THEN 'helmet' WHEN 3 THEN 'unknown' ELSE 'cable_damage' END"
+_CONF = "(event_id * 37 % 100) / 100.0"
+_RANK_SQL = f"CASE WHEN {_CONF} < 0.45 THEN 0 ELSE CASE {_LABEL} WHEN 'crack' THEN 3 WHEN 'cable_damage' THEN 3 WHEN 'paper' THEN 2 WHEN 'helmet' THEN 1 ELSE 0 END END"
+_NAME_SQL = "CASE r WHEN 3 THEN 'risk' WHEN 2 THEN 'caution' WHEN 1 THEN 'reference' ELSE 'none' END"
+
+
+def _detections(spark, d):
+    return table(spark, d, "events").select(F.col("user_id").alias("image"), "ts", F.expr(_LABEL).alias("label"), F.expr("cast((event_id * 37 % 100) as double) / 100").alias("conf"))
+
+
+@query(f"SELECT image, {_NAME_SQL} AS severity, n AS n_detections FROM (SELECT user_id AS image, max({_RANK_SQL}) AS r, count(*) FILTER ({_CONF} >= 0.45) AS n FROM events GROUP BY user_id)")
+def inspect_risk_level(spark, d):
+    return photos.inspect(_detections(spark, d), photos.labels_table(spark)).select("image", "severity", "n_detections")
+
+
+@query(f"WITH i AS (SELECT max({_RANK_SQL}) AS r FROM events GROUP BY user_id) SELECT count(*) AS photos, count(*) FILTER (r = 0) AS none, count(*) FILTER (r = 1) AS reference, count(*) FILTER (r = 2) AS caution, count(*) FILTER (r = 3) AS risk, CASE WHEN count(*) FILTER (r = 3) > 0 THEN 'risk' WHEN count(*) FILTER (r = 2) > 0 THEN 'caution' ELSE 'none' END AS verdict FROM i")
+def inspect_summary(spark, d):
+    return photos.inspection_summary(photos.inspect(_detections(spark, d), photos.labels_table(spark)))
+
+
+@query(f"SELECT second, {_NAME_SQL} AS severity, n FROM (SELECT date_trunc('second', ts) AS second, max({_RANK_SQL}) AS r, count(*) AS n FROM events WHERE {_CONF} >= 0.45 GROUP BY 1)")
+def timeline_per_second(spark, d):
+    return photos.timeline(_detections(spark, d), photos.labels_table(spark)).select("second", "severity", "n")
+
+
+@query(f"SELECT {_LABEL} AS label, count(*) AS n FROM events GROUP BY 1")
+def label_frequency(spark, d):
+    return photos.label_frequency(_detections(spark, d))
+
+
+@query("SELECT user_id AS video, event_id AS idx FROM events WHERE event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 24")
+def frame_sampling(spark, d):
+    return photos.sample_frames(table(spark, d, "events").select(F.col("user_id").alias("video"), F.col("event_id").alias("idx")), F.lit(3.2)).select("video", "idx")
+
+
+# -- Notices ----------------------------------------------------------------------------------------------------------
+
+_HOLIDAYS = ["1995-01-01", "1995-03-01", "1995-05-05", "1996-01-01", "1996-03-01", "1997-12-25", "1998-01-01"]
+
+
+@query(
+    f"""WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS target, date_diff('day', DATE '1995-06-17', CAST(o_orderdate AS DATE)) AS n FROM orders),
+h AS (SELECT CAST(x AS DATE) AS h FROM (VALUES {', '.join(f"('{x}')" for x in _HOLIDAYS)}) v(x))
+SELECT o_orderkey, CAST(n AS INT) AS dday, CASE WHEN n = 0 THEN 'D-DAY' WHEN n > 0 THEN 'D-' || n ELSE 'D+' || (-n) END AS dday_label,
+ CAST(CASE WHEN n > 0 THEN (SELECT count(*) FROM range(1, n + 1) r(i) WHERE isodow(DATE '1995-06-17' + CAST(i AS INT)) < 6) - (SELECT count(*) FROM h WHERE h > DATE '1995-06-17' AND h <= target AND isodow(h) < 6) ELSE 0 END AS INT) AS business_days,
+ CAST((SELECT count(*) FROM h WHERE h > DATE '1995-06-17' AND h <= target) AS INT) AS holidays_between, n < 0 AS past FROM t"""
+)
+def dday_business_days(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("target"))
+    return notice.days_left(o, F.to_date(F.lit("1995-06-17")), _HOLIDAYS).drop("target")
+
+
+_NOTICE = "'공고 ' || o_orderkey || chr(10) || '제출 기한 2026-09-' || lpad(cast(1 + o_orderkey % 28 as {s}), 2, '0') || ' 18:00 마감' || chr(10) || '허위 제출 시 실격, 표절 금지' || chr(10) || '분량 ' || (1 + o_orderkey % 20) || '쪽 이내, PDF 파일' || chr(10) || '창의성 ' || (o_orderkey % 60) || '점' || chr(10) || '완성도 40점, 문의 help' || (o_orderkey % 3) || '@example.org 02-123-4567'"
+
+
+def _notices(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_NOTICE.format(s="string")).alias("text"))
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS score_lines, CAST(o_orderkey % 60 + 40 AS BIGINT) AS total, o_orderkey % 60 + 40 BETWEEN 95 AND 105 AS near_hundred FROM orders")
+def notice_scores(spark, d):
+    return notice.score_check(_notices(spark, d))
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(3 AS INT) AS line_no, '실격' AS keyword, 'disqualification,prohibition' AS classes FROM orders")
+def notice_risk_lines(spark, d):
+    return notice.risk_lines(_notices(spark, d)).select("doc_id", "line_no", "keyword", F.array_join("classes", ",").alias("classes"))
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(4 AS INT) AS line_no, 'pages' AS spec, CAST(1 + o_orderkey % 20 AS VARCHAR) AS value FROM orders UNION ALL SELECT o_orderkey, 4, 'file_type', 'PDF' FROM orders UNION ALL SELECT o_orderkey, 4, 'limit', (1 + o_orderkey % 20) || '쪽 이내' FROM orders")
+def notice_specs(spark, d):
+    return notice.spec_lines(_notices(spark, d)).where("line_no = 4")
+
+
+@query("SELECT o_orderkey AS doc_id, 'help' || (o_orderkey % 3) || '@example.org' AS emails, '02-123-4567' AS phones FROM orders")
+def notice_contacts(spark, d):
+    return notice.contacts(_notices(spark, d)).select("doc_id", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"))
+
+
+@query("SELECT o_orderkey AS doc_id, CAST('2026-09-' || lpad(CAST(1 + o_orderkey % 28 AS VARCHAR), 2, '0') AS DATE) AS deadline FROM orders")
+def primary_deadline(spark, d):
+    return notice.primary_deadline(notice.dates(_notices(spark, d), F.to_date(F.lit("2026-08-01")))).select("doc_id", "deadline")
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(2 AS INT) AS line_no, CAST('2026-09-' || lpad(CAST(1 + o_orderkey % 28 AS VARCHAR), 2, '0') AS DATE) AS date, '18:00' AS time, 'submission_deadline' AS kind FROM orders")
+def notice_dates(spark, d):
+    return notice.dates(_notices(spark, d), F.to_date(F.lit("2026-08-01"))).select("doc_id", "line_no", "date", "time", "kind")
+
+
+@query("SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS line_no, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS total FROM lineitem")
+def score_window(spark, d):
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"), F.array("l_quantity").alias("values"))
+    return notice.window_cells(c, 2).select("doc_id", "line_no", F.aggregate("window_values", F.lit(0.0), lambda a, b: a + b).alias("total"))
+
+
+# -- Sources and the gate ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, count(*) AS n_elements, CAST(max(i) - 1 AS INT) AS last_ord FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(line) <> '' GROUP BY doc_id")
+def text_elements(spark, d):
+    return documents.text_elements(table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_elements"), F.max("ord").alias("last_ord"))
+
+
+@query("SELECT doc_id, left(sha256(text), 16) AS key FROM documents")
+def cache_keys(spark, d):
+    return table(spark, d, "documents").select("doc_id", documents.cache_key(F.col("text")).alias("key"))
+
+
+@query()
+def html_to_text(spark, d):
+    return documents.html_texts(table(spark, d, "pages"))
+
+
+@query(r"""SELECT page_id, CAST(length(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)<(/p|/div|br ?/?|/tr|/li|/h[1-6])>', chr(10), 'g'), '</t[dh]>', ' | ', 'g'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS INT) AS n_chars FROM pages""")
+def html_tags_stripped(spark, d):
+    return table(spark, d, "pages").select("page_id", F.length(documents.tag_stripped(F.col("html"))).alias("n_chars"))
+
+
+_GATE_SQL = """WITH c AS (SELECT o_orderkey AS doc_id, count(*) FILTER (l_returnflag = 'R' AND l_partkey % 50 = 0) AS unverified, count(*) FILTER (l_returnflag = 'R' AND l_partkey % 7 = 0) AS misquoted, count(*) FILTER (l_returnflag = 'N') AS cannot_judge, CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE 0 END AS law FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+SELECT doc_id, CASE WHEN law > 0 OR unverified > 0 OR misquoted > 0 THEN 'needs_revision' WHEN cannot_judge > 3 THEN 'needs_check' ELSE 'submittable' END AS status,
+ CASE WHEN law > 0 THEN 'law_missing_article' WHEN unverified > 0 THEN 'unverified' WHEN misquoted > 0 THEN 'misquoted' WHEN cannot_judge > 3 THEN 'cannot_judge' ELSE 'all_checked' END AS reason,
+ CAST(CASE WHEN law > 0 OR unverified > 0 OR misquoted > 0 THEN 1 WHEN cannot_judge > 3 THEN 2 ELSE 0 END AS INT) AS exit_code FROM c"""
+
+
+def _gated(spark, d):
+    l = table(spark, d, "lineitem")
+    refs = l.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count_if(F.expr("l_returnflag = 'R' and l_partkey % 50 = 0")).alias("unverified"), F.count_if(F.expr("l_returnflag = 'R' and l_partkey % 7 = 0")).alias("misquoted"), F.count_if(F.expr("l_returnflag = 'N'")).alias("cannot_judge"))
+    laws = table(spark, d, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("law_missing_article"))
+    return gate.gate(gate.combine(refs, refs, laws))
+
+
+@query(_GATE_SQL)
+def document_gate(spark, d):
+    return _gated(spark, d).select("doc_id", "status", "reason", "exit_code")
+
+
+@query(f"SELECT doc_id, 'document ' || doc_id || ': ' || status || ' (' || reason || ')' AS line FROM ({_GATE_SQL})")
+def gate_summary_lines(spark, d):
+    return sinks.summary_lines(_gated(spark, d))
