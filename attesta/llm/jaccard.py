@@ -1,18 +1,23 @@
 """Exact Jaccard self-join of word-shingle sets with set-relation skipping.
 
-Documents with equal sets are one node. Shingles are ordered by hash, very frequent ones last; two sets that link share
-one of the first few shingles in that order (the prefix), at positions that leave room for the overlap they need.
+Documents with equal sets are one node. Shingles are ordered by hash, but those of sets with many relatives come last;
+two sets that link share one of the first few shingles in that order (the prefix), at positions that leave room for the
+overlap they need. With what near copies have in common last, what tells them apart comes first: copies with more
+changes of their own than a link allows meet in no list any more. Which sets have many relatives a first look at half
+of each prefix says: those that many others of their index lists were compared with.
 
 Index-level skipping: an index list holds the sets that have a shingle in their prefix, in blocks of equal set size and
 by position in each block. For two blocks the sizes alone say how far down a position may be; the rest of a block, or
 all of it, is skipped.
 
-Answer-level skipping: a first round compares each set with the smallest of its list only, the pivot. Sets that link to
+Answer-level skipping: a first round compares each set with one of its list only, the pivot. Sets that link to
 a pivot share its answers as far as components go, so the second round compares only sets that no links connect yet; and
 where a set's pivot has been compared with the other set, what the pivot shares with it plus what the set has beyond its
 pivot bounds their overlap, and mostly rules the pair out. A group of near copies thus costs its size, not its square.
 
-Pairs that remain are ruled out by their prefixes (shingles there that only one of them has), else by their whole sets.
+Pairs of a list are also ruled out by bitmaps: each set has the parities of how many of its shingles fall on each of BITS
+places, and sets differ by as many shingles as their bitmaps differ at least. Pairs that remain are ruled out by their
+prefixes (shingles there that only one of them has), else by their whole sets.
 """
 
 from __future__ import annotations
@@ -29,19 +34,34 @@ from attesta.llm.common import cut, pick
 from attesta.llm.components import connected_components
 
 SHINGLE, PERCENT = 4, 85
-#: A shingle is frequent if it is in this many prefixes; the most frequent ones, so many at most, are put last.
-FREQUENT, MOST_FREQUENT = 100, 500_000
+#: Shingles come last that belong to sets with this many relatives; of so many shingles at most, those with most.
+RELATIVES, LAST_SHINGLES = 6, 1_000_000
+BITS = 256
 #: Rows up to which a table of ids is broadcast; beyond, it is joined.
 BROADCAST_IDS = 1_000_000
-REMEMBERED = 200_000
 
 
 class Shingles:
-    """Sorted arrays of the distinct shingles of texts, as signed 64-bit numbers: 63 bits of hash, frequent ones from 0 on."""
+    """Sorted arrays of the distinct shingles of texts, as signed 64-bit numbers: 63 bits of hash, frequent ones from 0 on.
+
+    Words are hashed where they lie in the batch's bytes: a word's polynomial hash is the difference of two running sums.
+    """
+
+    SLICE = 1 << 20
+    BASE = 0x9E3779B97F4A7C15 | 1
 
     def __init__(self, size: int, frequent: np.ndarray | None = None):
         self.size, self.frequent = size, frequent if frequent is not None else np.zeros(0, np.uint64)
-        self._words: dict[bytes, int] = {}
+        self._lower = np.arange(256, dtype=np.uint64) + np.uint64(1)
+        self._lower[0x41:0x5B] += np.uint64(0x20)
+        self._space = np.zeros(256, bool)
+        self._space[[0x20, *range(0x09, 0x0E)]] = True
+        self._powers = self._inverse = np.zeros(0, np.uint64)
+
+    def _tables(self, n: int) -> None:
+        if len(self._powers) < n:
+            n = max(n, self.SLICE)
+            self._powers, self._inverse = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (np.uint64(self.BASE), np.uint64(pow(self.BASE, -1, 1 << 64))))
 
     @staticmethod
     def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,28 +69,61 @@ class Shingles:
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(32))
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.int64)
-        known = self._words
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in {*words}.difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = min(self.size, len(h))
-        out = np.full(len(h) - n + 1, n, np.uint64)
+    def _joined(self, words: np.ndarray, n: int) -> np.ndarray:
+        """The hash of each run of n words."""
+        out = np.full(len(words) - n + 1, n, np.uint64)
         for i in range(n):
-            out = self._mix(out + h[i : len(h) - n + 1 + i])
-        out = np.unique(out >> np.uint64(1))
+            out = self._mix(out + words[i : len(words) - n + 1 + i])
+        return out
+
+    def _ordered(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.unique(hashes >> np.uint64(1))
         keyed = out.astype(np.int64)
-        if len(self.frequent):
+        if len(self.frequent) and len(out):
             at = np.minimum(np.searchsorted(self.frequent, out), len(self.frequent) - 1)
             last = self.frequent[at] == out
             return np.concatenate([keyed[~last] + np.iinfo(np.int64).min, keyed[last]])
         return keyed + np.iinfo(np.int64).min
 
+    def _slice(self, data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        self._tables(len(data) + 1)
+        word = ~self._space[data]
+        begins = word.copy()
+        begins[1:] &= ~word[:-1]
+        starts_of_texts = np.r_[0, ends[:-1]]
+        inside = starts_of_texts[starts_of_texts < len(data)]
+        begins[inside] = word[inside]
+        closes = np.zeros(len(data) + 1, bool)
+        closes[1:] = word
+        closes[1:-1] &= ~word[1:] | begins[1:]
+        first, last = np.flatnonzero(begins), np.flatnonzero(closes)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self._lower[data] * self._powers[: len(data)], out=sums[1:])
+        words = self._mix((sums[last] - sums[first]) * self._inverse[first] + (last - first).astype(np.uint64))
+        per_text = np.searchsorted(first, ends) - np.searchsorted(first, starts_of_texts)
+        runs = self._joined(words, self.size) if len(words) >= self.size else None
+        out, at = [], 0
+        for n in per_text.tolist():
+            if n >= self.size:
+                out.append(self._ordered(runs[at : at + n - self.size + 1]))
+            else:
+                out.append(self._ordered(self._joined(words[at : at + n], n)) if n else np.zeros(0, np.int64))
+            at += n
+        return out
+
+    def arrays(self, texts: pa.Array) -> list[np.ndarray]:
+        """One array for each text; none in that of a null or blank one."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        out, lo = [], 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + self.SLICE, side="right")) - 1)
+            out += self._slice(data[ends[lo] : ends[hi]], ends[lo + 1 : hi + 1] - ends[lo])
+            lo = hi
+        return out
+
 
 def needed(a, b, percent: int):
     """The overlap that sets of sizes a and b need to link: percent * union <= 100 * overlap."""
@@ -89,13 +142,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
     of = Shingles(size, frequent and frequent.value)
     for b in batches:
-        n, digests, prefixes = [], [], []
-        for t in b.column("text").to_pylist():
-            x = of(t)
+        n, digests, prefixes, bits = [], [], [], []
+        for x in of.arrays(b.column("text")):
             n.append(len(x))
             digests.append(xxhash.xxh3_128_digest(x.tobytes()))
             prefixes.append(x[: prefix_length(len(x), percent)])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), _lists(prefixes)], ["doc_id", "row", "n", "digest", "prefix"])
+            bits.append(np.packbits(np.bincount(x & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), _lists(prefixes), _lists(bits)], ["doc_id", "row", "n", "digest", "prefix", "bits"])
 
 
 def _index_lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -121,21 +174,53 @@ def _out(pairs: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
 
 
-def _pivot_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+_BIT_COLUMNS = [f"bits{k}" for k in range(BITS // 64)]
+
+
+def _may_link(x: dict[str, np.ndarray], i: np.ndarray | int, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the bitmaps of entries i and j differ at no more places than sets that link may."""
+    differ = sum(np.bitwise_count((x[c][i] ^ x[c][j]).view(np.uint64)).astype(np.int64) for c in _BIT_COLUMNS)
+    n_i, n_j = x["n"][i], x["n"][j]
+    return differ <= n_i + n_j - 2 * needed(n_i, n_j, percent)
+
+
+def _shared_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of lists with two sets or more."""
+    names = ["token", "node", "n", "pos"]
+    held, rows = [], 0
+    for x in _index_lists(batches, names):
+        held.append(x)
+        rows += len(x["n"])
+        if rows > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[k] for h in held])) for k in names], names)
+            held, rows = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[k] for h in held])) for k in names], names)
+
+
+def _pivot_pairs(batches: Iterator[pa.RecordBatch], percent: int, bits: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of each list, the pairs of a pivot with the others that sizes and positions allow.
+
+    The pivot is the set that shares most of its prefix with others: of near copies, the one that the others were made
+    of. Sets of sizes that can't link to it get a pivot of their own.
+    """
     found, held = [], 0
-    for x in _index_lists(batches, ["token", "node", "n", "pos"]):
-        node, n, pos = x["node"], x["n"], x["pos"]
-        i = 0
-        while i < len(n) - 1:
-            end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-            j = np.arange(i + 1, end)
+    for x in _index_lists(batches, ["token", "node", "n", "pos", "shared", *bits]):
+        node, n, pos, shared = x["node"], x["n"], x["pos"], x["shared"]
+        left = np.arange(len(n))
+        while len(left) > 1:
+            i = left[np.lexsort((node[left], -shared[left]))[0]]
+            low, high = np.minimum(n[left], n[i]), np.maximum(n[left], n[i])
+            near = 100 * low >= percent * high
+            j = left[near & (left != i)]
             req = needed(n[i], n[j], percent)
-            ok = (pos[j] <= n[j] - req + 1) & (pos[i] <= n[i] - req + 1)
-            mine = node[j]
-            # A set that can't link to the pivot may still link to others of the list: it is marked by a pair with itself.
-            found.append(np.stack([np.where(ok, node[i], mine), mine], axis=1))
-            held += len(mine)
-            i = max(end, i + 1)
+            j = j[(pos[j] <= n[j] - req + 1) & (pos[i] <= n[i] - req + 1)]
+            if bits:
+                j = j[_may_link(x, i, j, percent)]
+            if len(j):
+                found.append(np.stack([np.full(len(j), node[i]), node[j]], axis=1))
+                held += len(j)
+            left = left[~near]
         if held > 200_000:
             yield _out(found)
             found, held = [], 0
@@ -146,7 +231,7 @@ def _pivot_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
 def _cross_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of each list, the pairs of different components that sizes and positions allow, block by block."""
     found, held = [], 0
-    for x in _index_lists(batches, ["token", "node", "n", "pos", "component"]):
+    for x in _index_lists(batches, ["token", "node", "n", "pos", "component", *_BIT_COLUMNS]):
         node, n, pos, comp = x["node"], x["n"], x["pos"], x["component"]
         if (comp == comp[0]).all():
             continue
@@ -163,8 +248,10 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
                     part = i[at : at + 512]
                     u, v = np.repeat(part, len(j)), np.tile(j, len(part))
                     ok = (comp[u] != comp[v]) & ((u < v) | (lo1 != lo2))
+                    u, v = u[ok], v[ok]
+                    ok = _may_link(x, u, v, percent)
                     if ok.any():
-                        found.append(np.stack([node[u[ok]], node[v[ok]]], axis=1))
+                        found.append(np.sort(np.stack([node[u[ok]], node[v[ok]]], axis=1), axis=1))
                         held += int(ok.sum())
                     if held > 200_000:
                         yield _out(found)
@@ -191,7 +278,7 @@ def _by_prefix(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
 def _sets(batches: Iterator[pa.RecordBatch], size: int, frequent) -> Iterator[pa.RecordBatch]:
     of = Shingles(size, frequent and frequent.value)
     for b in batches:
-        sets = [of(t) for t in b.column("text").to_pylist()]
+        sets = of.arrays(b.column("text"))
         yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), _lists(sets)], ["digest", "shingles"])
 
 
@@ -206,21 +293,64 @@ class JaccardJoin:
         self.size, self.percent = size, percent
         self.docs = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
         self.frequent = None
-        tokens = self._rows().select(F.explode("prefix").alias("token"))
-        often = tokens.groupBy("token").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(MOST_FREQUENT)
-        often = [r["token"] for r in often.select("token").toLocalIterator()]  # MOST_FREQUENT numbers at most
-        if often:
-            plain = (np.array(sorted(often), np.int64) - np.iinfo(np.int64).min).view(np.uint64)
-            self.frequent = docs.sparkSession.sparkContext.broadcast(np.sort(plain))
+        last = self._shingles_with_relatives()
+        if len(last):
+            self.frequent = docs.sparkSession.sparkContext.broadcast(last)
         self.rows = cut(self._rows())
 
     def _rows(self) -> DataFrame:
         size, percent, frequent = self.size, self.percent, self.frequent
-        return self.docs.mapInArrow(lambda batches: _prefixes(batches, size, percent, frequent), "doc_id long, row long, n long, digest binary, prefix array<long>")
+        return self.docs.mapInArrow(lambda batches: _prefixes(batches, size, percent, frequent), "doc_id long, row long, n long, digest binary, prefix array<long>, bits array<long>")
+
+    def _shingles_with_relatives(self) -> np.ndarray:
+        """The shingles, LAST_SHINGLES numbers at most, of the sets that most others have been compared with."""
+        percent, size = self.percent, self.size
+        rows = cut(self._rows().withColumn("prefix", F.slice("prefix", F.lit(1), F.ceil(F.size("prefix") / 2).cast("int"))))
+        nodes = self._nodes(rows, self._classes(rows))
+        pairs = self._pivot_pairs(self._lists(nodes), [])
+        most = pairs.groupBy(F.col("a").alias("row")).agg(F.count("*").alias("relatives")).where(F.col("relatives") >= RELATIVES)
+        most = most.join(rows.select("row", "doc_id", "n"), "row").orderBy(F.desc("relatives"), "row").limit(LAST_SHINGLES // 20).select("doc_id", "n").collect()
+        want, total = [], 0
+        for r in most:
+            total += r["n"]
+            if total > LAST_SHINGLES:
+                break
+            want.append((r["doc_id"],))
+        if not want:
+            return np.zeros(0, np.uint64)
+        ids = F.broadcast(self.docs.sparkSession.createDataFrame(want, "want long").distinct())
+        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
+        sets = texts.mapInArrow(lambda x: _sets(x, size, None), "digest binary, shingles array<long>")
+        found = sets.select(F.explode("shingles").alias("s")).distinct().limit(LAST_SHINGLES).toPandas()["s"].to_numpy(np.int64)
+        return np.sort((found - np.iinfo(np.int64).min).view(np.uint64))
 
-    def classes(self) -> DataFrame:
+    @staticmethod
+    def _classes(rows: DataFrame) -> DataFrame:
         """digest, node (the row that stands for it) and members, of the sets that several rows have."""
-        return self.rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("members")).where("members > 1").select("digest", F.col("first.row").alias("node"), "members")
+        return rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("members")).where("members > 1").select("digest", F.col("first.row").alias("node"), "members")
+
+    @staticmethod
+    def _nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        spare = rows.select("row", "digest").join(classes, "digest").where("row <> node").select(F.col("row").alias("r"))
+        return rows.where("n > 0").join(spare, F.col("row") == F.col("r"), "left_anti")
+
+    @staticmethod
+    def _by_token(entries: DataFrame) -> DataFrame:
+        return entries.repartition("token").sortWithinPartitions("token", "n", "pos", "node")
+
+    def _lists(self, nodes: DataFrame) -> DataFrame:
+        """The entries (token, node, n, pos) of index lists of several sets."""
+        entries = nodes.select(F.posexplode("prefix").alias("pos", "token"), F.col("row").alias("node"), "n").select("token", "node", "n", (F.col("pos") + 1).cast("long").alias("pos"))
+        return cut(self._by_token(entries).mapInArrow(_shared_entries, "token long, node long, n long, pos long"))
+
+    @staticmethod
+    def _with_bits(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+        return lists.join(nodes.select(F.col("row").alias("node"), *(F.col("bits")[k].alias(c) for k, c in enumerate(_BIT_COLUMNS))), "node")
+
+    def _pivot_pairs(self, lists: DataFrame, bits: list[str]) -> DataFrame:
+        percent = self.percent
+        shared = lists.groupBy("node").agg((F.count("*") * 1_000_000 / (F.max("n") + 1)).cast("long").alias("shared"))
+        return cut(self._by_token(lists.join(shared, "node")).mapInArrow(lambda x: _pivot_pairs(x, percent, bits), "a long, b long").distinct())
 
     def _check(self, pairs: DataFrame, nodes: DataFrame, skip=None) -> tuple[DataFrame, DataFrame]:
         """Of pairs a, b: those that link (a, b, n_a, n_b, most: their overlap) and a bound `most` of all that were compared."""
@@ -246,21 +376,16 @@ class JaccardJoin:
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links between different sets, enough to connect all that link, and classes()."""
         percent = self.percent
-        classes = cut(self.classes())
-        spare = self.rows.join(classes, "digest").where("row <> node").select(F.col("row").alias("r"))
-        nodes = cut(self.rows.where("n > 0").join(spare, F.col("row") == F.col("r"), "left_anti"))
-        entries = nodes.select(F.posexplode("prefix").alias("pos", "token"), F.col("row").alias("node"), "n").select("token", "node", "n", (F.col("pos") + 1).cast("long").alias("pos"))
-        first = entries.repartition("token").sortWithinPartitions("token", "n", "pos", "node")
-        pairs = cut(first.mapInArrow(lambda x: _pivot_pairs(x, percent), "a long, b long").distinct())
-        linked, compared = self._check(pairs.where("a <> b"), nodes)
+        classes = cut(self._classes(self.rows))
+        nodes = cut(self._nodes(self.rows, classes))
+        lists = cut(self._with_bits(self._lists(nodes), nodes))
+        pairs = self._pivot_pairs(lists, _BIT_COLUMNS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        linked, compared = self._check(pairs, nodes)
         linked, compared = cut(linked), cut(compared)
-        joined = connected_components(linked)
-        # Only sets that share a list can have further links, and only in lists of several components.
-        seen = pairs.select(F.col("a").alias("r")).union(pairs.select("b")).distinct()
-        known = nodes.select("row").join(joined, F.col("row") == F.col("node"), "left").select(F.col("row").alias("node"), F.coalesce("component", "row").alias("component"))
-        again = entries.join(known, "node").join(seen, F.col("node") == F.col("r"), "left_semi")
-        again = again.repartition("token").sortWithinPartitions("token", "n", "pos", "node")
-        more = again.mapInArrow(lambda x: _cross_pairs(x, percent), "a long, b long").distinct()
+        # Further links are between sets of one list that no links connect yet.
+        joined = connected_components(linked).withColumnRenamed("node", "j")
+        again = lists.join(joined, F.col("node") == F.col("j"), "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("component"), *_BIT_COLUMNS)
+        more = self._by_token(again).mapInArrow(lambda x: _cross_pairs(x, percent), "a long, b long").distinct()
         return linked.unionByName(self._check(more, nodes, lambda p: self._skip(p, linked, compared))[0]), classes
 
     def _skip(self, pairs: DataFrame, linked: DataFrame, compared: DataFrame) -> DataFrame:
@@ -268,7 +393,9 @@ class JaccardJoin:
         percent = self.percent
         both = compared.select("a", "b", "most", "n_a", "n_b").union(compared.select("b", "a", "most", "n_b", "n_a"))
         pairs = pairs.join(both.select("a", "b"), ["a", "b"], "left_anti")
-        pivots = linked.select(F.col("b").alias("x"), F.struct("most", "a", (F.col("n_b") - F.col("most")).alias("beyond"), F.col("n_b").alias("n")).alias("p")).groupBy("x").agg(F.max("p").alias("p")).select("x", F.col("p.a").alias("pivot"), "p.beyond", "p.n")
+        # Of each set the partner it shares most with.
+        ends = linked.select("a", "b", "most", "n_a").union(linked.select("b", "a", "most", "n_b"))
+        pivots = ends.select(F.col("a").alias("x"), F.struct("most", F.col("b").alias("pivot"), (F.col("n_a") - F.col("most")).alias("beyond"), F.col("n_a").alias("n")).alias("p")).groupBy("x").agg(F.max("p").alias("p")).select("x", "p.pivot", "p.beyond", "p.n")
         of = both.select(F.col("a").alias("pivot"), F.col("b").alias("other"), F.col("most").alias("shared"), F.col("n_b").alias("n_other"))
         for x, other in (("a", "b"), ("b", "a")):
             p = pairs.join(pivots, F.col(x) == F.col("x"), "left").join(of.withColumnRenamed("pivot", "q"), (F.col("pivot") == F.col("q")) & (F.col(other) == F.col("other")), "left")
