@@ -106,22 +106,13 @@ def author_year_key(s: Column) -> Column:
     return F.concat_ws(", ", F.regexp_extract(s, r"^\s*([\p{L}\-]+)", 1), F.regexp_extract(s, r"(\d{4})", 1))
 
 
-def spans(s: Column, pattern: str, group: int = 0) -> Column:
+def spans(column: str, pattern: str, group: int = 0) -> Column:
     """Array of struct(start, end, value) of the matches of a pattern that never matches nothing, without Python.
 
     The text between matches (split) and the matches (extract all) alternate, so running lengths give the offsets.
     """
-    found = F.struct(F.split(s, pattern, -1).alias("gaps"), F.regexp_extract_all(s, F.lit(pattern), F.lit(0)).alias("all"), F.regexp_extract_all(s, F.lit(pattern), F.lit(group)).alias("values"))
-
-    def located(x: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-        def step(acc: Column, i: Column) -> Column:
-            begin = acc["at"] + F.length(F.get(x["gaps"], i))
-            end = begin + F.length(F.get(x["all"], i))
-            return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), F.get(x["values"], i).alias("value"))).alias("out"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["all"]) - 1), start, step)["out"]
-
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(s.rlike(pattern), let(found, located)).otherwise(none)
+    p, kind = "r\"" + pattern + "\"", "array<struct<start:int,end:int,value:string>>"
+    step = f"""named_struct('at', acc.at + length(get(x.gaps, i)) + length(get(x.found, i)), 'out', array_append(acc.out, named_struct('start', acc.at + length(get(x.gaps, i)), 'end', acc.at + length(get(x.gaps, i)) + length(get(x.found, i)), 'value', get(x.vals, i))))"""
+    parts = f"named_struct('gaps', split({column}, {p}, -1), 'found', regexp_extract_all({column}, {p}, 0), 'vals', regexp_extract_all({column}, {p}, {group}))"
+    fold = f"aggregate(sequence(0, size(x.found) - 1), named_struct('at', 0, 'out', cast(array() as {kind})), (acc, i) -> {step}, acc -> acc.out)"
+    return F.expr(f"case when {column} rlike {p} then element_at(transform(array({parts}), x -> {fold}), 1) else cast(array() as {kind}) end")

@@ -19,7 +19,7 @@ def weighted(v: Column, weights: list[int]) -> Column:
 
 
 def luhn(v: Column) -> Column:
-    return F.luhn_check(digits(v))
+    return F.call_function("luhn_check", digits(v))
 
 
 def valid_date(y: Column, m: Column, d: Column) -> Column:

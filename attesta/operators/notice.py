@@ -78,7 +78,8 @@ def risk_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def spec_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no, spec, value."""
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("line", F.lit(p), F.lit(1)), lambda v, n=name: F.struct(F.lit(n).alias("spec"), v.alias("value"))) for name, p in SPECS)))
+    named = lambda name: lambda v: F.struct(F.lit(name).alias("spec"), v.alias("value"))
+    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("line", F.lit(p), F.lit(1)), named(name)) for name, p in SPECS)))
     return lines(docs, id_col, text_col).where(F.col("line").rlike(r"\d|HWP|PDF|DOCX|PPTX|MP4|ZIP|PNG|JPG|MP3")).select("doc_id", "line_no", F.explode(found).alias("s")).select("doc_id", "line_no", "s.*")
 
 

@@ -86,7 +86,12 @@ def _any_word(line: Column, words: list[str]) -> Column:
     return F.lower(line).rlike("|".join(w.lower() for w in words))
 
 
-def _candidates(line: Column, rule: Rule, number: int) -> Column:
+#: A character or a beginning that every rule's match has; most lines have none, and no rule needs to look at them.
+_SIGNS, _STARTS = "[0-9@=:가-힣]", ("sk-", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AIza", "xox", "eyJ", "-----BEGIN", "Bearer")
+
+
+def _candidates(rule: Rule, number: int) -> Column:
+    line = F.col("line")
     confidence = F.lit(RANK[rule.confidence])
 
     def ranked(v: Column) -> Column:
@@ -96,7 +101,7 @@ def _candidates(line: Column, rule: Rule, number: int) -> Column:
             return F.when(V.resident_status(v) == "form-only", RANK["medium"]).otherwise(confidence)
         return confidence
 
-    found = spans(line, rule.search)
+    found = spans("line", rule.search)
     if rule.check:
         found = F.filter(found, lambda x: rule.check(x["value"]))
     out = F.transform(found, lambda x: F.struct(F.lit(rule.priority).alias("priority"), F.lit(number).alias("rule"), x["start"].alias("start"), x["end"].alias("end"), F.lit(rule.kind).alias("type"), x["value"].alias("value"), ranked(x["value"]).alias("rank")))
@@ -112,8 +117,10 @@ def keep_without_overlap(candidates: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, min_confidence: str = "info", names: bool = True) -> DataFrame:
     """Findings: doc_id, type, line, col, start, end, matched, confidence, rank, masked, value. No shuffle."""
     use = [r for r in rules if names or r.kind != "name"]
-    hit = F.col("line").rlike("|".join(f"(?:{r.search})" for r in use))  # most lines end here
-    kept = keep_without_overlap(F.concat(*(_candidates(F.col("line"), r, i) for i, r in enumerate(use))))
+    hit = F.col("line").rlike(_SIGNS)
+    for start in _STARTS:
+        hit = hit | F.contains(F.col("line"), F.lit(start))
+    kept = keep_without_overlap(F.concat(*(_candidates(r, i) for i, r in enumerate(use))))
     f = lines(docs, id_col, text_col).where(hit).select("doc_id", "line_no", F.explode(kept).alias("f"))
     level = F.element_at(F.create_map(*(F.lit(x) for k, v in RANK.items() for x in (v, k))), F.col("f.rank"))
     out = f.select("doc_id", F.col("f.type").alias("type"), F.col("line_no").alias("line"), (F.col("f.start") + 1).alias("col"), F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.length("f.value").alias("matched"), level.alias("confidence"), F.col("f.rank").alias("rank"), V.mask(F.col("f.type"), F.col("f.value")).alias("masked"), F.col("f.value").alias("value"))
@@ -141,7 +148,8 @@ def masked_copies(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id",
     """doc_id, masked_text of documents with findings: each line's spans are replaced from the right."""
     per = findings.groupBy("doc_id", "line").agg(F.reverse(F.array_sort(F.collect_list(F.struct("start", "end", "masked")))).alias("f"))
     splice = lambda s, x: F.concat(F.substring(s, F.lit(1), x["start"]), x["masked"], F.substring(s, x["end"] + 1, F.length(s)))
-    some = lines(docs.join(findings.select("doc_id").distinct(), docs[id_col] == F.col("doc_id"), "left_semi"), id_col, text_col)
+    hit = findings.select(F.col("doc_id").alias("hit_id")).distinct()
+    some = lines(docs.select(id_col, text_col).join(hit, F.col(id_col) == F.col("hit_id"), "left_semi"), id_col, text_col)
     out = some.join(per.withColumnRenamed("line", "line_no"), ["doc_id", "line_no"], "left").select("doc_id", "line_no", F.coalesce(F.aggregate("f", F.col("line"), splice), F.col("line")).alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     return out.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("masked_text"))

@@ -166,7 +166,7 @@ def title_similarity(spark, d):
 
 # -- References -------------------------------------------------------------------------------------------------------
 
-_REF = "'[' || p_partkey || '] Kim, A. (' || (1990 + p_size % 30) || '). ' || p_name || '. Journal of Parts. ' || CASE WHEN p_partkey % 4 = 0 THEN 'arXiv:2101.' || (10000 + p_partkey % 90000) WHEN p_partkey % 4 = 1 THEN 'https://example.org/p/' || p_partkey ELSE 'doi:10.' || (1000 + p_partkey % 9000) || '/x' || p_partkey END || '.'"
+_REF = "'[' || (p_partkey + 10000) || '] Kim, A. (' || (1990 + p_size % 30) || '). ' || p_name || '. Journal of Parts. ' || CASE WHEN p_partkey % 4 = 0 THEN 'arXiv:2101.' || (10000 + p_partkey % 90000) WHEN p_partkey % 4 = 1 THEN 'https://example.org/p/' || p_partkey ELSE 'doi:10.' || (1000 + p_partkey % 9000) || '/x' || p_partkey END || '.'"
 
 
 def _refs(spark, d):
@@ -203,21 +203,29 @@ def ref_split_numbered(spark, d):
     return references.split_items(t, "numbered").groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum(F.length("item")).alias("n_chars"))
 
 
+#: Line items with one row for each order and number.
+_ITEMS = "(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+
+
+def _items(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")))
+
+
 #: Elements of an order: line items over pages of three; every fourth one continues its predecessor.
 def _elements(spark, d):
     text = "case when l_linenumber % 4 = 0 then 'continued part ' || l_partkey else '[' || l_linenumber || '] Kim, A. (2001). Part ' || l_partkey end"
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.expr("cast((l_linenumber + 2) div 3 as int)").alias("page"), F.lit("paragraph").alias("category"), F.expr(text).alias("text"), F.expr("(l_partkey % 2) * 0.5D").alias("x"), F.expr("cast(l_suppkey % 7 as double)").alias("y"), F.lit(0.4).alias("w"), F.lit(0.1).alias("h"))
+    return _items(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.expr("cast((l_linenumber + 2) div 3 as int)").alias("page"), F.lit("paragraph").alias("category"), F.expr(text).alias("text"), F.expr("(l_partkey % 2) * 0.5D").alias("x"), F.expr("cast(l_suppkey % 7 as double)").alias("y"), F.lit(0.4).alias("w"), F.lit(0.1).alias("h"))
 
 
 @query(
-    """SELECT l_orderkey AS doc_id, l_linenumber AS ord, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_linenumber + 2) // 3, CASE WHEN (l_partkey % 2) * 0.5 + 0.2 >= 0.5 THEN 1 ELSE 0 END, l_suppkey % 7, l_linenumber) AS INT) AS position FROM lineitem"""
+    f"""SELECT l_orderkey AS doc_id, l_linenumber AS ord, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_linenumber + 2) // 3, CASE WHEN (l_partkey % 2) * 0.5 + 0.2 >= 0.5 THEN 1 ELSE 0 END, l_suppkey % 7, l_linenumber) AS INT) AS position FROM {_ITEMS}"""
 )
 def reading_order(spark, d):
     return references.reading_order(_elements(spark, d)).select("doc_id", "ord", "position")
 
 
 @query(
-    """WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber AS position, l_linenumber % 4 <> 0 AS marked, (l_linenumber + 2) // 3 AS page FROM lineitem),
+    f"""WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber AS position, l_linenumber % 4 <> 0 AS marked, (l_linenumber + 2) // 3 AS page FROM {_ITEMS}),
 w AS (SELECT *, max(CASE WHEN marked THEN position END) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e),
 t AS (SELECT w.*, p.page AS last_page FROM w LEFT JOIN e p ON p.doc_id = w.doc_id AND p.position = w.last),
 k AS (SELECT doc_id, CASE WHEN NOT marked AND page = last_page + 1 THEN last ELSE position END AS position, marked FROM t)
@@ -230,8 +238,8 @@ def ref_cross_page_merge(spark, d):
 
 @query(
     """WITH e AS (SELECT o_orderkey AS doc_id, l_linenumber AS position, l_linenumber = 1 + o_orderkey % 7 AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-a AS (SELECT *, min(CASE WHEN h THEN position END) OVER (PARTITION BY doc_id) AS at FROM e)
-SELECT doc_id, CAST(position AS INT) AS position, CASE WHEN at IS NULL OR position < at THEN 'body' WHEN position = at THEN 'heading' ELSE 'references' END AS section FROM a"""
+a AS (SELECT *, min(CASE WHEN h THEN position END) OVER (PARTITION BY doc_id) AS h_at FROM e)
+SELECT doc_id, CAST(position AS INT) AS position, CASE WHEN h_at IS NULL OR position < h_at THEN 'body' WHEN position = h_at THEN 'heading' ELSE 'references' END AS section FROM a"""
 )
 def section_split(spark, d):
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("position"), F.expr("case when l_linenumber = 1 + l_orderkey % 7 then 'References' else 'text' end").alias("text"))
@@ -287,9 +295,9 @@ def link_missing(spark, d):
     return references.link_report(_claims(spark, d), listed)[1]
 
 
-@query(f"WITH {_CLAIMS_SQL}, {_LISTED_SQL} SELECT c.doc_id, CAST(c.ord AS INT) AS ord, c.marker_value, CAST(r.ref_id AS INT) AS ref_id FROM c LEFT JOIN r USING (doc_id, marker_type, marker_value)")
+@query(f"WITH {_CLAIMS_SQL}, {_LISTED_SQL} SELECT c.doc_id, CAST(c.ord AS INT) AS ord, c.marker_value, CAST(coalesce(r.ref_id, -1) AS INT) AS ref_id FROM c LEFT JOIN r USING (doc_id, marker_type, marker_value)")
 def claim_ref_first_match(spark, d):
-    return references.first_matching_reference(_claims(spark, d), _listed(spark, d)).select("doc_id", "ord", "marker_value", "ref_id")
+    return references.first_matching_reference(_claims(spark, d), _listed(spark, d)).select("doc_id", "ord", "marker_value", F.coalesce("ref_id", F.lit(-1)).alias("ref_id"))
 
 
 _STATUS = "CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN 'verified' WHEN 1 THEN 'partial' WHEN 2 THEN 'unverified' WHEN 3 THEN 'unreachable' ELSE 'not_applicable' END"
@@ -308,13 +316,12 @@ def misquote_count(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT l_orderkey AS ref_id, l_linenumber AS cand_ord, CAST(l_quantity AS INT) / 50.0 - CASE WHEN l_returnflag = 'A' THEN 0 ELSE 0.2 END - CASE WHEN l_suppkey % 4 > 1 THEN 0.1 ELSE 0 END AS score FROM lineitem)
-SELECT ref_id, CAST(cand_ord AS INT) AS cand_ord FROM c QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY round(score, 6) DESC, cand_ord) = 1"""
+    f"""WITH c AS (SELECT l_orderkey AS ref_id, l_linenumber AS cand_ord, CAST(l_quantity AS INT) / 64.0::DOUBLE - CASE WHEN l_returnflag = 'A' THEN 0.0::DOUBLE ELSE 0.2::DOUBLE END - CASE WHEN l_suppkey % 4 > 1 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS score FROM {_ITEMS})
+SELECT ref_id, CAST(cand_ord AS INT) AS cand_ord FROM c QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, cand_ord) = 1"""
 )
 def candidate_top1(spark, d):
-    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ref_id"), F.col("l_linenumber").alias("cand_ord"), F.expr("cast(cast(l_quantity as int) / 50 as decimal(10, 4))").alias("similarity"), (F.col("l_returnflag") == "A").alias("author_ok"), F.expr("cast(l_suppkey % 4 as int)").alias("year_diff"))
-    exact = c.withColumn("similarity", F.col("similarity").cast("double"))
-    return references.best_candidate(exact.withColumn("similarity", F.round("similarity", 6))).select("ref_id", "cand_ord")
+    c = _items(spark, d).select(F.col("l_orderkey").alias("ref_id"), F.col("l_linenumber").alias("cand_ord"), F.expr("cast(l_quantity as int) / 64D").alias("similarity"), (F.col("l_returnflag") == "A").alias("author_ok"), F.expr("cast(l_suppkey % 4 as int)").alias("year_diff"))
+    return references.best_candidate(c).select("ref_id", "cand_ord")
 
 
 @query(
@@ -385,10 +392,10 @@ def law_search(spark, d):
     return law.search(n, "AN").select("law_key", "found_in")
 
 
-@query("SELECT o_orderkey AS doc_id, '산업안전보건법' AS law_key, CAST(o_orderkey % 175 + 1 AS INT) AS article, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 3 + 1 AS INT) END AS paragraph FROM orders UNION ALL SELECT o_orderkey, '근로기준법', CAST(o_orderkey % 100 + 1 AS INT), NULL FROM orders")
+@query("SELECT o_orderkey AS doc_id, '산업안전보건법' AS law_key, CAST(o_orderkey % 175 + 1 AS INT) AS article, CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 3 + 1 ELSE 0 END AS INT) AS paragraph FROM orders UNION ALL SELECT o_orderkey, '근로기준법', CAST(o_orderkey % 100 + 1 AS INT), 0 FROM orders")
 def law_citations(spark, d):
-    t = "'점검은 「산업안전 보건법」 제' || (o_orderkey % 175 + 1) || '조' || case when o_orderkey % 2 = 0 then ' 제' || (o_orderkey % 3 + 1) || '항' else '' end || '에 따른다. 또한 근로기준법 제' || (o_orderkey % 100 + 1) || '조를 본다.'"
-    return law.extract_citations(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(t).alias("text"))).select("doc_id", "law_key", "article", "paragraph")
+    t = "'점검은 「산업안전 보건법」 제' || (o_orderkey % 175 + 1) || '조' || case when o_orderkey % 2 = 0 then ' 제' || (o_orderkey % 3 + 1) || '항' else '' end || '에 따른다. 그리고, 근로기준법 제' || (o_orderkey % 100 + 1) || '조를 본다.'"
+    return law.extract_citations(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(t).alias("text"))).select("doc_id", "law_key", "article", F.coalesce("paragraph", F.lit(0)).alias("paragraph"))
 
 
 @query("SELECT n_nationkey AS law_no, CAST(i AS INT) AS article, CAST(2 AS INT) AS n_paragraphs FROM nation, range(1, 4) t(i)")
@@ -539,9 +546,9 @@ def notice_dates(spark, d):
     return notice.dates(_notices(spark, d), F.to_date(F.lit("2026-08-01"))).select("doc_id", "line_no", "date", "time", "kind")
 
 
-@query("SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS line_no, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS total FROM lineitem")
+@query("SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS line_no, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS total FROM " + _ITEMS)
 def score_window(spark, d):
-    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"), F.array("l_quantity").alias("values"))
+    c = _items(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"), F.array("l_quantity").alias("values"))
     return notice.window_cells(c, 2).select("doc_id", "line_no", F.aggregate("window_values", F.lit(0.0), lambda a, b: a + b).alias("total"))
 
 
