@@ -38,7 +38,7 @@ def normalize_claim(s: Column) -> Column:
 
 
 def split_ellipsis(s: Column) -> Column:
-    return F.filter(F.transform(F.split(s, r"\.\.\.|…"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, r"\.\.\.|…"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def quote_exists(quote: Column, title: Column, abstract: Column, shortest: int = 15) -> Column:
@@ -83,11 +83,11 @@ def sentences(s: Column) -> Column:
 
 
 def checklist_sentences(s: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), r"[.?！；;:\n]+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), r"[.?！；;:\n]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def photo_sentences(s: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), r"(?<=[．］』」)])\s+|(?<=[.!?])\s+|\n\s*\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), r"(?<=[．］』」)])\s+|(?<=[.!?])\s+|\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def number_markers(s: Column) -> Column:

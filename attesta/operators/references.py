@@ -106,7 +106,7 @@ def _first(s: Column, pattern: str) -> Column:
 def split_items(docs: DataFrame, mode: str = "auto", text_col: str = "text") -> DataFrame:
     """Reference text to items: doc_id, item_no, item. mode: numbered, paragraphs, lines or auto (the first that applies)."""
     t = F.col(text_col)
-    kept = lambda a: F.filter(F.transform(a, F.trim), lambda x: x != "")
+    kept = lambda a: F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != "")
     lines = kept(F.split(t, "\n"))
     forms = {"numbered": kept(F.split(t, r"\n(?=\s*(?:\[\d+\]|\d+\.|\d+\))\s)")), "paragraphs": kept(F.split(t, r"\n\s*\n")), "lines": lines}
     auto = F.when(F.exists(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: x.rlike(NUMBERED)), forms["numbered"]).when(F.size(forms["paragraphs"]) > 1, forms["paragraphs"]).otherwise(lines)
@@ -125,7 +125,7 @@ def parse(raw: Column) -> dict[str, Column]:
     bare = raw
     for p in (r"\(?\d{4}\)?", DOI, ARXIV, URL):
         bare = F.regexp_replace(bare, p, "")
-    pieces = F.filter(F.transform(F.split(bare, r"[.;]\s*"), F.trim), lambda p: F.length(p) >= 10)
+    pieces = F.filter(F.transform(F.split(bare, r"[.;]\s*"), lambda x: F.trim(x)), lambda p: F.length(p) >= 10)
     longest = F.array_max(F.transform(pieces, lambda p, i: F.struct(F.length(p).alias("n"), (-i).alias("i"), p.alias("p"))))["p"]
     title = F.coalesce(longest_quote, F.when(F.length(after_year) >= 8, after_year), F.left(F.regexp_replace(longest, trail, ""), F.lit(200)))
     line = F.trim(F.element_at(F.split(raw, "\n"), 1))
