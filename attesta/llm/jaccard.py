@@ -35,7 +35,7 @@ from attesta.llm.components import connected_components
 
 SHINGLE, PERCENT = 4, 85
 #: Shingles come last that belong to sets with this many relatives; of so many shingles at most, those with most.
-RELATIVES, LAST_SHINGLES = 6, 1_000_000
+RELATIVES, LAST_SHINGLES = 6, 200_000
 BITS = 256
 #: Rows up to which a table of ids is broadcast; beyond, it is joined.
 BROADCAST_IDS = 1_000_000
@@ -309,7 +309,7 @@ class JaccardJoin:
         nodes = self._nodes(rows, self._classes(rows))
         pairs = self._pivot_pairs(self._lists(nodes), [])
         most = pairs.groupBy(F.col("a").alias("row")).agg(F.count("*").alias("relatives")).where(F.col("relatives") >= RELATIVES)
-        most = most.join(rows.select("row", "doc_id", "n"), "row").orderBy(F.desc("relatives"), "row").limit(LAST_SHINGLES // 20).select("doc_id", "n").collect()
+        most = most.join(rows.select("row", "doc_id", "n"), "row").orderBy(F.desc("relatives"), "row").limit(LAST_SHINGLES // 40).select("doc_id", "n").collect()
         want, total = [], 0
         for r in most:
             total += r["n"]
@@ -321,7 +321,7 @@ class JaccardJoin:
         ids = F.broadcast(self.docs.sparkSession.createDataFrame(want, "want long").distinct())
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
         sets = texts.mapInArrow(lambda x: _sets(x, size, None), "digest binary, shingles array<long>")
-        found = sets.select(F.explode("shingles").alias("s")).distinct().limit(LAST_SHINGLES).toPandas()["s"].to_numpy(np.int64)
+        found = np.unique(np.concatenate([x.values.to_numpy() for x in sets.toArrow()["shingles"].combine_chunks()] or [np.zeros(0, np.int64)]))
         return np.sort((found - np.iinfo(np.int64).min).view(np.uint64))
 
     @staticmethod
