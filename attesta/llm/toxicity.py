@@ -104,7 +104,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     p = a / F.col("df")
     gain = 2 * (a * F.log(p / (t / n)) + F.when(b > 0, b * F.log((1 - p) / (1 - t / n))).otherwise(0.0))
     best = per_unit.withColumn("gain", gain).where((rate_a > 4 * rate_b) & (F.col("gain") > 2 * np.log(tested))).orderBy(F.desc("gain"), "unit").limit(UNITS)
-    units = [r["unit"] for r in best.select("unit").collect()]
+    best = best.select("unit", "a", "df").collect()
+    units = [r["unit"] for r in best]
     place = {u: i for i, u in enumerate(units)}
     found = rows.select("doc_id", "patterns", F.array_intersect("units", F.array(*map(F.lit, units)) if units else F.array().cast("array<string>")).alias("units")).orderBy("doc_id").collect()
     present = [np.array(sorted(place[u] for u in r["units"]), int) for r in found]
@@ -116,7 +117,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     patterns, count, index = distinct_votes(votes)
     model = LabelModel(patterns, count, start=(patterns[:, :LEXICON_VOTERS].sum(axis=1) > 0) * 0.9 + 0.02, prior=t / n)
     target = model.posterior(patterns)[index]
-    weights, intercept = train_linear(present, [np.ones(len(x)) for x in present], target, len(units))
+    # Each unit that no clean text had also stands as a text of its own: one word has to be enough.
+    alone = [(sorted({place[u] for u in units_of(r["unit"]) if u in place} | {place[r["unit"]]}), (r["a"] + 0.5) / (r["df"] + 1)) for r in best if r["a"] == r["df"]]
+    examples = present + [np.array(x, int) for x, _ in alone]
+    target = np.r_[target, [p for _, p in alone]]
+    weights, intercept = train_linear(examples, [np.ones(len(x)) for x in examples], target, len(units), l2=1e-4, steps=1000)
     return Model(units, weights, intercept)
 
 
