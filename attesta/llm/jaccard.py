@@ -35,7 +35,7 @@ from attesta.llm.components import connected_components
 
 SHINGLE, PERCENT = 4, 85
 #: Shingles come last that belong to sets with this many relatives; of so many shingles at most, those with most.
-RELATIVES, LAST_SHINGLES = 6, 200_000
+RELATIVES, LAST_SHINGLES = 6, 500_000
 BITS = 256
 #: Rows up to which a table of ids is broadcast; beyond, it is joined.
 BROADCAST_IDS = 1_000_000
