@@ -130,6 +130,24 @@ def test_shards_are_even_and_keep_groups(spark, docs):
     assert got[got.text == "hot"].groupby("shard").size().max() >= 25
 
 
+def test_large_groups_stay_whole_while_a_shard_can_hold_them(spark):
+    sizes = [90, 80, 70, 60, 45, 30, 30, 26, 250]  # 8 shards of 120 rows; only the last group exceeds one
+    texts = [f"group {i}" for i, n in enumerate(sizes) for _ in range(n)]
+    texts += [f"pair {i // 2}" for i in range(100)] + [f"alone {i}" for i in range(960 - len(texts) - 100)]
+    many = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sharding.shard_documents(many, 8).toPandas().merge(many.toPandas(), on="doc_id")
+    assert (got.groupby("shard").size() == 120).all()
+    per = got[got.text.str.startswith("group")].groupby("text").shard.nunique()
+    assert per.drop("group 8").max() == 1 and per["group 8"] == 3
+
+
+def test_placing_large_groups():
+    places, room = sharding.place([[5, 5], [3, 3, 3, 3, 3], [4]], 3, 12)
+    assert places[0] in ([s, s] for s in range(3)) and len({*places[1]}) == 2 and sum(room) == 7
+    places, room = sharding.place([[4, 4, 4]], 2, 5)  # a block that fits nowhere is placed all the same
+    assert sum(room) == -2 and {*places[0]} == {0, 1}
+
+
 def test_exact_dedup_against_brute_force(docs):
     got = Counter(tuple(r) for r in exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept").collect())
     groups = {}
