@@ -11,6 +11,7 @@ WORKERS_PER_POOL workers then lays them end to end and cuts them again, so that
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,6 +32,9 @@ WORKERS_PER_POOL = 64
 #: How byte-level BPE splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space of more characters than this goes to tokenizers: the other library's stack ends at about a million.
+LONG_SPACE = 50_000
+
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -42,17 +46,22 @@ def piece_lengths(capacity: int) -> list[int]:
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, by the vocabulary in a tokenizers JSON file.
 
-    The merges are run by tiktoken, four times as fast as the library that wrote the file and with the same ids.
+    The merges are run by tiktoken, four times as fast as the library that wrote the file and with the same ids. That
+    library (tokenizers) itself encodes the few texts that hold an added token, as the file says how those are cut out,
+    or very long white space.
     """
 
     def __init__(self, path: str):
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {x["content"] for x in spec.get("added_tokens", [])}
         byte_of = self._bytes()
         vocab = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
+        self._exact = Tokenizer.from_file(path)
+        self._added = re.compile("|".join(map(re.escape, special))) if special else None
         self._bpe = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=vocab, special_tokens={})
 
     @staticmethod
@@ -62,7 +71,14 @@ class Encoder:
         rest = [b for b in range(256) if b not in plain]
         return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
+    def _hard(self, text: str) -> bool:
+        if self._added and self._added.search(text):
+            return True
+        return len(text) > LONG_SPACE and any(m.end() - m.start() > LONG_SPACE for m in re.finditer(r"\s+", text))
+
     def __call__(self, text: str) -> bytes:
+        if self._hard(text):
+            return array("I", self._exact.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self._bpe.encode_ordinary(text)).tobytes()
 
 

@@ -104,6 +104,18 @@ def test_pack_is_an_exact_round_trip(docs):
     assert (sequences < 1024 - 16).sum() <= 1  # full but for the remainder of a length, and one sequence of a pool
 
 
+def test_ids_of_added_tokens_and_long_white_space():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.Encoder(path("byte_bpe_50k.json"))
+    ids = lambda text: np.frombuffer(encode(text), "<u4").tolist()
+    assert ids("a<|endoftext|>b") == [64, 50256, 65]
+    spaces = [f"a{c * n}b{end}" for c, n in ((" ", 49_999), (" ", 50_001), ("\n", 60_000), (" ", 1_100_000)) for end in ("", " c")]
+    for text in ["", "<|endoftext|>", " <|endoftext|>  x <|endoftext|><|endoftext|>\n", "<|endoftext|", *spaces, " " * 1_100_000]:
+        assert ids(text) == t.encode(text, add_special_tokens=False).ids
+
+
 def test_piece_lengths_fill_their_bins():
     lengths = packing.piece_lengths(1024)
     assert lengths[0] == 1024 and lengths[-1] == 1 and all(1024 - 1024 // s * s <= 16 for s in lengths)
