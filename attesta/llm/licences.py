@@ -1,12 +1,15 @@
 """Licence scan by sentence rules, native DataFrame expressions throughout.
 
-A text is cut into sentences, and these are normalised; those that licence texts and notices are made of are mapped to
-identifiers. Ordered rules then look for sequences of identifiers, longest and most telling first; what a rule has
+A text is normalised, and those sentences that licence texts and notices are made of are looked for in it and mapped to
+identifiers: from the start of a line or sentence to the end of one, on one line or wrapped over several with or without
+comment marks, but not across a blank line, the end of a sentence or a colon that ends a line. Ordered rules then look for sequences of identifiers, longest and most telling first; what a rule has
 matched is used up, so that a shorter rule can't report a part of it again.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +80,8 @@ RULES = [
 ]
 
 ENDS, BREAK, EDGES, QUOTES = r"[.!?][\x20\x09-\x0D]+", r"[\n\r]+", r"^[\x20\x09-\x0D#*/;.,!?-]+|[\x20\x09-\x0D*/;.,!?-]+$", "[\"'`]"
+#: How lines become comparable after the sentences' ends are marked by \r. Nothing here takes more than linear time.
+LINES = [(QUOTES, ""), (r"[\x20\x09\x0B\x0C]+", " "), (r" ?(?:\*/?|//)? ?\n[ #*/;-]*+", "\n"), (r"\n\n+", "\r"), (r": ?\n", ":\r"), ("licence", "license")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,14 +90,22 @@ def identifier_of(sentence: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in known for x in pair)), sentence)
 
 
+def wanted() -> str:
+    """Finds known sentences in normalised text, the longest that ends where a line or sentence does.
+
+    Those that a cut at full stops takes apart, or that end in characters that are stripped, are none.
+    """
+    whole = [s for many in SENTENCES.values() for s in many if not re.search(ENDS, s) and not re.search(EDGES, s)]
+    known = "|".join(r"[ \n]".join(map(re.escape, s.split(" "))) for s in sorted(whole, key=len, reverse=True))
+    return rf"(?:^|[\n\r])[ #*/;.,!?-]*+({known})(?=[ */;.,!?-]*+(?:[\n\r]|\z))"
+
+
 def sentence_identifiers(text: Column) -> Column:
     """The identifiers of the text's known sentences, in order."""
-    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), ENDS, "\n")
-    sentences = F.split(F.regexp_replace(marked, BREAK, "\n"), "\n", -1)
-    # No known sentence is shorter or longer, so others need no normalising.
-    likely = F.filter(sentences, lambda s: F.length(s).between(10, 600))
-    clean = F.transform(likely, lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, QUOTES, ""), r"[\x20\x09-\x0D]+", " "), "licence", "license"), EDGES, ""))
-    return F.filter(F.transform(clean, identifier_of), lambda k: k.isNotNull())
+    clean = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"\r\n?", "\n")
+    for pattern, by in [(ENDS, "\r"), *LINES]:
+        clean = F.regexp_replace(clean, pattern, by)
+    return F.filter(F.transform(F.regexp_extract_all(clean, F.lit(wanted()), F.lit(1)), lambda s: identifier_of(F.translate(s, "\n", " "))), lambda k: k.isNotNull())
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

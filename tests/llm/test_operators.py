@@ -128,6 +128,34 @@ def test_licence_rules(spark):
     assert got == {1: ("mit-grant,mit-notice", "MIT"), 2: ("cc-by-nc,mit-short", "MIT,CC-BY-NC-4.0"), 3: ("", ""), 4: ("", "")}
 
 
+def test_licences_wrapped_over_lines(spark):
+    import textwrap
+
+    say = {k: licences.SENTENCES[k][0] for k in licences.SENTENCES}
+    texts = {
+        "MIT": ["MIT License. Copyright (c) 2020 A", say["mit-grant"], say["mit-notice"] + ".", say["as-is"] + ".", say["liability"] + "."],
+        "BSD-3-Clause": [say["bsd-head"], "1. " + say["bsd-source"] + ".", "2. " + say["bsd-binary"] + ".", "3. " + say["bsd-endorse"] + "."],
+        "ISC": ["Copyright 2020 A", say["isc-grant"] + "."],
+        "GPL-3.0-or-later": [say["gpl-grant"] + ". " + say["gpl-hope"] + ". " + say["gpl-see"].capitalize() + "."],
+    }
+    rows, want = [], {}
+    for name, parts in texts.items():
+        for width in (40, 70, 78, 2_000):
+            for first, mark, last in (("", "", ""), ("/*\n", " * ", "\n */"), ("", "# ", ""), ("", "// ", ""), ("", "    ", "")):
+                for gap in ("\n", "\n" + mark.rstrip() + "\n"):
+                    lines = [textwrap.indent(textwrap.fill(x, width, break_on_hyphens=False), mark) for x in parts]
+                    for end in ("\n", "\r\n"):
+                        rows.append((len(rows), ("int x;\n" + first + gap.join(lines) + last + "\nint y;").replace("\n", end)))
+                        want[rows[-1][0]] = name
+    padded = "Released under " + " " * 700 + "the MIT License"
+    none = ["Released under the\n\nMIT License", "Not released under the\nMIT License", "Released under the\nMIT License or another", " " * 300_000 + "x" + "*" * 300_000 + "/" * 300_000]
+    for text, name in [(padded, "MIT"), ("Text\nReleased under the\nMIT License\nmore", "MIT"), *((x, "") for x in none)]:
+        rows.append((len(rows), text))
+        want[rows[-1][0]] = name
+    got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [rows[i] for i in got if got[i] != want[i]] == []
+
+
 def test_shards_are_even_and_keep_groups(spark, docs):
     got = sharding.shard_documents(docs, 5).toPandas()
     counts = got.groupby("shard").size().reindex(range(5), fill_value=0)
