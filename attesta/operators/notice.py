@@ -15,14 +15,19 @@ RISK_CLASSES = [("disqualification", "실격|제외|불가|무효|취소|반려|
 DATE_KINDS = [("submission_deadline", "마감|제출|접수|deadline|submission"), ("review", "심사|평가|review"), ("announcement", "발표|공고|announcement"), ("event", "행사|시상|개최|event")]
 SPECS = [("size", r"(\d+(?:\.\d+)?\s*(?i:MB|KB|GB))"), ("pages", r"(\d+)\s*(?:쪽|장|페이지|매)"), ("characters", r"(\d+)\s*자"), ("minutes", r"(\d+)\s*(?:분|초)"), ("copies", r"(\d+)\s*부"), ("people", r"(\d+)\s*(?:인|명)"), ("file_type", r"(?:^|[^A-Za-z])(?i:(HWP|PDF|DOCX|PPTX|MP4|ZIP|PNG|JPG|MP3))(?:[^A-Za-z]|$)"), ("limit", r"(\d+(?:\.\d+)?\s*(?:쪽|자|분|MB|KB|GB|부|인|장)\s*(?:이내|이하|미만))")]
 WEEKDAYS = "월화수목금토일"
-DATE = r"(?:(\d{4})\s*[-./년]\s*)?(\d{1,2})\s*[-./월]\s*(\d{1,2})\s*일?"
-_ONE = r"(?<![\d.\-/])(?:\d{4}\s*[-./년]\s*)?\d{1,2}\s*[-./월]\s*\d{1,2}(?![\d]|\s*(?:점|%|MB|쪽))"
+#: English names by their first letters, and a bracketed weekday in either language.
+ENGLISH = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
+BRACKETED = rf"^\s*\(\s*(?:[{WEEKDAYS}](?:요일)?|(?i:{'|'.join(ENGLISH)})[A-Za-z]*\.?)\s*\)"
+#: A year of two digits stands before a whole month and day only.
+_YEAR = r"\d{4}|\d{2}(?=\s*[-./년]\s*(?:0?[1-9]|1[0-2])\s*[-./월]\s*(?:0?[1-9]|[12]\d|3[01])(?!\d|\.\d|\s*[:시]))"
+DATE = rf"(?:({_YEAR})\s*[-./년]\s*)?(\d{{1,2}})\s*[-./월]\s*(\d{{1,2}})\s*일?"
+_ONE = rf"(?<![\d.\-/vV])(?:(?:{_YEAR})\s*[-./년]\s*)?\d{{1,2}}\s*[-./월]\s*\d{{1,2}}(?![\d]|\s*(?:점|%|MB|쪽))(?:\s*일|\.(?!\d))?"
 
 
 def dates(docs: DataFrame, today: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per date on a line: doc_id, line_no, raw, date, time, year_inferred, weekday, weekday_in_text, weekday_mismatch, kind.
 
-    A year that is left out is this one, or the next if the date would be over 240 days past. A two-part number that is
+    A year of two digits is one from 2000 on. A year that is left out is this one, or the next if the date would be over 240 days past. A two-part number that is
     a score, a size or no date gives nothing. Of equal dates and times on a line the first stays.
     """
     l = lines(docs, id_col, text_col).where(F.col("line").rlike(_ONE))
@@ -31,9 +36,12 @@ def dates(docs: DataFrame, today: Column, id_col: str = "doc_id", text_col: str
     part = lambda k: F.regexp_extract("raw", DATE, k).try_cast("int")
     day_of = lambda y: F.try_to_date(F.format_string("%04d-%02d-%02d", y, part(2), part(3)), "yyyy-MM-dd")
     this = day_of(F.year(today))
-    d = d.withColumn("year_inferred", part(1).isNull()).withColumn("date", F.when(part(1).isNotNull(), day_of(part(1))).when(F.date_diff(today, this) > 240, day_of(F.year(today) + 1)).otherwise(this))
-    d = d.where("date IS NOT NULL").where(F.col("year_inferred") & F.col("raw").rlike("월") | ~F.col("year_inferred") | F.col("rest").rlike(r"^\s*\([월화수목금토일]\)"))
-    said = F.regexp_extract("rest", rf"^\s*일?\s*\(?([{WEEKDAYS}])(?:요일)?\)", 1)
+    year = part(1) + F.when(part(1) < 100, 2000).otherwise(0)
+    d = d.withColumn("year_inferred", year.isNull()).withColumn("date", F.when(year.isNotNull(), day_of(year)).when(F.date_diff(today, this) > 240, day_of(F.year(today) + 1)).otherwise(this))
+    d = d.where("date IS NOT NULL").where(F.col("year_inferred") & F.col("raw").rlike("월") | ~F.col("year_inferred") | F.col("rest").rlike(BRACKETED))
+    said = F.regexp_extract("rest", rf"^\s*\(?\s*([{WEEKDAYS}])(?:요일)?\s*\)", 1)
+    english = F.lower(F.regexp_extract("rest", rf"^\s*\(?\s*(?i:({'|'.join(ENGLISH)})(?:day|sday|nesday|rsday|urday)?)\b", 1))
+    said = F.coalesce(F.nullif(said, F.lit("")), *(F.when(english == e, k) for e, k in zip(ENGLISH, WEEKDAYS, strict=True)))
     hour, minute = F.regexp_extract("rest", r"^[^\d]{0,12}(\d{1,2})\s*(?::|시)\s*(\d{2})?", 1).try_cast("int"), F.regexp_extract("rest", r"^[^\d]{0,12}\d{1,2}\s*(?::|시)\s*(\d{2})?", 1).try_cast("int")
     evening = F.col("rest").rlike(r"^[^\d]{0,12}오후") & (hour < 12)
     time = F.when(F.col("rest").rlike(r"^[^\d]{0,8}자정"), "24:00").when(hour.isNotNull(), F.format_string("%02d:%02d", hour + F.when(evening, 12).otherwise(0), F.coalesce(minute, F.lit(0))))
@@ -41,7 +49,7 @@ def dates(docs: DataFrame, today: Column, id_col: str = "doc_id", text_col: str
     kind = F
     for name, words in DATE_KINDS:
         kind = kind.when(F.lower("line").rlike(words), name)
-    d = d.withColumns({"time": time, "weekday": weekday, "weekday_in_text": F.when(said != "", said), "kind": kind.otherwise("other")})
+    d = d.withColumns({"time": time, "weekday": weekday, "weekday_in_text": said, "kind": kind.otherwise("other")})
     first = F.row_number().over(Window.partitionBy("doc_id", "line_no", "date", "time").orderBy("i"))
     return d.withColumn("k", first).where("k = 1").select("doc_id", "line_no", "raw", "date", "time", "year_inferred", "weekday", "weekday_in_text", (F.col("weekday_in_text") != F.col("weekday")).alias("weekday_mismatch"), "kind")
 

@@ -127,6 +127,27 @@ def test_notice(spark):
     assert notice.score_check(docs).first().near_hundred
 
 
+def test_notice_dates_in_all_forms(spark):
+    forms = {
+        "2026년 8월 31일(월) 오후 6시": (date(2026, 8, 31), "18:00", "월", False),
+        "2026. 8. 31.(월) 18:00": (date(2026, 8, 31), "18:00", "월", False),
+        "26. 8. 3.": (date(2026, 8, 3), None, None, None),
+        "2026-08-31 23:59": (date(2026, 8, 31), "23:59", None, None),
+        "9/7(월)": (date(2026, 9, 7), None, "월", False),
+        "8월 31일 자정": (date(2026, 8, 31), "24:00", None, None),
+        "8. 31.(월)": (date(2026, 8, 31), None, "월", False),
+        "2026.09.04(금) 17시": (date(2026, 9, 4), "17:00", "금", False),
+        "8월31일": (date(2026, 8, 31), None, None, None),
+        "2026. 8. 31.(화)": (date(2026, 8, 31), None, "화", True),
+        "8. 31.(Mon)": (date(2026, 8, 31), None, "월", False),
+        "2026-08-31 (Tuesday) 18:00": (date(2026, 8, 31), "18:00", "화", True),
+    }
+    none = ["3.5점", "10.5MB", "v1.2", "1. 2. 3.", "10.11.12.13"]
+    docs = spark.createDataFrame(list(enumerate([*forms, *none])), "doc_id int, text string")
+    got = {r.doc_id: (r.date, r.time, r.weekday_in_text, r.weekday_mismatch) for r in notice.dates(docs, F.to_date(F.lit("2026-08-01"))).collect()}
+    assert got == dict(enumerate(forms.values()))
+
+
 @pytest.mark.parametrize("start", ["2026-08-01", "2026-08-03", "2026-08-06"])
 def test_business_days_by_counting(spark, start):
     holidays = ["2026-08-17", "2026-09-25", "2026-08-15"]
