@@ -120,6 +120,14 @@ def test_checklist(spark):
     assert got[1, 1, 1] == "risk" and got[1, 1, 3] == "no_evidence" and set(v for k, v in got.items() if k[0] == 2) == {"no_evidence"}
 
 
+def test_full_checklist(spark):
+    docs = spark.createDataFrame([(1, "파견 근로자 지시 사항이 있고 원청의 구체적인 지시 문서도 있다."), (2, "원청 조회에 직접 참석 한다.")], "doc_id int, text string")
+    found = checklist.evaluate(docs, checklist.rules_table(spark, checklist.FULL)).collect()
+    got = {(r.doc_id, r.axis, r.item): r.label for r in found}
+    assert len(got) == len(found) == 2 * 18 and {a for _, a, _ in got} == {1, 2, 3, 4, 5}
+    assert got[1, 1, 1] == "risk" and got[2, 2, 2] == "risk"
+
+
 def test_notice(spark):
     docs = spark.createDataFrame([(1, "접수 마감: 2026년 9월 10일(금) 18시까지\n시상 12월 5일(토)\n창의성 60점\n완성도 40점")], "doc_id int, text string")
     got = notice.dates(docs, F.to_date(F.lit("2026-08-01"))).orderBy("line_no").collect()
