@@ -1,23 +1,20 @@
 """Exact Jaccard self-join of word-shingle sets with set-relation skipping.
 
-Documents with equal sets are one node. Shingles are ordered by hash, but those of sets with many relatives come last;
-two sets that link share one of the first few shingles in that order (the prefix), at positions that leave room for the
-overlap they need. With what near copies have in common last, what tells them apart comes first: copies with more
-changes of their own than a link allows meet in no list any more. Which sets have many relatives a first look at half
-of each prefix says: those that many others of their index lists were compared with.
+Documents with equal sets are one node. Two sets that link share one of the first few shingles in any common order (the
+prefix), at positions that leave room for the overlap they need. The order here is by how many texts have a shingle,
+rare ones first: a first pass counts all shingles of all texts by distributed runs of their hashes, and those of
+FREQUENT texts or more (so few of them that a bounded table holds them) come last, by their count.
 
 Index-level skipping: an index list holds the sets that have a shingle in their prefix, in blocks of equal set size and
 by position in each block. For two blocks the sizes alone say how far down a position may be; the rest of a block, or
-all of it, is skipped.
-
-Answer-level skipping: a first round compares each set with one of its list only, the pivot. Sets that link to
-a pivot share its answers as far as components go, so the second round compares only sets that no links connect yet; and
-where a set's pivot has been compared with the other set, what the pivot shares with it plus what the set has beyond its
-pivot bounds their overlap, and mostly rules the pair out. A group of near copies thus costs its size, not its square.
-
-Pairs of a list are also ruled out by bitmaps: each set has the parities of how many of its shingles fall on each of BITS
-places, and sets differ by as many shingles as their bitmaps differ at least. Pairs that remain are ruled out by their
-prefixes (shingles there that only one of them has), else by their whole sets.
+all of it, is skipped. Bitmaps rule out further pairs: each set has the parities of how many of its shingles fall on
+each of BITS places, and sets differ by as many shingles as their bitmaps differ at least.
+
+Answer-level skipping: in a first round each set meets one other only, its pivot: the set that most of its lists name as
+the one with most relatives. What a set lacks of its pivot and what it has beyond it are kept. Sets that link to a pivot
+share its component, so the second round for components looks only at pairs that no links connect yet; and the overlap
+of two sets of one pivot follows from their differences to it, |p| - |lost(x) | lost(y)| + |gained(x) & gained(y)|,
+without either set. Only pairs of different pivots are compared whole.
 """
 
 from __future__ import annotations
@@ -30,28 +27,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut, pick
+from attesta.llm.common import as_before, cut, pick, place_of, placed, through_arrow
 from attesta.llm.components import connected_components
 
 SHINGLE, PERCENT = 4, 85
-#: Shingles come last that belong to sets with this many relatives; of so many shingles at most, those with most.
-RELATIVES, LAST_SHINGLES = 6, 500_000
+#: Shingles of this many texts come last, at most so many of them: beyond, the least count is doubled until they fit.
+FREQUENT, LAST_SHINGLES = 16, 2_000_000
 BITS = 256
 #: Rows up to which a table of ids is broadcast; beyond, it is joined.
 BROADCAST_IDS = 1_000_000
+#: Sets that a task compares with one pivot, and entries of one index list that a task holds; more are dealt out.
+CELL, LIST = 2_000, 20_000
+
+#: A shingle is a number of this many bits of hash, under its order's class of five bits.
+HASH_BITS = 58
+#: Bits of a hash that are counted within its bucket.
+COUNTED_BITS = 24
 
 
 class Shingles:
-    """Sorted arrays of the distinct shingles of texts, as signed 64-bit numbers: 63 bits of hash, frequent ones from 0 on.
+    """Sorted arrays of the distinct shingles of texts, as 64-bit numbers: their class in the order, then their hash.
 
     Words are hashed where they lie in the batch's bytes: a word's polynomial hash is the difference of two running sums.
     """
 
-    SLICE = 1 << 20
+    SLICE = 1 << 18
     BASE = 0x9E3779B97F4A7C15 | 1
 
-    def __init__(self, size: int, frequent: np.ndarray | None = None):
-        self.size, self.frequent = size, frequent if frequent is not None else np.zeros(0, np.uint64)
+    def __init__(self, size: int, last: tuple[int, np.ndarray, np.ndarray] | None = None):
+        """last: how many bits of a hash are compared, the sorted ones that come last, and their classes."""
+        self.size = size
+        self.shift, self.last, self.classes = (HASH_BITS - last[0], last[1], last[2]) if last else (0, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         self._lower = np.arange(256, dtype=np.uint64) + np.uint64(1)
         self._lower[0x41:0x5B] += np.uint64(0x20)
         self._space = np.zeros(256, bool)
@@ -77,13 +83,14 @@ class Shingles:
         return out
 
     def _ordered(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.unique(hashes >> np.uint64(1))
-        keyed = out.astype(np.int64)
-        if len(self.frequent) and len(out):
-            at = np.minimum(np.searchsorted(self.frequent, out), len(self.frequent) - 1)
-            last = self.frequent[at] == out
-            return np.concatenate([keyed[~last] + np.iinfo(np.int64).min, keyed[last]])
-        return keyed + np.iinfo(np.int64).min
+        out = np.unique(hashes >> np.uint64(64 - HASH_BITS))
+        if len(self.last) and len(out):
+            part = out >> np.uint64(self.shift)
+            at = np.minimum(np.searchsorted(self.last, part), len(self.last) - 1)
+            hit = self.last[at] == part
+            if hit.any():
+                out = np.sort(out | np.where(hit, self.classes[at] << np.uint64(HASH_BITS), np.uint64(0)))
+        return out.view(np.int64)
 
     def _slice(self, data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         self._tables(len(data) + 1)
@@ -134,44 +141,180 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-(percent * n) // 100) + 1 if n else 0
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
+def _blobs(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that follow each other in data, by their ends in bytes."""
+    offsets = np.r_[0, ends].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
-    of = Shingles(size, frequent and frequent.value)
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """The rows of each bucket of a partition that is sorted by bucket."""
+    bucket, held = None, []
+    for b in batches:
+        at = b.column("bucket").to_numpy()
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist() if len(at) else []
+        for lo, hi in zip(starts, [*starts[1:], len(at)], strict=True):
+            if at[lo] != bucket:
+                if held:
+                    yield bucket, held
+                bucket, held = int(at[lo]), []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield bucket, held
+
+
+def _joined(parts: list[pa.RecordBatch], name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(x for p in parts for x in p.column(name).to_pylist()), np.uint8)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers of COUNTED_BITS as three bytes each."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].reshape(-1)
+
+
+def _wide(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x) // 3, 4), np.uint8)
+    out[:, :3] = x.reshape(-1, 3)
+    return out.view("<u4").reshape(-1)
+
+
+def _token_runs(batches: Iterator[pa.RecordBatch], size: int, bucket_bits: int) -> Iterator[pa.RecordBatch]:
+    """Sorted runs of the texts' shingles by bucket: those met once, and those met more often with their counts."""
+    of, held, n = Shingles(size), [], 0
+    flush = min(4_000_000, 400 << bucket_bits)
+
+    def run() -> pa.RecordBatch:
+        x = np.sort(np.concatenate(held))
+        starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        times, x = np.diff(np.r_[starts, len(x)]), x[starts]
+        buckets = np.unique(x >> COUNTED_BITS)
+        once, often = x[times == 1], x[times > 1]
+        limits = (buckets + 1) << COUNTED_BITS
+        n_once, n_often = np.searchsorted(once, limits), np.searchsorted(often, limits)
+        columns = [pa.array(buckets.astype(np.int32)), _blobs(_narrow(once), 3 * n_once), _blobs(_narrow(often), 3 * n_often), _blobs(times[times > 1].astype("<u4").view(np.uint8), 4 * n_often)]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "once", "often", "times"])
+
     for b in batches:
-        n, digests, prefixes, bits = [], [], [], []
         for x in of.arrays(b.column("text")):
-            n.append(len(x))
-            digests.append(xxhash.xxh3_128_digest(x.tobytes()))
-            prefixes.append(x[: prefix_length(len(x), percent)])
-            bits.append(np.packbits(np.bincount(x & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), _lists(prefixes), _lists(bits)], ["doc_id", "row", "n", "digest", "prefix", "bits"])
+            held.append(x >> (HASH_BITS - bucket_bits - COUNTED_BITS))
+            n += len(x)
+            if n >= flush:
+                yield run()
+                held, n = [], 0
+    if n:
+        yield run()
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash parts of shingles of FREQUENT texts or more, and their counts."""
+    for bucket, parts in _by_bucket(batches):
+        once, often = _wide(_joined(parts, "once")), _wide(_joined(parts, "often"))
+        x = np.concatenate([once, often])
+        times = np.concatenate([np.ones(len(once), np.int64), _joined(parts, "times").view("<u4").astype(np.int64)])
+        order = np.argsort(x, kind="stable")
+        x, times = x[order], times[order]
+        starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        total = np.add.reduceat(times, starts)
+        keep = total >= FREQUENT
+        yield pa.RecordBatch.from_arrays([pa.array((bucket << COUNTED_BITS) + x[starts][keep].astype(np.int64)), pa.array(total[keep])], ["token", "n"])
+
+
+def node_of(shingles: np.ndarray) -> int:
+    """The number that stands for a set."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], size: int, percent: int, last) -> Iterator[pa.RecordBatch]:
+    of = Shingles(size, last and last.value)
+    for b in batches:
+        sets = of.arrays(b.column("text"))
+        n = np.array([len(x) for x in sets], np.int64)
+        nodes = [node_of(x) if len(x) else None for x in sets]
+        bits = [np.packbits(np.bincount(x & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).view(np.int64) for x in sets]
+        bits = np.array(bits).reshape(-1, BITS // 64)
+        prefixes = [x[: prefix_length(len(x), percent)] for x in sets]
+        prefix = _blobs(np.concatenate([*prefixes, np.zeros(0, np.int64)]).view(np.uint8), 8 * np.cumsum([len(x) for x in prefixes], dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n), pa.array(nodes, pa.int64()), *(pa.array(bits[:, k].copy()) for k in range(BITS // 64)), prefix], ["doc_id", "row", "n", "node", *_BIT_COLUMNS, "prefix"])
+
+
+def _entries(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.RecordBatch]:
+    """The index entries of a task's sets, each set once, packed by bucket of their shingle: shingle, node, size and position."""
+    seen: set[int] = set()
+    held, n = [], 0
+    flush = min(1_000_000, 200 << bucket_bits)
+
+    def run() -> pa.RecordBatch:
+        token, node, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = (token >> 20) & ((1 << bucket_bits) - 1)
+        order = np.argsort(at, kind="stable")
+        buckets, counts = np.unique(at, return_counts=True)
+        ends = 8 * np.cumsum(counts)
+        return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), *(_blobs(x[order].view(np.uint8), ends) for x in (token, node, place))], ["bucket", "token", "node", "place"])
 
+    for b in batches:
+        for size, node, prefix in zip(b.column("n").to_pylist(), b.column("node").to_pylist(), b.column("prefix").to_pylist(), strict=True):
+            if node is None or node in seen:
+                continue
+            seen.add(node)
+            tokens = np.frombuffer(prefix, np.int64)
+            held.append((tokens, np.full(len(tokens), node, np.int64), (size << 32) + np.arange(1, len(tokens) + 1, dtype=np.int64)))
+            n += len(tokens)
+            if n >= flush:
+                yield run()
+                held, n = [], 0
+    if n:
+        yield run()
 
-def _index_lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """The index lists of a partition sorted by token; a list may span batches."""
-    rest: list[np.ndarray] | None = None
+
+def _shared_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of lists with two sets or more."""
+    for _, parts in _by_bucket(batches):
+        token, node, place = (_joined(parts, c).view(np.int64) for c in ("token", "node", "place"))
+        order = np.lexsort((node, token))
+        token, node, place = token[order], node[order], place[order]
+        new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # copies in several tasks
+        token, node, place = token[new], node[new], place[new]
+        same = token[1:] == token[:-1]
+        keep = np.r_[same, False] | np.r_[False, same]
+        place = place[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep]), pa.array(place >> 32), pa.array(place & 0xFFFFFFFF)], ["token", "node", "n", "pos"])
+
+
+def _index_lists(batches: Iterator[pa.RecordBatch], columns: list[str], keys: int = 1) -> Iterator[dict[str, np.ndarray]]:
+    """The index lists of a partition sorted by the first `keys` columns; a list may span batches."""
+    rest: list[list[np.ndarray]] = []
+    last = None
     for b in batches:
         cols = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
         if not len(cols[0]):
             continue
-        starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
-        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        new = np.zeros(len(cols[0]), bool)
+        for c in cols[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = last is None or any(c[0] != x for c, x in zip(cols, last, strict=False))
+        last = [c[-1] for c in cols[:keys]]
+        starts = np.flatnonzero(new).tolist()
+        if not starts:
+            rest.append(cols)
+            continue
+        if rest or starts[0]:
+            rest.append([c[: starts[0]] for c in cols])
+            whole = [np.concatenate(x) for x in zip(*rest, strict=True)]
+            if len(whole[0]) > 1:
+                yield dict(zip(columns, whole, strict=True))
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
             if hi - lo > 1:
                 yield {c: x[lo:hi] for c, x in zip(columns, cols, strict=True)}
-        rest = [x[starts[-1] :] for x in cols]
-    if rest is not None and len(rest[0]) > 1:
-        yield dict(zip(columns, rest, strict=True))
+        rest = [[c[starts[-1] :] for c in cols]]
+    if rest:
+        whole = [np.concatenate(x) for x in zip(*rest, strict=True)]
+        if len(whole[0]) > 1:
+            yield dict(zip(columns, whole, strict=True))
 
 
 def _out(pairs: list[np.ndarray]) -> pa.RecordBatch:
-    p = np.unique(np.concatenate(pairs), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
+    p, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.array(n)], ["a", "b", "lists"])
 
 
 _BIT_COLUMNS = [f"bits{k}" for k in range(BITS // 64)]
@@ -184,28 +327,14 @@ def _may_link(x: dict[str, np.ndarray], i: np.ndarray | int, j: np.ndarray, perc
     return differ <= n_i + n_j - 2 * needed(n_i, n_j, percent)
 
 
-def _shared_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of lists with two sets or more."""
-    names = ["token", "node", "n", "pos"]
-    held, rows = [], 0
-    for x in _index_lists(batches, names):
-        held.append(x)
-        rows += len(x["n"])
-        if rows > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[k] for h in held])) for k in names], names)
-            held, rows = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[k] for h in held])) for k in names], names)
-
-
-def _pivot_pairs(batches: Iterator[pa.RecordBatch], percent: int, bits: list[str]) -> Iterator[pa.RecordBatch]:
-    """Of each list, the pairs of a pivot with the others that sizes and positions allow.
+def _pivot_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each list, the pairs of a pivot with the others that sizes, positions and bitmaps allow.
 
     The pivot is the set that shares most of its prefix with others: of near copies, the one that the others were made
     of. Sets of sizes that can't link to it get a pivot of their own.
     """
     found, held = [], 0
-    for x in _index_lists(batches, ["token", "node", "n", "pos", "shared", *bits]):
+    for x in _index_lists(batches, ["token", "part", "node", "n", "pos", "shared", *_BIT_COLUMNS], 2):
         node, n, pos, shared = x["node"], x["n"], x["pos"], x["shared"]
         left = np.arange(len(n))
         while len(left) > 1:
@@ -215,8 +344,7 @@ def _pivot_pairs(batches: Iterator[pa.RecordBatch], percent: int, bits: list[str
             j = left[near & (left != i)]
             req = needed(n[i], n[j], percent)
             j = j[(pos[j] <= n[j] - req + 1) & (pos[i] <= n[i] - req + 1)]
-            if bits:
-                j = j[_may_link(x, i, j, percent)]
+            j = j[_may_link(x, i, j, percent)]
             if len(j):
                 found.append(np.stack([np.full(len(j), node[i]), node[j]], axis=1))
                 held += len(j)
@@ -229,12 +357,16 @@ def _pivot_pairs(batches: Iterator[pa.RecordBatch], percent: int, bits: list[str
 
 
 def _cross_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of each list, the pairs of different components that sizes and positions allow, block by block."""
+    """Of each list, the pairs of different components that sizes, positions and bitmaps allow, block by block.
+
+    A list that is dealt out in parts comes once for each two of them, and for each alone.
+    """
     found, held = [], 0
-    for x in _index_lists(batches, ["token", "node", "n", "pos", "component", *_BIT_COLUMNS]):
-        node, n, pos, comp = x["node"], x["n"], x["pos"], x["component"]
+    for x in _index_lists(batches, ["token", "first", "second", "node", "n", "pos", "component", "part", *_BIT_COLUMNS], 3):
+        node, n, pos, comp, part = x["node"], x["n"], x["pos"], x["component"], x["part"]
         if (comp == comp[0]).all():
             continue
+        apart = x["first"][0] != x["second"][0]
         starts = np.flatnonzero(np.r_[True, n[1:] != n[:-1]]).tolist()
         blocks = list(zip(starts, [*starts[1:], len(n)], n[starts].tolist(), strict=True))
         for k, (lo2, hi2, s2) in enumerate(blocks):
@@ -244,10 +376,13 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
                 req = needed(s1, s2, percent)
                 i = np.arange(lo1, lo1 + np.searchsorted(pos[lo1:hi1], s1 - req + 1, side="right"))
                 j = np.arange(lo2, lo2 + np.searchsorted(pos[lo2:hi2], s2 - req + 1, side="right"))
-                for at in range(0, len(i), 512):
-                    part = i[at : at + 512]
-                    u, v = np.repeat(part, len(j)), np.tile(j, len(part))
+                step = max(1, 500_000 // max(1, len(j)))
+                for at in range(0, len(i), step):
+                    some = i[at : at + step]
+                    u, v = np.repeat(some, len(j)), np.tile(j, len(some))
                     ok = (comp[u] != comp[v]) & ((u < v) | (lo1 != lo2))
+                    if apart:
+                        ok &= part[u] != part[v]
                     u, v = u[ok], v[ok]
                     ok = _may_link(x, u, v, percent)
                     if ok.any():
@@ -260,157 +395,172 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         yield _out(found)
 
 
-def _by_prefix(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """A bound of each pair's overlap: shingles before the end of the shorter prefix that one side lacks are lost."""
-    for b in batches:
-        na, nb = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
-        most = np.zeros(len(na), np.int64)
-        for i, (x, y) in enumerate(zip(b.column("prefix_a"), b.column("prefix_b"), strict=True)):
-            x, y = x.values.to_numpy(), y.values.to_numpy()
-            end = min(x[-1], y[-1])
-            x, y = x[: np.searchsorted(x, end, side="right")], y[: np.searchsorted(y, end, side="right")]
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            most[i] = min(na[i] - len(x), nb[i] - len(y)) + same
-        keep = most >= needed(na, nb, percent)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("n_a"), b.column("n_b"), pa.array(most), pa.array(keep)], ["a", "b", "n_a", "n_b", "most", "open"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch], size: int, frequent) -> Iterator[pa.RecordBatch]:
-    of = Shingles(size, frequent and frequent.value)
+def _sets(batches: Iterator[pa.RecordBatch], size: int, last) -> Iterator[pa.RecordBatch]:
+    """The sets of texts that have the wanted node (others have the same doc_id), as bytes."""
+    of = Shingles(size, last and last.value)
     for b in batches:
         sets = of.arrays(b.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), _lists(sets)], ["digest", "shingles"])
+        nodes = np.array([node_of(x) if len(x) else 0 for x in sets], np.int64)
+        hit = np.flatnonzero((nodes == b.column("node").to_numpy()) & np.array([len(x) > 0 for x in sets], bool))
+        data = np.concatenate([*(sets[i] for i in hit), np.zeros(0, np.int64)]).view(np.uint8)
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(hit)) for c in ("pivot", "part", "lead", "node")), _blobs(data, 8 * np.cumsum([len(sets[i]) for i in hit], dtype=np.int64))], ["pivot", "part", "lead", "node", "shingles"])
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pivot, part, lead first and node: of each set its overlap with the pivot and its differences."""
+    pivot, whole, before = None, np.zeros(0, np.int64), None
+    for b in batches:
+        out: list[tuple] = []
+        for p, part, lead, node, data in zip(*(b.column(c).to_pylist() for c in ("pivot", "part", "lead", "node", "shingles")), strict=True):
+            x = np.frombuffer(data, np.int64)
+            if lead:
+                pivot, whole = (p, part), x
+                continue
+            if pivot != (p, part) or before == (p, part, node):  # the same text with the same doc_id again
+                continue
+            before = (p, part, node)
+            both = np.intersect1d(whole, x, assume_unique=True)
+            lost, gained = np.setdiff1d(whole, both, assume_unique=True), np.setdiff1d(x, both, assume_unique=True)
+            far = 2 * len(both) < len(x)  # then the differences are no shorter than the sets
+            out.append((p, node, len(whole), len(x), len(both), None if far else lost.tobytes(), None if far else gained.tobytes()))
+        if out:
+            columns = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k > 4 else pa.int64()) for k, c in enumerate(columns)], ["a", "b", "n_a", "n_b", "overlap", "lost", "gained"])
+
+
+def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The overlap of two sets from their differences to one pivot."""
     for b in batches:
-        o = [len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("n_a"), b.column("n_b"), pa.array(o, pa.int64())], ["a", "b", "n_a", "n_b", "most"])
+        overlap = []
+        for n, *differences in zip(*(b.column(c).to_pylist() for c in ("n_pivot", "lost_a", "lost_b", "gained_a", "gained_b")), strict=True):
+            lost_a, lost_b, gained_a, gained_b = (np.frombuffer(x, np.int64) for x in differences)
+            overlap.append(n - len(np.union1d(lost_a, lost_b)) + len(np.intersect1d(gained_a, gained_b, assume_unique=True)))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(overlap, pa.int64())], ["a", "b", "n_a", "n_b", "overlap"])
 
 
 class JaccardJoin:
-    def __init__(self, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"):
-        self.size, self.percent = size, percent
-        self.docs = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-        self.frequent = None
-        last = self._shingles_with_relatives()
-        if len(last):
-            self.frequent = docs.sparkSession.sparkContext.broadcast(last)
-        self.rows = cut(self._rows())
-
-    def _rows(self) -> DataFrame:
-        size, percent, frequent = self.size, self.percent, self.frequent
-        return self.docs.mapInArrow(lambda batches: _prefixes(batches, size, percent, frequent), "doc_id long, row long, n long, digest binary, prefix array<long>, bits array<long>")
-
-    def _shingles_with_relatives(self) -> np.ndarray:
-        """The shingles, LAST_SHINGLES numbers at most, of the sets that most others have been compared with."""
-        percent, size = self.percent, self.size
-        rows = cut(self._rows().withColumn("prefix", F.slice("prefix", F.lit(1), F.ceil(F.size("prefix") / 2).cast("int"))))
-        nodes = self._nodes(rows, self._classes(rows))
-        pairs = self._pivot_pairs(self._lists(nodes), [])
-        most = pairs.groupBy(F.col("a").alias("row")).agg(F.count("*").alias("relatives")).where(F.col("relatives") >= RELATIVES)
-        most = most.join(rows.select("row", "doc_id", "n"), "row").orderBy(F.desc("relatives"), "row").limit(LAST_SHINGLES // 40).select("doc_id", "n").collect()
-        want, total = [], 0
-        for r in most:
-            total += r["n"]
-            if total > LAST_SHINGLES:
-                break
-            want.append((r["doc_id"],))
-        if not want:
-            return np.zeros(0, np.uint64)
-        ids = F.broadcast(self.docs.sparkSession.createDataFrame(want, "want long").distinct())
-        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
-        sets = texts.mapInArrow(lambda x: _sets(x, size, None), "digest binary, shingles array<long>")
-        found = np.unique(np.concatenate([x.values.to_numpy() for x in sets.toArrow()["shingles"].combine_chunks()] or [np.zeros(0, np.int64)]))
-        return np.sort((found - np.iinfo(np.int64).min).view(np.uint64))
-
-    @staticmethod
-    def _classes(rows: DataFrame) -> DataFrame:
-        """digest, node (the row that stands for it) and members, of the sets that several rows have."""
-        return rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("members")).where("members > 1").select("digest", F.col("first.row").alias("node"), "members")
+    """The join of one table: rows (doc_id, row, n, node, prefix and bitmaps) and links()."""
 
-    @staticmethod
-    def _nodes(rows: DataFrame, classes: DataFrame) -> DataFrame:
-        spare = rows.select("row", "digest").join(classes, "digest").where("row <> node").select(F.col("row").alias("r"))
-        return rows.where("n > 0").join(spare, F.col("row") == F.col("r"), "left_anti")
-
-    @staticmethod
-    def _by_token(entries: DataFrame) -> DataFrame:
-        return entries.repartition("token").sortWithinPartitions("token", "n", "pos", "node")
-
-    def _lists(self, nodes: DataFrame) -> DataFrame:
-        """The entries (token, node, n, pos) of index lists of several sets."""
-        entries = nodes.select(F.posexplode("prefix").alias("pos", "token"), F.col("row").alias("node"), "n").select("token", "node", "n", (F.col("pos") + 1).cast("long").alias("pos"))
-        return cut(self._by_token(entries).mapInArrow(_shared_entries, "token long, node long, n long, pos long"))
-
-    @staticmethod
-    def _with_bits(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-        return lists.join(nodes.select(F.col("row").alias("node"), *(F.col("bits")[k].alias(c) for k, c in enumerate(_BIT_COLUMNS))), "node")
-
-    def _pivot_pairs(self, lists: DataFrame, bits: list[str]) -> DataFrame:
-        percent = self.percent
+    def __init__(self, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", list_limit: int = LIST, cell: int = CELL):
+        self.size, self.percent, self.list_limit, self.cell = size, percent, list_limit, cell
+        self.docs = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+        self.bucket_bits = max(8, min(20, int(self.docs.count() // 200).bit_length()))
+        last = self._last_shingles()
+        self.last = docs.sparkSession.sparkContext.broadcast(last) if last else None  # LAST_SHINGLES numbers at most
+        last = self.last
+        bits = ", ".join(f"{c} long" for c in _BIT_COLUMNS)
+        self.rows = cut(through_arrow(self.docs, lambda x: _rows(x, size, percent, last), f"doc_id long, row long, n long, node long, {bits}, prefix binary"))
+
+    def _in_buckets(self, packed: DataFrame) -> DataFrame:
+        return packed.repartition("bucket").sortWithinPartitions("bucket")
+
+    def _last_shingles(self) -> tuple[int, np.ndarray, np.ndarray] | None:
+        size, bits = self.size, self.bucket_bits
+        runs = through_arrow(self.docs.select("text"), lambda x: _token_runs(x, size, bits), "bucket int, once binary, often binary, times binary")
+        found = cut(through_arrow(self._in_buckets(runs), _frequent, "token long, n long").withColumn("class", F.floor(F.log2("n")).cast("int")))
+        counts = {r["class"]: r["count"] for r in found.groupBy("class").count().collect()}
+        least = next((k for k in sorted(counts) if sum(v for c, v in counts.items() if c >= k) <= LAST_SHINGLES), None)
+        if least is None:
+            return None
+        t = found.where(F.col("class") >= least).select("token", "class").orderBy("token").toArrow()
+        token, kind = t["token"].to_numpy().astype(np.uint64), t["class"].to_numpy().astype(np.uint64)
+        return (bits + COUNTED_BITS, token, np.minimum(kind - np.uint64(FREQUENT.bit_length() - 2), np.uint64(31)))
+
+    def _lists(self) -> DataFrame:
+        """The entries (token, part, node, n, pos, shared, bitmaps) of index lists of several sets, long ones in parts."""
+        bits = self.bucket_bits
+        packed = through_arrow(self.rows.select("n", "node", "prefix"), lambda x: _entries(x, bits), "bucket int, token binary, node binary, place binary")
+        lists = cut(through_arrow(self._in_buckets(packed), _shared_entries, "token long, node long, n long, pos long"))
         shared = lists.groupBy("node").agg((F.count("*") * 1_000_000 / (F.max("n") + 1)).cast("long").alias("shared"))
-        return cut(self._by_token(lists.join(shared, "node")).mapInArrow(lambda x: _pivot_pairs(x, percent, bits), "a long, b long").distinct())
-
-    def _check(self, pairs: DataFrame, nodes: DataFrame, skip=None) -> tuple[DataFrame, DataFrame]:
-        """Of pairs a, b: those that link (a, b, n_a, n_b, most: their overlap) and a bound `most` of all that were compared."""
-        percent, size, frequent = self.percent, self.size, self.frequent
-        side = lambda s: nodes.select(F.col("row").alias(s), F.col("n").alias(f"n_{s}"), F.col("prefix").alias(f"prefix_{s}"))
-        if skip is not None:
-            pairs = skip(pairs)
-        bounded = pairs.join(side("a"), "a").join(side("b"), "b")
-        bounded = cut(bounded.mapInArrow(lambda x: _by_prefix(x, percent), "a long, b long, n_a long, n_b long, most long, open boolean"))
-        live = bounded.where("open").drop("open", "most")
-        ids = cut(live.select(F.col("a").alias("row")).union(live.select("b")).distinct().join(nodes.select("row", "doc_id", "digest"), "row"))
-        hint = F.broadcast if ids.count() <= BROADCAST_IDS else lambda x: x
-        texts = self.docs.join(hint(ids.select(F.col("doc_id").alias("want")).distinct()), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
-        sets = texts.mapInArrow(lambda x: _sets(x, size, frequent), "digest binary, shingles array<long>")
-        sets = ids.select("row", "digest").join(sets, "digest").groupBy("row").agg(F.first("shingles").alias("shingles"))
-        sets = cut(sets)
-        full = live.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("set_a")), "a")
-        full = cut(full.mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, most long"))
-        compared = bounded.where("NOT open").drop("open").unionByName(full)
-        linked = full.where(F.lit(100 + percent) * F.col("most") >= percent * (F.col("n_a") + F.col("n_b")))
-        return linked, compared
-
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """Links between different sets, enough to connect all that link, and classes()."""
+        maps = self.rows.where("n > 0").groupBy("node").agg(*(F.first(c).alias(c) for c in _BIT_COLUMNS))
+        lists = lists.join(shared.join(maps, "node"), "node")
+        long = lists.groupBy("token").count().where(F.col("count") > self.list_limit).select("token", F.ceil(F.col("count") / self.list_limit).alias("parts"))
+        lists = lists.join(long, "token", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), "parts"), F.lit(0)).cast("long"))
+        return cut(lists.select("token", "part", F.coalesce("parts", F.lit(1)).cast("long").alias("parts"), "node", "n", "pos", "shared", *_BIT_COLUMNS))
+
+    def _first_pairs(self, lists: DataFrame) -> DataFrame:
+        """A pivot (a) for each set (b) that has one."""
         percent = self.percent
-        classes = cut(self._classes(self.rows))
-        nodes = cut(self._nodes(self.rows, classes))
-        lists = cut(self._with_bits(self._lists(nodes), nodes))
-        pairs = self._pivot_pairs(lists, _BIT_COLUMNS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        linked, compared = self._check(pairs, nodes)
-        linked, compared = cut(linked), cut(compared)
-        # Further links are between sets of one list that no links connect yet.
-        joined = connected_components(linked).withColumnRenamed("node", "j")
-        again = lists.join(joined, F.col("node") == F.col("j"), "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("component"), *_BIT_COLUMNS)
-        more = self._by_token(again).mapInArrow(lambda x: _cross_pairs(x, percent), "a long, b long").distinct()
-        return linked.unionByName(self._check(more, nodes, lambda p: self._skip(p, linked, compared))[0]), classes
-
-    def _skip(self, pairs: DataFrame, linked: DataFrame, compared: DataFrame) -> DataFrame:
-        """Leaves out pairs that were compared, or that what a pivot of either side shares with the other rules out."""
+        dealt = lists.drop("parts").repartition("token", "part").sortWithinPartitions("token", "part", "n", "pos", "node")
+        pairs = through_arrow(dealt, lambda x: _pivot_pairs(x, percent), "a long, b long, lists long").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
+        best = pairs.groupBy("b").agg(F.max(F.struct("lists", "a")).alias("best"))
+        return cut(best.select(F.col("best.a").alias("a"), "b"))
+
+    def _further_pairs(self, lists: DataFrame, component: DataFrame | None) -> DataFrame:
+        """The pairs of lists; with component (j, component) only those of different ones."""
         percent = self.percent
-        both = compared.select("a", "b", "most", "n_a", "n_b").union(compared.select("b", "a", "most", "n_b", "n_a"))
-        pairs = pairs.join(both.select("a", "b"), ["a", "b"], "left_anti")
-        # Of each set the partner it shares most with.
-        ends = linked.select("a", "b", "most", "n_a").union(linked.select("b", "a", "most", "n_b"))
-        pivots = ends.select(F.col("a").alias("x"), F.struct("most", F.col("b").alias("pivot"), (F.col("n_a") - F.col("most")).alias("beyond"), F.col("n_a").alias("n")).alias("p")).groupBy("x").agg(F.max("p").alias("p")).select("x", "p.pivot", "p.beyond", "p.n")
-        of = both.select(F.col("a").alias("pivot"), F.col("b").alias("other"), F.col("most").alias("shared"), F.col("n_b").alias("n_other"))
-        for x, other in (("a", "b"), ("b", "a")):
-            p = pairs.join(pivots, F.col(x) == F.col("x"), "left").join(of.withColumnRenamed("pivot", "q"), (F.col("pivot") == F.col("q")) & (F.col(other) == F.col("other")), "left")
-            ruled_out = F.lit(100 + percent) * (F.col("shared") + F.col("beyond")) < percent * (F.col("n") + F.col("n_other"))
-            pairs = p.where(~F.coalesce(ruled_out, F.lit(False))).select("a", "b")
-        return cut(pairs)
+        if component is None:
+            lists = lists.withColumn("component", F.col("node"))
+        else:
+            lists = lists.join(component, F.col("node") == F.col("j"), "left").withColumn("component", F.coalesce("component", "node"))
+            mixed = lists.where("parts > 1").groupBy("token").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("token")
+            lists = lists.where("parts = 1").unionByName(lists.where("parts > 1").join(mixed, "token", "left_semi"))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        dealt = lists.withColumn("other", other).select("token", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "node", "n", "pos", "component", *_BIT_COLUMNS)
+        dealt = dealt.repartition("token", "first", "second").sortWithinPartitions("token", "first", "second", "n", "pos", "node")
+        return through_arrow(dealt, lambda x: _cross_pairs(x, percent), "a long, b long, lists long").select("a", "b").distinct()
+
+    def _compare(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs a (the pivot), b: a, b, n_a, n_b, overlap, lost, gained. Each set goes to each of its pivots once."""
+        size, last, cell = self.size, self.last, self.cell
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"))
+        leads = parts.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("lead"))
+        others = pairs.join(parts, "a").select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(0).alias("lead"))
+        wanted = cut(leads.unionByName(others))
+        ids = self.rows.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("want"))
+        wanted = cut(wanted.join(ids, "node").withColumnRenamed("a", "pivot"))
+        hint = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda x: x
+        texts = self.docs.join(hint(wanted), F.col("doc_id").eqNullSafe(F.col("want"))).select("text", "pivot", "part", "lead", "node")
+        sets = through_arrow(texts, lambda x: _sets(x, size, last), "pivot long, part int, lead int, node long, shingles binary")
+        sets = sets.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.desc("lead"), "node")
+        return cut(through_arrow(sets, _compared, "a long, b long, n_a long, n_b long, overlap long, lost binary, gained binary"))
+
+    def _linked(self, compared: DataFrame) -> DataFrame:
+        hit = F.lit(100 + self.percent) * F.col("overlap") >= self.percent * (F.col("n_a") + F.col("n_b"))
+        return compared.where(hit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap")
+
+    def links(self, every: bool = False) -> DataFrame:
+        """Links a, b, overlap between nodes: enough to connect all that link, or every one."""
+        lists = self._lists()
+        first = self._compare(self._first_pairs(lists))
+        linked = self._linked(first).distinct()
+        component = None if every else connected_components(linked).withColumnRenamed("node", "j")
+        known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = self._further_pairs(lists, component).join(known, ["a", "b"], "left_anti")
+        # What two sets of one pivot share follows from their differences to it.
+        of = first.where("lost IS NOT NULL")
+        side = lambda s: of.select(F.col("b").alias(s), F.col("a").alias(f"pivot_{s}"), F.col("n_a").alias("n_pivot"), F.col("n_b").alias(f"n_{s}"), F.col("lost").alias(f"lost_{s}"), F.col("gained").alias(f"gained_{s}"))
+        met = cut(pairs.join(side("a"), "a", "left").join(side("b").drop("n_pivot"), "b", "left"))
+        near = F.coalesce(F.col("pivot_a") == F.col("pivot_b"), F.lit(False))
+        derived = through_arrow(met.where(near).drop("pivot_a", "pivot_b"), _derived, "a long, b long, n_a long, n_b long, overlap long")
+        rest = met.where(~near).select("a", "b")
+        # The side that is in more pairs is the pivot, so that few sets move often.
+        ends = rest.select(F.col("a").alias("x")).union(rest.select("b")).groupBy("x").count()
+        rest = rest.join(ends.toDF("a", "count_a"), "a").join(ends.toDF("b", "count_b"), "b")
+        turned = F.col("count_a") < F.col("count_b")
+        rest = cut(rest.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")))
+        more = self._linked(derived).unionByName(self._linked(self._compare(rest)))
+        return cut(linked.unionByName(more))
+
+
+def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, and who has which set.
+
+    The first table has class_a < class_b, overlap; the second, for each row of docs, doc_id, n_shingles, class_id (null
+    for a text without words). Rows of one class have equal sets and link to each other. A group of g different near
+    copies can have g * g / 2 links, and this table is as long.
+    """
+    join = JaccardJoin(docs, size, percent, id_col, text_col)
+    links = join.links(every=True).toDF("class_a", "class_b", "overlap")
+    return links, join.rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class_id"))
 
 
 def _components(join: JaccardJoin) -> DataFrame:
-    """doc_id, digest, n, component for each row."""
-    linked, classes = join.links()
-    joined = connected_components(linked)
-    rows = join.rows.select("doc_id", "row", "n", "digest").join(classes.select(F.col("digest").alias("d"), F.col("node").alias("class")), F.when(F.col("n") > 0, F.col("digest")) == F.col("d"), "left")
-    rows = rows.select("doc_id", "row", "n", F.coalesce("class", "row").alias("node"))
-    return cut(rows.join(joined.withColumnRenamed("node", "j"), F.col("node") == F.col("j"), "left").select("doc_id", "row", "n", F.coalesce("component", "node").alias("component")))
+    """doc_id, row, n, component for each row; component is null for a text without words."""
+    joined = connected_components(join.links()).withColumnRenamed("node", "j")
+    hint = F.broadcast if joined.count() <= BROADCAST_IDS else lambda x: x
+    rows = join.rows.select("doc_id", "row", "n", "node")
+    return cut(rows.join(hint(joined), F.col("node") == F.col("j"), "left").select("doc_id", "row", "n", F.coalesce("component", "node").alias("component")))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -421,26 +571,25 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     component of null ids alone has a null id. An empty table gives an empty one. Other columns are ignored.
     """
     rows = _components(JaccardJoin(docs, size, percent, id_col, text_col))
-    ids = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).where("members > 1").select(F.col("component").alias("c"), F.col("component_id").alias("smallest"))
-    out = rows.join(ids, F.col("component") == F.col("c"), "left")
+    ids = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).where("members > 1")
+    ids = cut(ids.select(F.col("component").alias("c"), F.col("component_id").alias("smallest")))
+    hint = F.broadcast if ids.count() <= BROADCAST_IDS else lambda x: x
+    out = rows.join(hint(ids), F.col("component") == F.col("c"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs (doc_id, text and any others) with the smallest doc_id of their component, with docs' columns.
 
-    Of rows that share that id, the first read stays.
+    Of rows that share that id, the first read stays; a null id counts as larger than others. Null texts and those
+    without words stay all. An empty table gives an empty one. Other columns, also of clashing names, are kept as they are.
     """
-    rows = _components(JaccardJoin(docs, size, percent))
+    rows = _components(JaccardJoin(docs, size, percent)).where("component IS NOT NULL")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = rows.groupBy("component").agg(F.min(rank).alias("first"), F.count("*").alias("members")).where("members > 1").select(F.col("component").alias("c"), "first")
     gone = rows.join(first, F.col("component") == F.col("c")).where(F.col("row") != F.col("first.row"))
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-    # Rows go by their id; those that share the id of the row that stays, or another's, also by their number.
-    often = rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("often"))
-    gone = gone.withColumn("numbered", same).join(often, F.col("doc_id").eqNullSafe(F.col("often")), "left")
-    gone = cut(gone.select(F.col("doc_id").alias("x_id"), F.when(F.col("numbered") | F.col("often").isNotNull() | F.col("doc_id").isNull(), F.col("row")).alias("x_row")).distinct())
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    hit = F.col("doc_id").cast("long").eqNullSafe(F.col("x_id")) & (F.col("x_row").isNull() | (F.col("__row") == F.col("x_row")))
+    gone = cut(gone.select(F.col("doc_id").alias("x_id"), F.col("row").alias("x_row")))
+    numbered = placed(docs).withColumn("row", F.monotonically_increasing_id())
+    hit = place_of(docs, "doc_id").cast("long").eqNullSafe(F.col("x_id")) & (F.col("row") == F.col("x_row"))
     hint = F.broadcast if gone.count() <= BROADCAST_IDS else lambda x: x
-    return numbered.join(hint(gone), hit, "left_anti").select(*docs.columns)
+    return as_before(numbered.join(hint(gone), hit, "left_anti"), docs)

@@ -283,8 +283,7 @@ def test_jaccard_join_on_awkward_rows(docs):
     assert got == components([(r[0], r[1]) for r in awkward_rows()], 4, 85)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_join_on_groups_of_near_copies(spark, seed):
+def near_copies(seed):
     """Chains of edits around the threshold, with a passage that all share."""
     r = np.random.default_rng(seed)
     passage, rows = prose(99, 12), []
@@ -294,12 +293,42 @@ def test_jaccard_join_on_groups_of_near_copies(spark, seed):
             for _ in range(int(r.integers(0, 3))):
                 words[int(r.integers(len(words)))] = prose(int(r.integers(1 << 30)), 1)
             rows.append((len(rows), f"{passage} {' '.join(words)}"))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_on_groups_of_near_copies(spark, seed):
+    rows = near_copies(seed)
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter(tuple(x) for x in jaccard.jaccard_components(d).collect()) == components(rows, 4, 85)
     kept = {x.doc_id for x in jaccard.keep_first(d, 5, 80).collect()}
     assert kept == {x[2] for x in components(rows, 5, 80)}
 
 
+@pytest.mark.parametrize("limits", [(20_000, 2_000), (6, 3)])
+def test_jaccard_links_are_all_there(spark, limits):
+    """Every link between different sets with its overlap, also where lists and pivots are dealt out in parts."""
+    rows = near_copies(3)
+    d = spark.createDataFrame([*rows, (None, rows[0][1]), (500, None), (501, "")], "doc_id long, text string").repartition(3)
+    join = jaccard.JaccardJoin(d, list_limit=limits[0], cell=limits[1])
+    text = {x.node: dict(rows)[x.doc_id] for x in join.rows.where("doc_id < 500").collect()}
+    got = {frozenset((text[x.a], text[x.b])): x.overlap for x in join.links(every=True).collect()}
+    sets = {t: shingles(t, 4) for t in {t for _, t in rows}}
+    both = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b}
+    assert got == {frozenset(k): n for k, n in both.items() if 100 * n >= 85 * (len(sets[k[0]]) + len(sets[k[1]]) - n)}
+    found = jaccard.connected_components(join.links()).collect()
+    assert len({x.node for x in found}) == len({t for k in got for t in k})
+
+
+def test_jaccard_links_name_classes(docs):
+    links, members = jaccard.jaccard_links(docs)
+    class_of = {}
+    for x in members.collect():
+        class_of.setdefault(x.class_id, set()).add(x.n_shingles)
+    assert all(len(n) == 1 for n in class_of.values()) and class_of[None] == {0}
+    assert {x for r in links.collect() for x in (r.class_a, r.class_b)} <= class_of.keys()
+
+
 def base_statistics(text):
     text = text or ""
     w = WORD.findall(text)
