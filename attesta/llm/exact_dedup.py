@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import SPACE, cut, pick
+from attesta.llm.common import SPACE, as_before, cut, pick, place_of, placed, through_arrow
 
 #: Runs merged at once, and entries that a node should hold at most.
 FAN_IN = 8
@@ -97,8 +97,8 @@ def tree_merge(runs: DataFrame, fan_in: int, levels: int) -> DataFrame:
         return lambda batches: _runs(batches, to)
 
     for level in range(levels):
-        runs = runs.mapInArrow(sender(level), _RUN).repartition(nodes, "node")
-    return runs.mapInArrow(lambda batches: _runs(batches, lambda run: run["node"].to_numpy()), _RUN)
+        runs = through_arrow(runs, sender(level), _RUN).repartitionById(nodes, F.col("node"))
+    return through_arrow(runs, lambda batches: _runs(batches, lambda run: run["node"].to_numpy()), _RUN)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,6 +114,11 @@ def groups(base: DataFrame, fan_in: int = FAN_IN, entries_per_node: int = ENTRIE
     return tree_merge(first, fan_in, levels)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Up to BROADCAST_ROWS of some 90 bytes go to every task, so that a digest of very many rows needs no task of its own; more are joined."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -121,9 +126,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays (the first read); null ids come after all others. An empty table gives an empty one. Other columns are ignored.
     """
     base = cut(digests(docs, id_col, text_col))
-    many = groups(base).where("n > 1").select(*(F.col(k).alias(f"g_{k}") for k in _KEY), "keep_id", F.col("row").alias("g_row"), "n")
+    many = cut(groups(base).where("n > 1").select(*(F.col(k).alias(f"g_{k}") for k in _KEY), "keep_id", F.col("row").alias("g_row"), "n"))
     on = [F.col(k) == F.col(f"g_{k}") for k in _KEY]
-    return base.join(many, on, "left").select(
+    return base.join(_small(many), on, "left").select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
@@ -133,16 +138,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text and any others) that exact_dedup keeps, with docs' columns."""
+    """The rows of docs (doc_id, text and any others) that exact_dedup keeps, with docs' columns.
+
+    A null text counts as an empty one. Of rows with the same smallest id the first read stays; null ids come after all
+    others. An empty table gives an empty one. Other columns, also of clashing names, are kept as they are.
+    """
     base = cut(digests(docs))
-    many = groups(base).where("n > 1").select(*(F.col(k).alias(f"g_{k}") for k in _KEY), F.col("keep_id").alias("g_id"), F.col("row").alias("g_row"), "ties")
-    pairs = base.join(many, [F.col(k) == F.col(f"g_{k}") for k in _KEY])
+    many = cut(groups(base).where("n > 1").select(*(F.col(k).alias(f"g_{k}") for k in _KEY), F.col("keep_id").alias("g_id"), F.col("row").alias("g_row"), "ties"))
+    pairs = base.join(_small(many), [F.col(k) == F.col(f"g_{k}") for k in _KEY])
     same = F.col("doc_id").eqNullSafe(F.col("g_id"))
     # Rows that share the smallest id need their row number; all others go by id and digest.
     gone = pairs.where(~same | ((F.col("ties") > 1) & (F.col("row") != F.col("g_row"))))
     gone = cut(gone.select(F.col("doc_id").alias("x_id"), F.col("digest").alias("x_digest"), F.when(same, F.col("row")).alias("x_row")).distinct())
-    rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__digest": F.unhex(F.sha2(normalised(F.col("text")), 256))})
-    hit = F.col("doc_id").cast("long").eqNullSafe(F.col("x_id")) & (F.col("__digest") == F.col("x_digest")) & (F.col("x_row").isNull() | (F.col("__row") == F.col("x_row")))
-    # Up to BROADCAST_ROWS of some 60 bytes are sent to every task, so that the texts need not move; more are joined.
-    hint = F.broadcast if gone.count() <= BROADCAST_ROWS else lambda x: x
-    return rows.join(hint(gone), hit, "left_anti").select(*docs.columns)
+    rows = placed(docs).withColumns({"row": F.monotonically_increasing_id(), "digest": F.unhex(F.sha2(normalised(place_of(docs, "text")), 256))})
+    hit = place_of(docs, "doc_id").cast("long").eqNullSafe(F.col("x_id")) & (F.col("digest") == F.col("x_digest")) & (F.col("x_row").isNull() | (F.col("row") == F.col("x_row")))
+    return as_before(rows.join(_small(gone), hit, "left_anti"), docs)

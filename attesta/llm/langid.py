@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import not_held_out, pick
+from attesta.llm.common import not_held_out, pick, through_arrow
 
 #: Bounds of the training sample: this many documents of a language, in order of a hash, give a window of this many
 #: characters each; of what they give the language's automaton takes so many. Languages and letters: the most frequent.
@@ -193,7 +193,8 @@ def identify(docs: DataFrame, model: Model | None, held_out: Column | None = Non
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
     held = ~not_held_out(F.col("doc_id")) if held_out is None else held_out
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LANGUAGES * 2 * SAMPLE_CHARS states at most
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(lambda batches: _score(batches, shared.value), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
+    return through_arrow(rows, lambda batches: _score(batches, shared.value), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut, pick, words
+from attesta.llm.common import as_before, cut, pick, place_of, placed, words
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -81,6 +81,8 @@ def balance(cells: DataFrame, targets: DataFrame, most: int = MAX_COPIES, steps:
         state = cut(s.select("source_key", "target", "mean", F.when(live & ~near, F.when(inside, newton).otherwise(wide)).otherwise(F.col("a")).alias("a"), F.when(live, lo).otherwise(F.col("lo")).alias("lo"), F.when(live, hi).otherwise(F.col("hi")).alias("hi"), F.when(live, near).otherwise(True).alias("done")))
         if step % 2 and state.where("NOT done").isEmpty():
             break
+    else:
+        raise ArithmeticError(f"no solution in {steps} steps")
     # Rounded, as sums in another order differ in their last bits, and reruns have to agree.
     return state.select("source_key", F.round("a", 9).alias("a"), "mean")
 
@@ -98,26 +100,26 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are rows of their own, of equal rate. An empty table gives an empty one. Other columns are ignored.
     """
     rows = pick(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
-    rows = rows.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    return mix_sizes(cut(rows), weights, share, most)
+    rows = rows.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.monotonically_increasing_id().alias("row"))
+    return mix_sizes(cut(rows), weights, share, most).drop("row")
 
 
 def take_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text, source and any others) as often as the mix takes them, with docs' columns."""
-    rows = docs.select(F.col("doc_id"), F.col("source"), F.size(words(F.col("text"))).cast("long").alias("size"))
-    copies = mix_sizes(cut(rows)).where("copies > 0")
-    # Rows that repeat an id and size share their copies out evenly.
-    copies = copies.groupBy("doc_id", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    copies = copies.select(F.col("doc_id").alias("x_id"), F.col("size").alias("x_size"), F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("x_copies"))
-    sized = docs.withColumn("__size", F.size(words(F.col("text"))).cast("long"))
+    """The rows of docs (doc_id, text, source and any others) as often as the mix takes them, with docs' columns.
+
+    Null and empty texts are never taken. Repeated rows are rows of their own, each with its own copies. Null is a source
+    of its own. An empty table gives an empty one. Other columns, also of clashing names, are kept as they are.
+    """
+    numbered = placed(docs).withColumn("row", F.monotonically_increasing_id())
+    rows = numbered.select(place_of(docs, "doc_id").alias("doc_id"), place_of(docs, "source").alias("source"), F.size(words(place_of(docs, "text"))).cast("long").alias("size"), "row")
+    copies = cut(mix_sizes(cut(rows)).where("copies > 0").select("row", "copies"))
     hint = F.broadcast if copies.count() <= BROADCAST_ROWS else lambda x: x
-    hit = F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("__size") == F.col("x_size"))
-    taken = sized.join(hint(copies), hit).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("x_copies"))))
-    return taken.select(*docs.columns)
+    taken = numbered.join(hint(copies), "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return as_before(taken, docs)
 
 
 def mix_sizes(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MAX_COPIES) -> DataFrame:
-    """As entropy_mix, of rows (doc_id, source, size)."""
+    """As entropy_mix, of rows (doc_id, source, size, row); row tells rows that repeat an id apart."""
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
     parts = rows.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
     cells = cut(parts.groupBy("source", "size").agg(F.sum("n").alias("n")))
@@ -133,14 +135,14 @@ def mix_sizes(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     by_part = Window.partitionBy("source_key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = parts.withColumn("source_key", _key(F.col("source"))).withColumn("first", F.coalesce(F.sum("n").over(by_part), F.lit(0))).select("source_key", "size", "part", "first")
     firsts = firsts.join(rated, ["source_key", "size"])
-    in_part = Window.partitionBy("source_key", "size", "part").orderBy("doc_id")
+    in_part = Window.partitionBy("source_key", "size", "part").orderBy("doc_id", "row")
     out = rows.withColumn("source_key", _key(F.col("source"))).withColumn("k", F.row_number().over(in_part)).join(firsts, ["source_key", "size", "part"])
     to = lambda k: F.floor(F.col("below") + (F.col("first") + k) * F.col("rate") + 0.5 + 1e-9)  # noqa: E731  # the tiny part absorbs the error of the sums
     copies = F.when(F.col("size") > 0, F.least(to(F.col("k")) - to(F.col("k") - 1), F.lit(most))).otherwise(0).cast("long")
-    out = cut(out.select("doc_id", "source_key", "size", "part", "k", "source_size", "target", copies.alias("copies")))
+    out = cut(out.select("doc_id", "row", "source_key", "size", "part", "k", "source_size", "target", copies.alias("copies")))
     changes = _corrections(out, most)
     out = out.join(changes, ["source_key", "size", "part", "k"], "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.select("doc_id", "row", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def _corrections(rounded: DataFrame, most: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut, pick, vocabulary
+from attesta.llm.common import cut, pick, through_arrow, vocabulary
 
 CAPACITY = 1024
 END_ID = 0
@@ -151,6 +151,6 @@ def harmonic_pack(docs: DataFrame, path: str | None = None, capacity: int = CAPA
     """
     path = path or vocabulary("byte_bpe_50k.json")
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    pieces = cut(rows.mapInArrow(lambda batches: _fill(batches, path, capacity), f"{_PIECE}, pool int, ids binary"))
+    pieces = cut(through_arrow(rows, lambda batches: _fill(batches, path, capacity), f"{_PIECE}, pool int, ids binary"))
     rest = pieces.where("pool IS NOT NULL").groupBy("pool").applyInArrow(lambda t: _lay_out(t, capacity), _PIECE)
     return pieces.where("pool IS NULL").drop("pool", "ids").unionByName(rest)

@@ -2,8 +2,8 @@
 
 Overlapping heuristics look at a text's words, lines and characters and vote junk, good or nothing. Expectation-
 maximisation estimates how accurate each is, and how correlated, from how they agree, without any labels; its posterior
-labels train a linear scorer on hashed features of how texts are written (shapes of words, their neighbours, repeats,
-line lengths), which then scores every whole text.
+labels train a linear scorer on hashed features of how texts are written (shapes of words and of neighbours), not on the
+votes, which then scores every whole text.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut, pick
+from attesta.llm.common import as_before, cut, pick, placed, through_arrow
 from attesta.llm.weak import LabelModel, distinct_votes, train_linear
 
 #: Bounds: texts in the training sample, hashed features, remembered words of a worker.
-TRAIN_DOCS, FEATURES, REMEMBERED = 12_000, 1 << 14, 200_000
+TRAIN_DOCS, FEATURES, REMEMBERED = 12_000, 1 << 14, 50_000
 THRESHOLD = 0.4
 
 #: By code point: 1 a letter, 2 a capital, 3 a symbol.
@@ -99,9 +99,6 @@ class Features:
         n = max(1, len(words))
         vote = votes(text, words, single)
         found = Counter({"\1".join(pair): k for pair, k in Counter(zip(shapes, shapes[1:], strict=False)).items()}) + single
-        for i, v in enumerate(vote):
-            if v:
-                found[f"\2vote {i}"] = n
         values: dict[int, int] = {}
         for k, v in found.items():
             at = zlib.crc32(k.encode("utf-8", "surrogatepass")) % FEATURES
@@ -136,17 +133,17 @@ def train(docs: DataFrame) -> tuple[Model, LabelModel | None]:
     share = min(1.0, TRAIN_DOCS / max(1, rows.count()))
     h = F.xxhash64("text")
     rows = rows.select(h.alias("h"), "text").where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    found = cut(rows.mapInArrow(_samples, "h long, votes array<int>, at array<int>, value array<float>").groupBy("h").agg(F.first("votes").alias("votes"), F.first("at").alias("at"), F.first("value").alias("value")))
-    found = found.orderBy("h").limit(2 * TRAIN_DOCS).collect()
-    if not found:
+    found = through_arrow(rows, _samples, "h long, votes array<int>, at array<int>, value array<float>").groupBy("h").agg(*(F.first(c).alias(c) for c in ("votes", "at", "value")))
+    found = found.orderBy("h").toArrow()  # TRAIN_DOCS rows, but for chance
+    if not found.num_rows:
         return Model(np.zeros(FEATURES), 4.0), None
-    v = np.array([r["votes"] for r in found])
-    patterns, n, index = distinct_votes(v)
+    lists = lambda c: [x.values.to_numpy(zero_copy_only=False) for x in found[c].combine_chunks()]
+    patterns, n, index = distinct_votes(np.stack(lists("votes")))
     junk = (patterns < 0).sum(axis=1)
     # The first guess: what any heuristic calls junk is more likely junk than not.
     model = LabelModel(patterns, n, start=np.where(junk == 0, 0.95, 0.1))
     target = model.posterior(patterns)[index]
-    weights, intercept = train_linear([np.array(r["at"], int) for r in found], [np.array(r["value"]) for r in found], target, FEATURES)
+    weights, intercept = train_linear([x.astype(int) for x in lists("at")], [x.astype(float) for x in lists("value")], target, FEATURES)
     return Model(weights, intercept), model
 
 
@@ -165,17 +162,21 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = docs.sparkSession.sparkContext.broadcast(train(rows)[0])  # FEATURES numbers
-    return rows.mapInArrow(lambda batches: _score(batches, model), "doc_id long, score double, kept boolean")
+    return through_arrow(rows, lambda batches: _score(batches, model), "doc_id long, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs (text and any others) that classify keeps, with docs' columns; no row moves."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs)[0])
-    schema = docs.schema
+    """The rows of docs (text and any others) that classify keeps, with docs' columns; no row moves.
+
+    Null and empty texts are scored as texts without words. Repeated rows stay or go together. An empty table gives an
+    empty one. Other columns, also of clashing names, are kept as they are.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(train(docs)[0])  # FEATURES numbers
+    rows = placed(docs)
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([model.value.score(t or "") >= THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(kept, schema)
+    return as_before(through_arrow(rows, kept, rows.schema), docs)
