@@ -37,7 +37,7 @@ BITS = 256
 #: Rows up to which a table of ids is broadcast; beyond, it is joined.
 BROADCAST_IDS = 1_000_000
 #: Sets that a task compares with one pivot, and entries of one index list that a task holds; more are dealt out.
-CELL, LIST = 2_000, 20_000
+CELL, LIST = 250, 20_000
 
 #: A shingle is a number of this many bits of hash, under its order's class of five bits.
 HASH_BITS = 58

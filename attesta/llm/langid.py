@@ -3,15 +3,18 @@
 A suffix automaton of a language's training text knows all its substrings. A text is parsed against it into phrases,
 each the longest match with the training text from where the last one ended; a text in that language needs few. With c
 phrases over n characters and a training text of N, c * log2(N) / n estimates the cross entropy, and the language with
-the lowest estimate wins. The automata are stored as transition tables, and a task steps through its texts' blocks of
-BLOCK characters side by side with numpy, so long texts cost no more for each character than short ones; a phrase ends
-at the end of a block for all languages alike.
+the lowest estimate wins.
+
+An automaton is stored as a double array (the transition of state s on class c is the slot base[s] + c, if that slot's
+check is s), so that alphabets may be large. A task parses its texts' blocks of BLOCK characters side by side with numpy,
+each from its own beginning, and then goes on with each block's last phrase into the next block until one of its phrases
+starts where one of that block's own does: from there on both parses are the same. The few texts where that doesn't
+happen within a block are parsed in one go, so phrases are as long as in a parse of the whole text.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +24,8 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import not_held_out, pick, through_arrow
 
-#: Bounds of the training sample: this many documents of a language, in order of a hash, give a window of this many
-#: characters each; of what they give the language's automaton takes so many. Languages and letters: the most frequent.
-SAMPLE_DOCS, SAMPLE_WINDOW, SAMPLE_CHARS = 120, 240, 20_000
-LANGUAGES, LETTERS = 64, 160
+#: The training sample: so many whole texts of each language, in order of a hash.
+SAMPLE_DOCS = 16
 BLOCK = 1024
 #: Characters that a task parses at once.
 AT_ONCE = 3_000_000
@@ -68,48 +69,98 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-class Model:
-    """Tables for parsing. step[language][state * width + class] = 4 * next state + phrases that end there."""
+class Automaton:
+    """The double array of a suffix automaton; state 0 starts, and its transitions are in root."""
+
+    def __init__(self, moves: list[dict[int, int]], width: int):
+        self.root = np.zeros(width, np.int32)
+        for c, q in moves[0].items():
+            self.root[c] = q
+        size = width + sum(map(len, moves)) * 5 // 4 + 1
+        taken = bytearray(size + width)
+        base, slots = [0] * len(moves), {}
+        first, single = width, width  # where the search for room begins
+        for s in sorted(range(1, len(moves)), key=lambda s: (-len(moves[s]), s)):
+            m = moves[s]
+            if not m:
+                continue
+            low, tries = min(m), 0
+            at = single if len(m) == 1 else first
+            while True:
+                at = taken.find(0, at)
+                if at < 0:
+                    at = len(taken)
+                if at + width > len(taken):
+                    taken.extend(bytes(width + len(taken) // 4))
+                b = at - low
+                if all(not taken[b + c] for c in m):
+                    break
+                at, tries = at + 1, tries + 1
+            if len(m) == 1:
+                single = at
+            elif tries > 20:  # little room is left below
+                first = at
+            base[s] = b
+            for c, q in m.items():
+                taken[b + c] = 1
+                slots[b + c] = (s, q)
+        self.base = np.array(base, np.int32)
+        self.check, self.target = np.full(len(taken) + width, -1, np.int32), np.zeros(len(taken) + width, np.int32)
+        where = np.fromiter(slots, np.int64, len(slots))
+        self.check[where] = [s for s, _ in slots.values()]
+        self.target[where] = [q for _, q in slots.values()]
+        self._lists = None
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and whether a phrase starts with c. In state 0 one always does."""
+        at = self.base[state] + c
+        start = self.check[at] != state
+        return np.where(start, self.root[c], self.target[at]), start
+
+    def phrases(self, codes: list[int]) -> int:
+        """The phrases of one text, a character at a time."""
+        if self._lists is None:
+            self._lists = tuple(x.tolist() for x in (self.base, self.check, self.target, self.root))
+        base, check, target, root = self._lists
+        state = n = 0
+        for c in codes:
+            at = base[state] + c
+            if check[at] == state:
+                state = target[at]
+            else:
+                n, state = n + 1, root[c]
+        return n
+
 
+class Model:
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        texts = {k: letters_of(v)[:SAMPLE_CHARS] for k, v in samples.items()}
-        frequent = [c for c, _ in sorted(Counter("".join(texts.values())).items(), key=lambda x: (-x[1], x[0])) if c != " "][:LETTERS]
-        self.classes = {c: i + 2 for i, c in enumerate(frequent)} | {" ": SPACE}
-        self.width = len(frequent) + 2
+        texts = {k: letters_of(v) for k, v in samples.items()}
+        self.classes = {" ": SPACE} | {c: i + 2 for i, c in enumerate(sorted({*"".join(texts.values())} - {" "}))}
         self.bits = np.array([np.log2(max(2, len(texts[k]))) for k in self.langs])
-        self.steps = [self._table(suffix_automaton([self.classes.get(c, UNKNOWN) for c in texts[k]])) for k in self.langs]
+        self.automata = [Automaton(suffix_automaton([self.classes[c] for c in texts[k]]), len(self.classes) + 1) for k in self.langs]
         self._lookup = None
 
-    def _table(self, moves: list[dict[int, int]]) -> np.ndarray:
-        to = np.full((len(moves), self.width), -1, np.int32)
-        for s, m in enumerate(moves):
-            for c, q in m.items():
-                to[s, c] = q
-        to[:, UNKNOWN] = -1  # letters that are not told apart match nothing
-        root = to[0].copy()
-        # No match: the phrase ends and the next one starts here, or is this one character where no text has it.
-        again = np.where(root >= 0, 4 * root + 1, 2)
-        out = np.where(to >= 0, 4 * to, again[None, :])
-        out[0] = np.where(root >= 0, 4 * root, 1)
-        return out.ravel().astype(np.int32)
+    def _class(self, c: str) -> int:
+        low = c.lower()
+        return self.classes.get(low if len(low) == 1 else low[0], UNKNOWN)
 
     def classify(self, code_points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The class of each character and whether it is a letter."""
         if self._lookup is None:
-            table, letter = np.full(1 << 16, SPACE, np.uint8), np.zeros(1 << 16, bool)
+            table, letter = np.full(1 << 16, SPACE, np.int32), np.zeros(1 << 16, bool)
             for i in range(1 << 16):
                 c = chr(i)
                 if unicodedata.category(c)[0] in "LM":
                     letter[i] = unicodedata.category(c)[0] == "L"
-                    table[i] = self.classes.get(c.lower()[0], UNKNOWN)
+                    table[i] = self._class(c)
             self._lookup = table, letter
         table, letter = self._lookup
         low = np.minimum(code_points, 0xFFFF)
         out, letters = table[low], letter[low]
         for x in np.unique(code_points[code_points > 0xFFFF]):
             kind, at = unicodedata.category(chr(x))[0], code_points == x
-            out[at], letters[at] = (UNKNOWN if kind in "LM" else SPACE), kind == "L"
+            out[at], letters[at] = (self._class(chr(x)) if kind in "LM" else SPACE), kind == "L"
         return out, letters
 
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,23 +180,47 @@ class Model:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         begin = starts[owner] + nth * BLOCK
         length = np.minimum(BLOCK, sizes[owner] - nth * BLOCK)
-        order = np.argsort(-length, kind="stable")
-        owner, begin, length = owner[order], begin[order], length[order]
-        active = np.searchsorted(-length, -np.arange(BLOCK), side="left")  # blocks longer than t
         found = np.zeros((len(texts), len(self.langs)), np.int64)
-        state = [np.zeros(len(owner), np.int32) for _ in self.langs]
-        count = [np.zeros(len(owner), np.int32) for _ in self.langs]
-        for t in range(int(length[0]) if len(length) else 0):
-            n = active[t]
-            c = codes[begin[:n] + t]
-            for step, s, k in zip(self.steps, state, count, strict=True):
-                v = step[s[:n] * np.int32(self.width) + c]
-                k[:n] += v & 3
-                s[:n] = v >> 2
-        for i, (s, k) in enumerate(zip(state, count, strict=True)):
-            found[:, i] = np.bincount(owner, weights=k + (s > 0), minlength=len(texts)).astype(np.int64)
+        for i, automaton in enumerate(self.automata):
+            found[:, i] = self._phrases(automaton, codes, owner, nth, begin, length, starts, sizes)
         return found, has
 
+    @staticmethod
+    def _phrases(automaton: Automaton, codes, owner, nth, begin, length, starts, sizes) -> np.ndarray:
+        order = np.argsort(-length, kind="stable")
+        active = np.searchsorted(-length[order], -np.arange(BLOCK), side="left")  # blocks longer than t
+        first = begin[order]
+        started = np.zeros(len(codes), bool)
+        state = np.zeros(len(order), np.int32)
+        for t in range(int(length.max()) if len(length) else 0):
+            n = active[t]
+            at = first[:n] + t
+            state[:n], started[at] = automaton.step(state[:n], codes[at])
+        last = np.empty_like(state)
+        last[order] = state
+        count = np.bincount(owner[np.repeat(np.arange(len(owner)), length)], weights=started, minlength=len(sizes)).astype(np.int64)
+        # What each block begins with is parsed again as its predecessor's last phrase goes on.
+        lane = np.flatnonzero((nth > 0) & (np.r_[0, last[:-1]] > 0))
+        state = last[lane - 1]
+        change = np.zeros(len(lane), np.int64)
+        open_ = np.arange(len(lane))
+        t = 0
+        while len(open_):
+            open_ = open_[length[lane[open_]] > t]
+            at = begin[lane[open_]] + t
+            state[open_], start = automaton.step(state[open_], codes[at])
+            own = started[at]
+            met = start & own
+            change[open_] += start.astype(np.int64) - own
+            open_ = open_[~met]
+            t += 1
+            if t >= BLOCK:
+                break
+        count += np.bincount(owner[lane], weights=change, minlength=len(sizes)).astype(np.int64)
+        for k in {int(owner[lane[x]]) for x in open_}:  # no phrase of a whole block started where one of its own does
+            count[k] = automaton.phrases(codes[starts[k] : starts[k] + sizes[k]].tolist())
+        return count
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         found, has = self.parse(texts)
         bits = found * self.bits
@@ -157,11 +232,8 @@ class Model:
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model | None:
     """From a bounded sample of the rows of docs with a language and a letter; None if there are none."""
     rows = pick(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    h = F.xxhash64("doc_id", "text")
-    window = F.substring(F.col("text"), (F.pmod(h, F.greatest(F.lit(1), F.length("text") - SAMPLE_WINDOW)) + 1).cast("int"), F.lit(SAMPLE_WINDOW))
-    small = rows.join(F.broadcast(langs), "lang", "left_semi").select("lang", h.alias("h"), window.alias("t"))
-    first = small.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= SAMPLE_DOCS)
+    rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.col("text").alias("t"))
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= SAMPLE_DOCS)
     samples: dict[str, list] = {}
     for r in first.orderBy("lang", "k").collect():
         samples.setdefault(r["lang"], []).append(r["t"])
@@ -192,7 +264,7 @@ def identify(docs: DataFrame, model: Model | None, held_out: Column | None = Non
     """
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
     held = ~not_held_out(F.col("doc_id")) if held_out is None else held_out
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANGUAGES * 2 * SAMPLE_CHARS states at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE_DOCS texts of each language
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     return through_arrow(rows, lambda batches: _score(batches, shared.value), "doc_id long, held_out boolean, lang_pred string, score double")
 

@@ -370,25 +370,38 @@ def test_language_accuracy(spark):
 
 
 def test_parse_against_plain_longest_matches():
-    m = langid.Model({"a": "the cat sat on the mat", "b": "der hund und die katze"})
-    texts = ["the cat and the dog sat", "hund", "", "zzz", "The   CAT!", "x" * 3000 + " the cat"]
+    """Phrases go on over the edges of blocks, also where no two parses meet within one."""
+    samples = {"a": "the cat sat on the mat", "b": "der hund und die katze", "c": "ab" * 1500}
+    m = langid.Model(samples)
+    r = np.random.default_rng(4)
+    long = " ".join(r.choice("the cat sat on mat hund und die katze der zzz".split(), 900))
+    texts = ["the cat and the dog sat", "hund", "", "zzz", "The   CAT!", "x" * 3000 + " the cat", long, "ab" * 2600, "b" + "ab" * 1400]
     found, _ = m.parse(texts)
     for i, t in enumerate(texts):
-        codes = re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in t.lower()))
-        for k, train in enumerate(("the cat sat on the mat", "der hund und die katze")):
-            n = 0
-            for lo in range(0, len(codes), langid.BLOCK):
-                s = codes[lo : lo + langid.BLOCK]
-                at = 0
-                while at < len(s):
-                    end = at + 1
-                    while end <= len(s) and s[at:end] in train:
-                        end += 1
-                    at = max(at + 1, end - 1)
-                    n += 1
+        s = re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in t.lower()))
+        for k, train in enumerate(samples.values()):
+            n = at = 0
+            while at < len(s):
+                end = at + 1
+                while end <= len(s) and s[at:end] in train:
+                    end += 1
+                at = max(at + 1, end - 1)
+                n += 1
             assert found[i][k] == n, (t[:20], k)
 
 
+def test_any_number_of_languages_and_letters(spark):
+    """Seventy languages, each with letters of its own, some beyond 16 bits."""
+    alphabets = [[chr(x) for x in range(0x4E00 + 60 * k, 0x4E00 + 60 * k + 40)] for k in range(65)] + [[chr(x) for x in range(0x20000 + 60 * k, 0x20000 + 60 * k + 40)] for k in range(5)]
+    r = np.random.default_rng(6)
+    vocabulary = [["".join(r.choice(a, 4)) for _ in range(30)] for a in alphabets]
+    rows = [(70 * j + k, " ".join(r.choice(v, 40)), f"l{k:02}") for j in range(4) for k, v in enumerate(vocabulary)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.language_id(d).collect()}
+    taught = {k for i, _, k in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(taught) > 64 and all(got[i] == k for i, _, k in rows if k in taught)
+
+
 def test_toxicity_finds_planted_words_on_held_out_texts(spark):
     rows = [(i, prose(i, 60) + (" Vilestuff" if i % 12 == 0 else " vilething and" if i % 12 == 4 else "")) for i in range(1200)]
     bad = {i for i in range(1200) if i % 4 == 0 and i % 12 in (0, 4)}
