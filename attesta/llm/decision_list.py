@@ -137,7 +137,7 @@ def learn(stats: DataFrame, labels: DataFrame, rules: int = RULES, conditions: i
     """
     marks = pick(labels, "doc_id", "quality").where("quality IS NOT NULL").where(not_held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.min("quality") == 0).cast("long").alias("bad"))
     values = stats.where(~base_failed()).join(marks, "doc_id").select("doc_id", "bad", *(F.expr(e).alias(n) for n, e in RATIOS.items()))
-    values = cut(values.dropDuplicates([*RATIOS, "bad"]))  # copies count once
+    values = cut(values.groupBy(*RATIOS, "bad").agg(F.min("doc_id").alias("doc_id")))  # copies count once
     names = list(RATIOS)
     marks_at = values.agg(*(F.percentile_approx(n, [i / bins for i in range(1, bins)], 10_000).alias(n) for n in names), *(F.percentile_approx(F.when(F.col("bad") == 1, F.col(n)), [i / 8 for i in range(1, 8)], 10_000).alias(f"bad_{n}") for n in names)).first()
     cuts = {n: sorted({*(marks_at[n] or []), *(marks_at[f"bad_{n}"] or [])}) for n in names}

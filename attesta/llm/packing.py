@@ -1,11 +1,11 @@
 """Harmonic packing of token ids into sequences.
 
-The classes are the reciprocal capacities: class k holds pieces of capacity // k ids, and each of its bins takes exactly
-k of them. As documents may be cut, a document is cut into whole sequences (class 1) and its rest greedily into pieces
-of exactly such lengths, three to four a document, so that a full bin wastes capacity mod length ids at most: only
-lengths for which that is under a sixty-fourth of the capacity are used. Every worker fills its own bins of each class,
-holding only the pieces of its unfilled ones. Those are left at the end, under one sequence for each class; a pool of
-WORKERS_PER_POOL workers then lays them end to end and cuts them again, so that one sequence in each pool is not full.
+A document's whole sequences come first; what is left of it, n ids, is of the class of the reciprocal capacity that it
+fits: class k holds rests from capacity / (k + 1) to capacity / k ids, and each of its bins takes exactly k of them, whole.
+What a filled bin leaves is taken by the next rests that fit into it, the tightest bin first; only when more than WAITING
+bins wait is a rest cut, to fill those with most room to the last id. Every worker fills its own bins, holding only those
+that are open or wait. Their rests are left at the end; a pool of WORKERS_PER_POOL workers lays them end to end and
+cuts them, so that one sequence in each pool is not full.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import json
 import re
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,7 @@ from attesta.llm.common import cut, pick, through_arrow, vocabulary
 CAPACITY = 1024
 END_ID = 0
 WORKERS_PER_POOL = 64
+WAITING = 32
 
 #: How byte-level BPE splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,9 +40,54 @@ LONG_SPACE = 50_000
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def piece_lengths(capacity: int) -> list[int]:
-    """The lengths of the classes in use, longest first; 1 is always among them."""
-    return [s for s in range(capacity, 0, -1) if capacity // (capacity // s) == s and capacity % s <= max(1, capacity // 64)]
+class Bins:
+    """The open and waiting bins of a worker. A piece is (doc_id, start, ids in bytes, doc_tokens)."""
+
+    def __init__(self, capacity: int, waiting: int = WAITING):
+        self.capacity, self.most = capacity, waiting
+        self.open: dict[int, list[tuple]] = {}
+        self.gaps: list[int] = []  # sorted, with the bins that have them
+        self.bins: list[list[tuple]] = []
+
+    def _wait(self, gap: int, bin_: list[tuple]) -> None:
+        at = bisect_left(self.gaps, gap)
+        self.gaps.insert(at, gap)
+        self.bins.insert(at, bin_)
+
+    def add(self, doc_id, start: int, ids: bytes, total: int) -> Iterator[list[tuple]]:
+        """Places the rest of a document that begins at start; gives the bins that this fills."""
+        while len(self.gaps) > self.most and ids:
+            gap, bin_ = self.gaps.pop(), self.bins.pop()
+            n = min(gap, len(ids) // 4)
+            bin_.append((doc_id, start, ids[: 4 * n], total))
+            start, ids = start + n, ids[4 * n :]
+            if n == gap:
+                yield bin_
+            else:
+                self._wait(gap - n, bin_)
+        n = len(ids) // 4
+        if not n:
+            return
+        piece = (doc_id, start, ids, total)
+        at = bisect_left(self.gaps, n)
+        if at < len(self.gaps):
+            gap, bin_ = self.gaps.pop(at) - n, self.bins.pop(at)
+            bin_.append(piece)
+        else:
+            k = self.capacity // n
+            bin_ = self.open.setdefault(k, [])
+            bin_.append(piece)
+            if len(bin_) < k:
+                return
+            del self.open[k]
+            gap = self.capacity - sum(len(p[2]) for p in bin_) // 4
+        if gap:
+            self._wait(gap, bin_)
+        else:
+            yield bin_
+
+    def left(self) -> list[tuple]:
+        return [p for bin_ in [*self.open.values(), *self.bins] for p in bin_]
 
 
 class Encoder:
@@ -93,35 +140,33 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def _fill(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(n.split()[0], pa.int64()) for n in _PIECE.split(", ")] + [("pool", pa.int32()), ("ids", pa.binary())])
-    encode, lengths = encoder(path), piece_lengths(capacity)
-    next_length = np.zeros(capacity + 1, np.int64)
-    for s in reversed(lengths):
-        next_length[s:] = s
-    next_length = next_length.tolist()
+    encode, bins = encoder(path), Bins(capacity)
     worker = TaskContext.get().partitionId()
     sequence = worker << 33
-    unfilled: dict[int, list[tuple]] = {s: [] for s in lengths}
     end = np.array([END_ID], "<u4").tobytes()
     out: list[tuple] = []
+
+    def full(bin_: list[tuple]) -> None:
+        nonlocal sequence
+        offset = 0
+        for doc_id, start, ids, total in bin_:
+            out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset, None, None))
+            offset += len(ids) // 4
+        sequence += 1
+
     for b in batches:
-        texts = b.column(1).to_pylist()
-        for doc_id, text in zip(b.column(0).to_pylist(), texts, strict=True):
+        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             ids = encode(text or "") + end
-            total, start = len(ids) // 4, 0
-            while start < total:
-                s = next_length[min(capacity, total - start)]
-                piece = ids[4 * start : 4 * (start + s)]
-                bin_ = unfilled[s]
-                bin_.append((doc_id, start, s, zlib.crc32(piece), total, piece))
-                if len(bin_) == capacity // s:
-                    out += [(*p[:5], sequence, i * s, None, None) for i, p in enumerate(bin_)]
-                    sequence += 1
-                    bin_.clear()
-                start += s
+            total = len(ids) // 4
+            whole = total - total % capacity
+            for start in range(0, whole, capacity):
+                full([(doc_id, start, ids[4 * start : 4 * (start + capacity)], total)])
+            for bin_ in bins.add(doc_id, whole, ids[4 * whole :], total):
+                full(bin_)
             if len(out) > 20_000:
                 yield _table(out, schema)
-                out = []
-    out += [(*p[:5], None, None, worker // WORKERS_PER_POOL, p[5]) for bin_ in unfilled.values() for p in bin_]
+                out.clear()
+    out += [(doc_id, start, len(ids) // 4, zlib.crc32(ids), total, None, None, worker // WORKERS_PER_POOL, ids) for doc_id, start, ids, total in bins.left()]
     if out:
         yield _table(out, schema)
 

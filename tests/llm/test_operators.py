@@ -116,9 +116,22 @@ def test_ids_of_added_tokens_and_long_white_space():
         assert ids(text) == t.encode(text, add_special_tokens=False).ids
 
 
-def test_piece_lengths_fill_their_bins():
-    lengths = packing.piece_lengths(1024)
-    assert lengths[0] == 1024 and lengths[-1] == 1 and all(1024 - 1024 // s * s <= 16 for s in lengths)
+def test_bins_hold_as_many_rests_as_their_class():
+    """Rests of a class fill a bin whole; later ones go into what it leaves, and are cut only when many bins wait."""
+    ids = lambda n: b"\0" * (4 * n)
+    sizes = [40, 45, 40, 40, 30, 30, 30, 15, 12]
+    for waiting, done, gaps in ((3, [[0, 1, 7]], [8, 10]), (2, [], [5, 10, 3])):
+        bins = packing.Bins(100, waiting)
+        assert [[p[0] for p in b] for i, n in enumerate(sizes) for b in bins.add(i, 0, ids(n), n)] == done
+        assert bins.gaps == sorted(gaps)
+    r = np.random.default_rng(8)
+    bins, sizes = packing.Bins(1024), r.integers(1, 1024, 3000).tolist()
+    full = [b for i, n in enumerate(sizes) for b in bins.add(i, 0, ids(n), n)]
+    assert all(sum(len(p[2]) for p in b) == 4096 for b in full)
+    pieces = [p for b in full for p in b] + bins.left()
+    assert sum(len(p[2]) for p in pieces) == 4 * sum(sizes) and len(bins.gaps) <= packing.WAITING + 1
+    by_doc = Counter(p[0] for p in pieces)
+    assert len(by_doc) == 3000 and sum(n > 1 for n in by_doc.values()) < 0.5 * 3000
 
 
 def test_licence_rules(spark):
