@@ -93,7 +93,7 @@ def spec_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def score_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score_lines, total, near_hundred: the points on its lines."""
-    l = lines(docs, id_col, text_col).withColumn("points", F.transform(F.regexp_extract_all("line", F.lit(r"(\d{1,3})\s*점"), F.lit(1)), lambda x: x.cast("long"))).where(F.size("points") > 0)
+    l = lines(docs, id_col, text_col).withColumn("points", F.transform(F.regexp_extract_all("line", F.lit(r"(\d{1,3})\s*(?:점|%)"), F.lit(1)), lambda x: x.cast("long"))).where(F.size("points") > 0)
     g = l.groupBy("doc_id").agg(F.count("*").alias("score_lines"), F.sum(F.aggregate("points", F.lit(0).cast("long"), lambda a, b: a + b)).alias("total"))
     return g.withColumn("near_hundred", F.col("total").between(95, 105))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as T
 
+#: How headings, numbered items and ids are written.
 HEADING = r"(?i)^(references|참고문헌|인용문헌)[ \t]*(\n|$)"
 EXCLUDED = r"^(header|footer|heading)"
 BODY = r"^(body|text|paragraph)"
@@ -18,6 +19,7 @@ DOI = r"(?i)(10\.\d{4,9}/[^\s\"<>)]+)"
 ARXIV = r"(?i)(?:arxiv\.org/(?:abs|pdf)/|arxiv[:\-]\s*)(\d{4}\.\d{4,5}(?:v\d+)?)"
 URL = r"(https?://(?!doi\.org)[^\s\"<>)]+)"
 YEAR = r"(?:^|[^0-9])(19[5-9]\d|20[0-4]\d)(?:[^0-9]|$)"
+#: Outcomes, and the title similarities from which a match is one.
 STATUSES = ("verified", "partial", "unverified", "unreachable", "not_applicable")
 VERIFIED, PARTIAL = 0.85, 0.72
 
@@ -43,6 +45,17 @@ def split_sections(elements: DataFrame) -> DataFrame:
     return e.withColumn("section", F.when(F.col("at").isNull() | (F.col("position") < F.col("at")), "body").when(F.col("position") == F.col("at"), "heading").otherwise("references")).drop("at")
 
 
+def body_blocks(elements: DataFrame) -> DataFrame:
+    """The elements of running text: those whose category begins as body, text or paragraph; lists give no claims."""
+    return elements.where(F.lower("category").rlike(BODY))
+
+
+def body_text(elements: DataFrame) -> DataFrame:
+    """doc_id, body: the texts of the body section in reading order, a line each. elements: as split_sections gives them."""
+    own = elements.where("section = 'body'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("t"))
+    return own.select("doc_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("body"))
+
+
 def looks_like_reference(t: Column) -> Column:
     """A year in brackets in the first three lines of a text that begins with a word, or a DOI or arXiv id."""
     three = F.array_join(F.slice(F.split(t, "\n"), 1, 3), "\n")
@@ -159,22 +172,36 @@ def extract_claims(blocks: DataFrame) -> DataFrame:
 def reference_marker(t: Column) -> Column:
     """struct(marker_type, marker_value) of a reference: [n], else n., else first surname and year."""
     n = F.coalesce(_first(t, r"^\s*\[(\d+)\]"), _first(t, r"^\s*(\d+)[.)]\s"))
-    return F.when(n.isNotNull(), F.struct(F.lit("number").alias("marker_type"), n.alias("marker_value"))).when(_first(t, r"^\s*(\p{L}+)").isNotNull() & _first(t, r"(\d{4})").isNotNull(), F.struct(F.lit("author_year").alias("marker_type"), T.author_year_key(t).alias("marker_value")))
+    name = lambda x: F.when(_first(x["t"], r"^\s*(\p{L}+)").isNotNull() & _first(x["t"], r"(\d{4})").isNotNull(), F.struct(F.lit("author_year").alias("marker_type"), T.author_year_key(x["t"]).alias("marker_value")))
+    return T.let(F.struct(n.alias("n"), t.alias("t")), lambda x: F.when(x["n"].isNotNull(), F.struct(F.lit("number").alias("marker_type"), x["n"].alias("marker_value"))).otherwise(name(x)))
 
 
 def link_report(cited: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """cited, listed: doc_id, marker_type, marker_value. Returns (listed but not cited, cited but not listed), distinct."""
     keys = ["doc_id", "marker_type", "marker_value"]
-    c, r = cited.select(*keys).distinct(), listed.select(*keys).distinct()
-    return r.join(c, keys, "left_anti"), c.join(r, keys, "left_anti")
+    c, r = cited.select(*keys), listed.select(*keys)
+    return r.join(c, keys, "left_anti").distinct(), c.join(r, keys, "left_anti").distinct()
+
+
+def markers_within(t: Column) -> Column:
+    """Every marker that a reference's text answers to: [n] anywhere, the ends of digits before a dot among its first
+    twenty characters, and each capitalised or Hangul word with each year of the text."""
+    start = F.regexp_extract_all(F.left(t, F.lit(20)), F.lit(r"(\d+)(?=\.)"), F.lit(1))
+    ends = F.flatten(F.transform(start, lambda d: F.transform(F.sequence(F.lit(1), F.length(d)), lambda i: F.substring(d, i, F.length(d)))))
+    numbers = F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(r"\[(\d+)\]"), F.lit(1)), ends))
+    names = F.array_distinct(F.regexp_extract_all(t, F.lit(r"([\p{Lu}가-힣][\p{L}\-]+)"), F.lit(1)))
+    years = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(\d{4})"), F.lit(1)))
+    pairs = F.flatten(F.transform(years, lambda y: F.transform(names, lambda w: F.concat_ws(", ", w, y))))
+    kind = lambda name: lambda v: F.struct(F.lit(name).alias("marker_type"), v.alias("marker_value"))
+    return F.concat(F.transform(numbers, kind("number")), F.transform(pairs, kind("author_year")))
 
 
 def first_matching_reference(claims: DataFrame, refs: DataFrame) -> DataFrame:
     """claims with (doc_id, marker_type, marker_value); refs (doc_id, ref_id, text): adds the first ref_id whose text has the marker.
 
-    References carry their own markers, so the search is an equi-join on them and not a comparison of every pair.
+    References list all the markers they answer to, so the search is an equi-join and not a comparison of every pair.
     """
-    m = refs.select("doc_id", "ref_id", reference_marker(F.col("text")).alias("m")).where("m IS NOT NULL").groupBy("doc_id", "m.marker_type", "m.marker_value").agg(F.min("ref_id").alias("ref_id"))
+    m = refs.select("doc_id", "ref_id", F.explode(markers_within(F.col("text"))).alias("m")).groupBy("doc_id", "m.marker_type", "m.marker_value").agg(F.min("ref_id").alias("ref_id"))
     return claims.join(m, ["doc_id", "marker_type", "marker_value"], "left")
 
 
@@ -218,25 +245,52 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
     return c.withColumn("k", best).where("k = 1").drop("k")
 
 
-def verify(refs: DataFrame, registry: DataFrame | None, block: int = 3) -> DataFrame:
+def _title_keys(titles: DataFrame, key: str, title: str, rarity: DataFrame, least: float) -> DataFrame:
+    """key, word: the first words of each title, and so many of its rarest words that titles which share at least `least`
+    of their words have one in common."""
+    t = titles.select(key, F.split(T.normalize_reference(F.col(title)), " ").alias("w")).where(F.element_at("w", 1) != "")
+    begins = t.select(key, F.concat(F.lit("^"), F.array_join(F.slice("w", 1, 3), " ")).alias("word"))
+    words = t.select(key, F.explode(F.array_distinct("w")).alias("word")).join(rarity, "word", "left")
+    g = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("w"))
+    some = F.slice("w", F.lit(1), F.size("w") - F.ceil(F.size("w") * least).cast("int") + 1)
+    return begins.unionByName(g.select(key, F.explode(F.transform(some, lambda x: x["word"])).alias("word"))).distinct()
+
+
+def title_candidates(refs: DataFrame, registry: DataFrame, least: float = 0.5) -> DataFrame:
+    """refs: ref_id, title; registry: g_id, g_title. The pairs (ref_id, g_id) whose titles share at least `least` of the
+    words of the longer one, or begin with the same three words. Rare words lead to them, so common ones meet nowhere."""
+    rarity = registry.select(F.explode(F.array_distinct(F.split(T.normalize_reference(F.col("g_title")), " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    mine, own = _title_keys(refs, "ref_id", "title", rarity, least), _title_keys(registry, "g_id", "g_title", rarity, least)
+    return mine.join(own, "word").select("ref_id", "g_id").distinct()
+
+
+def verify(refs: DataFrame, registry: DataFrame | None, more: DataFrame | None = None, known_dois: DataFrame | None = None) -> DataFrame:
     """refs: ref_id and the columns of parse(); registry: doi, arxiv, title, first_author, year. Adds status, similarity, matched_doi.
 
-    Ids are equi-joins. References without a match by id are compared with titles that share their first words, never
-    with all. Without a registry snapshot everything is unreachable; a web page or book without id does not apply.
+    Ids are equi-joins; `more` is a second registry of that form, asked for ids that the first doesn't have. A reference
+    whose id no registry has, or without one, is searched by title (title_candidates): with an unknown id it is partly
+    right at best, and matched_doi is the correct one. known_dois (doi) are registered without metadata: partial as well.
+    Without a registry snapshot everything is unreachable; a web page or book without id does not apply.
     """
     if registry is None:
         return refs.withColumns({"status": F.lit("unreachable"), "similarity": F.lit(None).cast("double"), "matched_doi": F.lit(None).cast("string")})
-    g = registry.select(F.lower("doi").alias("g_doi"), F.col("arxiv").alias("g_arxiv"), F.col("title").alias("g_title"), F.col("first_author").alias("g_author"), F.col("year").alias("g_year"))
-    start = lambda t: F.array_join(F.slice(F.split(T.normalize_reference(t), " "), 1, block), " ")
-    keys = refs.select("ref_id", "title", "first_author", "year", F.explode(F.array_compact(F.array(F.concat(F.lit("d"), F.lower("doi")), F.concat(F.lit("a"), "arxiv"), F.when(F.col("doi").isNull() & F.col("arxiv").isNull(), F.concat(F.lit("t"), start(F.col("title"))))))).alias("key"))
-    own = g.select("*", F.explode(F.array_compact(F.array(F.concat(F.lit("d"), "g_doi"), F.concat(F.lit("a"), "g_arxiv"), F.concat(F.lit("t"), start(F.col("g_title")))))).alias("key"))
-    c = keys.join(own, "key").select("ref_id", F.hash("g_doi", "g_title").alias("cand_ord"), "g_doi", T.title_similarity(F.col("title"), F.col("g_title")).alias("similarity"), T.author_match(F.col("first_author"), F.col("g_author")).alias("author_ok"), T.year_difference(F.col("year"), F.col("g_year")).alias("year_diff"))
-    best = best_candidate(c)
-    out = refs.join(best, "ref_id", "left")
+    form = lambda r, rank: r.select(F.lit(rank).alias("g_rank"), F.lower("doi").alias("g_doi"), F.col("arxiv").alias("g_arxiv"), F.col("title").alias("g_title"), F.col("first_author").alias("g_author"), F.col("year").alias("g_year"))
+    g = form(registry, 1) if more is None else form(registry, 1).unionByName(form(more, 2))
+    g = g.withColumn("g_id", F.xxhash64("g_rank", "g_doi", "g_arxiv", "g_title"))
+    ids = lambda d, a: F.explode(F.array_compact(F.array(F.concat(F.lit("d"), d), F.concat(F.lit("a"), a)))).alias("key")
+    by_id = refs.select("ref_id", ids(F.lower("doi"), F.col("arxiv"))).join(g.select("g_id", ids(F.col("g_doi"), F.col("g_arxiv"))), "key").select("ref_id", "g_id").distinct()
+    rest = refs.join(by_id, "ref_id", "left_anti").where("title IS NOT NULL")
+    pairs = by_id.withColumn("by_id", F.lit(True)).unionByName(title_candidates(rest, g).withColumn("by_id", F.lit(False)))
+    c = pairs.join(refs.select("ref_id", "title", "first_author", "year"), "ref_id").join(g.dropDuplicates(["g_id"]), "g_id")
+    c = c.select("ref_id", "by_id", F.struct("g_rank", "g_doi", "g_title").alias("cand_ord"), "g_doi", T.title_similarity(F.col("title"), F.col("g_title")).alias("similarity"), T.author_match(F.col("first_author"), F.col("g_author")).alias("author_ok"), T.year_difference(F.col("year"), F.col("g_year")).alias("year_diff"))
+    out = refs.join(best_candidate(c.where(F.col("by_id") | (F.col("similarity") >= PARTIAL))), "ref_id", "left")
     fits = F.col("author_ok") & (F.coalesce("year_diff", F.lit(0)) <= 1)
     no_id = F.col("doi").isNull() & F.col("arxiv").isNull()
-    status = F.when(F.col("similarity").isNull() & no_id & F.col("kind").isin("web", "book"), "not_applicable").when((F.col("similarity") >= VERIFIED) & fits, "verified").when(F.col("similarity") >= PARTIAL, "partial").otherwise("unverified")
-    return out.select(*refs.columns, status.alias("status"), "similarity", F.col("g_doi").alias("matched_doi"))
+    status = F.when(F.col("similarity").isNull() & no_id & F.col("kind").isin("web", "book"), "not_applicable").when((F.col("similarity") >= VERIFIED) & fits & (F.col("by_id") | no_id), "verified").when(F.col("similarity") >= PARTIAL, "partial")
+    if known_dois is not None:
+        out = out.join(known_dois.select(F.lower("doi").alias("known")).distinct(), F.lower("doi") == F.col("known"), "left")
+        status = status.when(F.col("known").isNotNull(), "partial")
+    return out.select(*refs.columns, status.otherwise("unverified").alias("status"), "similarity", F.col("g_doi").alias("matched_doi"))
 
 
 def retracted(registry: DataFrame) -> DataFrame:
@@ -246,16 +300,17 @@ def retracted(registry: DataFrame) -> DataFrame:
 
 
 def redirect_ends(edges: DataFrame, hops: int = 10) -> DataFrame:
-    """edges: from_url, to_url. The last page of each chain of redirects, of `hops` steps at most, by joins."""
+    """edges: from_url, to_url. For each from_url final_url, hops and state: where its redirects end ('final'), where they
+    come back to a page of the chain ('cycle'), or where they are after `hops` steps ('too_long'). A join a step."""
     e = edges.dropDuplicates(["from_url", "to_url"])
-    now = e.select(F.col("from_url").alias("url"), F.col("to_url").alias("at"), F.lit(1).alias("n"))
-    done = None
-    for _ in range(hops):
-        step = now.join(e, F.col("at") == F.col("from_url"), "left")
-        ended = step.where("from_url IS NULL").select("url", "at", "n")
-        done = ended if done is None else done.unionByName(ended)
-        now = step.where("from_url IS NOT NULL").select("url", F.col("to_url").alias("at"), (F.col("n") + 1).alias("n"))
-    return done.select("url", F.col("at").alias("final_url"), F.col("n").alias("hops"))
+    now = e.select(F.col("from_url").alias("url"), F.col("to_url").alias("at"), F.array("from_url").alias("seen"))
+    for _ in range(hops - 1):
+        step = now.join(e, (F.col("at") == F.col("from_url")) & ~F.array_contains("seen", F.col("at")), "left")
+        goes_on = F.col("from_url").isNotNull()
+        now = step.select("url", F.when(goes_on, F.col("to_url")).otherwise(F.col("at")).alias("at"), F.when(goes_on, F.array_append("seen", F.col("at"))).otherwise(F.col("seen")).alias("seen"))
+    open_ = now.join(e.select(F.col("from_url").alias("more")).distinct(), F.col("at") == F.col("more"), "left")
+    state = F.when(F.col("more").isNull(), "final").when(F.array_contains("seen", F.col("at")), "cycle").otherwise("too_long")
+    return open_.select("url", F.col("at").alias("final_url"), F.size("seen").alias("hops"), state.alias("state"))
 
 
 def corrected_entry() -> Column:

@@ -184,13 +184,17 @@ def ref_parse_fields(spark, d):
     return references.parse_references(_refs(spark, d)).select("ref_id", "doi", "arxiv", "url", "year", "kind")
 
 
-@query("SELECT ref_id, status, similarity FROM (SELECT p_partkey AS ref_id, CASE WHEN p_partkey % 4 >= 2 THEN 'verified' ELSE 'unverified' END AS status, CASE WHEN p_partkey % 4 >= 2 THEN 1.0 END AS similarity FROM part)")
+#: Of six references: right; a wrong DOI; no id; not registered; a web page; a wrong year.
+_VERIFY_STATUS = "CASE p_partkey % 6 WHEN 0 THEN 'verified' WHEN 1 THEN 'partial' WHEN 2 THEN 'verified' WHEN 3 THEN 'unverified' WHEN 4 THEN 'not_applicable' ELSE 'partial' END"
+
+
+@query(f"SELECT p_partkey AS ref_id, {_VERIFY_STATUS} AS status, CASE WHEN p_partkey % 6 IN (3, 4) THEN NULL ELSE CAST(1.0 AS DOUBLE) END AS similarity, CASE WHEN p_partkey % 6 IN (3, 4) THEN NULL ELSE '10.1000/x' || p_partkey END AS matched_doi FROM part")
 def ref_verify(spark, d):
-    refs = references.parse_references(_refs(spark, d)).withColumn("title", F.col("p_name"))
-    registry = table(spark, d, "part").where("p_partkey % 4 >= 2").select(F.expr("'10.' || (1000 + p_partkey % 9000) || '/x' || p_partkey").alias("doi"), F.lit(None).cast("string").alias("arxiv"), F.col("p_name").alias("title"), F.lit("Kim").alias("first_author"), F.expr("cast(1990 + p_size % 30 as string)").alias("year"))
-    # Titles of the test table repeat, so only ids are compared here.
-    out = references.verify(refs.withColumn("title", F.when(F.col("doi").isNotNull(), F.col("title"))), registry)
-    return out.select("ref_id", "status", F.col("similarity"))
+    p = table(spark, d, "part")
+    title = F.expr("'Study' || p_partkey || ' of sample' || (p_partkey * 7) || ' by method' || (p_partkey * 11)")
+    refs = p.select(F.col("p_partkey").alias("ref_id"), title.alias("title"), F.expr("case p_partkey % 6 when 0 then '10.1000/X' || p_partkey when 1 then '10.9999/gone' || p_partkey when 5 then '10.1000/x' || p_partkey end").alias("doi"), F.lit(None).cast("string").alias("arxiv"), F.lit("Kim").alias("first_author"), F.expr("case when p_partkey % 6 = 5 then '1990' else '2001' end").alias("year"), F.expr("case when p_partkey % 6 = 4 then 'web' else 'article' end").alias("kind"))
+    registry = p.where("p_partkey % 6 NOT IN (3, 4)").select(F.expr("'10.1000/x' || p_partkey").alias("doi"), F.lit(None).cast("string").alias("arxiv"), title.alias("title"), F.lit("Kim, A.").alias("first_author"), F.lit("2001").alias("year"))
+    return references.verify(refs, registry).select("ref_id", "status", "similarity", "matched_doi")
 
 
 @query(
@@ -349,13 +353,13 @@ def retraction_lookup(spark, d):
     return references.retracted(r).select("doc_id", F.lit(True).alias("retracted"))
 
 
-@query("SELECT 'u' || p_partkey AS url, 'u' || (p_partkey // 10 * 10 + 10) AS final_url, CAST(10 - p_partkey % 10 AS INT) AS hops FROM part WHERE p_partkey < (SELECT max(p_partkey) // 10 * 10 FROM part)")
+@query("SELECT 'u' || p_partkey AS url, CASE WHEN p_partkey % 10 = 5 THEN 'u' || p_partkey ELSE 'u' || (p_partkey // 10 * 10 + 10) END AS final_url, CASE WHEN p_partkey % 10 = 5 THEN CAST(2 AS INT) ELSE CAST(10 - p_partkey % 10 AS INT) END AS hops, CASE WHEN p_partkey % 10 = 5 THEN 'cycle' ELSE 'final' END AS state FROM part WHERE p_partkey % 10 > 4 UNION ALL SELECT 'v' || p_partkey, 'v' || p_partkey, CAST(2 AS INT), 'cycle' FROM part WHERE p_partkey % 10 = 5")
 def redirect_ends(spark, d):
+    # Chains of up to four steps end at the next multiple of ten; every fifth page and its partner lead to each other.
     p = table(spark, d, "part")
-    most = p.agg(F.expr("max(p_partkey) div 10 * 10").alias("m"))
-    e = p.join(F.broadcast(most), F.col("p_partkey") < F.col("m"))  # one row
-    # Chains of up to ten steps end at the next multiple of ten.
-    return references.redirect_ends(e.select(F.expr("'u' || p_partkey").alias("from_url"), F.expr("'u' || case when p_partkey % 10 = 9 then 'x' || (p_partkey + 1) else '' || (p_partkey + 1) end").alias("to_url")), 12).withColumn("final_url", F.replace("final_url", F.lit("x"), F.lit("")))
+    chain = p.where("p_partkey % 10 > 5").selectExpr("'u' || p_partkey AS from_url", "'u' || (p_partkey + 1) AS to_url")
+    pair = p.where("p_partkey % 10 = 5").selectExpr("'u' || p_partkey AS u", "'v' || p_partkey AS v")
+    return references.redirect_ends(chain.union(pair.select("u", "v")).union(pair.select("v", "u")))
 
 
 # -- Law --------------------------------------------------------------------------------------------------------------
@@ -416,12 +420,27 @@ def law_claim_check(spark, d):
 _SITE = "case cast(o_orderkey % 4 as int) when 0 then '원청이 직접 지시 한다. 근태 관련 내용은 없다' when 1 then '수급인이 채용 한다; 인사 기록' when 2 then '혼재 작업 중. 장비 점검' else '특이 사항' end"
 
 
+#: Two sentences an order: a risk keyword of one item, a compliant one of another, both after words of every item's kind.
+_RISKS, _GOODS = ("[" + ", ".join("'" + r[k][0] + "'" for r in checklist.DEFAULT) + "]" for k in (5, 4))
+_CHECK_TEXT = "'현장 관리자 배치 및 작업 방법과 ' || {risk} || '. 도급 계약 책임과 ' || {good} || case when o_orderkey % 5 = 0 then ' 없음' else '' end || '.'"
+
+
 def _checklist(spark, d):
-    return checklist.evaluate(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_SITE).alias("text")), checklist.rules_table(spark))
+    at = lambda xs, k: f"element_at(array({xs[1:-1]}), cast({k} % 18 + 1 as int))"
+    text = F.expr(_CHECK_TEXT.format(risk=at(_RISKS, "o_orderkey"), good=at(_GOODS, "(o_orderkey + 7)")))
+    return checklist.evaluate_fixed(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
 
 
-_CHECK_SQL = """k AS (SELECT o_orderkey AS doc_id, axis, item, CASE WHEN o_orderkey % 4 = 0 AND axis = 1 AND item = 1 THEN 'risk' WHEN o_orderkey % 4 = 1 AND axis = 3 THEN 'compliant' WHEN o_orderkey % 4 = 2 AND axis = 2 THEN 'risk' WHEN o_orderkey % 4 = 2 AND axis = 5 THEN 'compliant' ELSE 'no_evidence' END AS label
-FROM orders, (VALUES (1, 1), (1, 3), (2, 1), (3, 1), (4, 1), (5, 1)) r(axis, item))"""
+def _check_sql() -> str:
+    text = _CHECK_TEXT.format(risk=f"{_RISKS}[o_orderkey % 18 + 1]", good=f"{_GOODS}[(o_orderkey + 7) % 18 + 1]")
+    words = lambda ws: " OR ".join(f"contains(x, '{w}')" for w in ws)
+    item = lambda r: f"SELECT doc_id, CAST({r[0]} AS INT) AS axis, CAST({r[1]} AS INT) AS item, list_filter(s, lambda x: regexp_matches(x, '{r[3].replace('(?iu)', '(?i)')}')) AS e, list_filter(e, lambda x: {words(r[5])}) AS bad FROM s"
+    rows = " UNION ALL ".join(item(r) for r in checklist.DEFAULT)
+    return f"""s AS (SELECT o_orderkey AS doc_id, list_filter(list_transform(regexp_split_to_array({text}, '[.?！；;:\\n]+'), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '{checklist.NEGATION}')) AS s FROM orders),
+k AS (SELECT doc_id, axis, item, CASE WHEN len(e) = 0 THEN 'no_evidence' WHEN len(bad) > 0 THEN 'risk' ELSE 'compliant' END AS label FROM ({rows}))"""
+
+
+_CHECK_SQL = _check_sql()
 
 
 @query(f"WITH {_CHECK_SQL} SELECT * FROM k")
@@ -443,13 +462,12 @@ def _photo_claims(spark, d):
     return photos.photo_claims(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_PHOTO).alias("text")))
 
 
-@query("SELECT o_orderkey AS doc_id, CAST(1 + o_orderkey % 4 AS INT) AS photo_no, CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 3 = 0 THEN '창고_3.jpg' ELSE 'p' || (1 + o_orderkey % 4) || '.jpg' END AS matched_file FROM orders")
+@query("SELECT o_orderkey AS doc_id, CAST(1 + o_orderkey % 4 AS INT) AS photo_no, CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 3 = 0 OR o_orderkey % 4 = 2 THEN '창고_3.jpg' ELSE 'p' || (1 + o_orderkey % 4) || '.jpg' END AS matched_file FROM orders")
 def photo_marker_match(spark, d):
     c = _photo_claims(spark, d)
     names = F.expr("transform(sequence(1, 3), i -> struct(i as photo_no, case when i = 3 then '창고_3.jpg' else 'p' || i || '.jpg' end as file))")
     p = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(names).alias("p")).select("doc_id", "p.*", F.lit(None).cast("array<string>").alias("places"))
-    m = photos.match_photos(c, p).select("doc_id", "photo_no", "matched_file")
-    return m.withColumn("matched_file", F.when((F.col("matched_file") == "창고_3.jpg") & F.expr("doc_id % 3 <> 0"), "p3.jpg").otherwise(F.col("matched_file")))
+    return photos.match_photos(c, p).select("doc_id", "photo_no", "matched_file")
 
 
 @query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'defect' ELSE 'gauge' END AS domain, count(*) AS n FROM orders GROUP BY 1")
@@ -596,3 +614,6 @@ def document_gate(spark, d):
 @query(f"SELECT doc_id, 'document ' || doc_id || ': ' || status || ' (' || reason || ')' AS line FROM ({_GATE_SQL})")
 def gate_summary_lines(spark, d):
     return sinks.summary_lines(_gated(spark, d))
+
+
+from attesta.plans import evidence  # noqa: E402, F401  # registers further queries

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
@@ -119,7 +120,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     text, encoding = decode(data)
                     out.append((html_text(text) if ext in ("html", "htm") else text, encoding, None))
-            except (zipfile.BadZipFile, KeyError, ValueError) as e:
+            except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, OSError, KeyError, ValueError) as e:  # damaged or encrypted
                 out.append((None, None, str(e)))
         text, encoding, error = zip(*out, strict=True) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(text, pa.string()), pa.array(encoding, pa.string()), pa.array(error, pa.string())], ["path", "text", "encoding", "error"])

@@ -48,3 +48,23 @@ def test_entry(spark):
 
     assert set(__spark_entry__.entry(spark).columns) == {"doc_id", "n_findings", "risk"}
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_training_data_operators(tmp_path):
+    """With the subpackage, its tests and the pipeline left out, or the subpackage alone, all else is there."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    for k, gone in enumerate((("attesta/llm",), ("attesta/llm", "corpus_pipeline.py"))):
+        copy = tmp_path / str(k)
+        copy.mkdir()
+        shutil.copytree(root / "attesta", copy / "attesta", ignore=shutil.ignore_patterns("__pycache__"))
+        for f in ("__spark_entry__.py", "corpus_pipeline.py"):
+            shutil.copy(root / f, copy / f)
+        for f in gone:
+            (shutil.rmtree if (copy / f).is_dir() else Path.unlink)(copy / f)
+        code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'pipeline' not in q and q and set(o) <= set(q)"
+        subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, check=True)

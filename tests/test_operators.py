@@ -122,7 +122,7 @@ def test_checklist(spark):
 
 def test_full_checklist(spark):
     docs = spark.createDataFrame([(1, "파견 근로자 지시 사항이 있고 원청의 구체적인 지시 문서도 있다."), (2, "원청 조회에 직접 참석 한다.")], "doc_id int, text string")
-    found = checklist.evaluate(docs, checklist.rules_table(spark, checklist.FULL)).collect()
+    found = checklist.evaluate(docs, checklist.rules_table(spark, checklist.DEFAULT)).collect()
     got = {(r.doc_id, r.axis, r.item): r.label for r in found}
     assert len(got) == len(found) == 2 * 18 and {a for _, a, _ in got} == {1, 2, 3, 4, 5}
     assert got[1, 1, 1] == "risk" and got[2, 2, 2] == "risk"
@@ -215,3 +215,49 @@ def test_streaming_timeline(spark, tmp_path):
     q.stop()
     got = [(r.severity, r.n) for r in spark.table("timeline").orderBy("second").collect()]
     assert got == [("risk", 2), ("reference", 1)]
+
+
+def test_references_found_by_any_marker_they_answer_to(spark):
+    claims = spark.createDataFrame([(1, "author_year", "Lee, 2001"), (1, "number", "2"), (1, "number", "7")], "doc_id int, marker_type string, marker_value string")
+    refs = spark.createDataFrame([(1, 1, "Kim, A., Lee, B. (2001). Title."), (1, 2, "12. Park, C. (2002). Other."), (1, 3, "[2] Choi, D. (2003).")], "doc_id int, ref_id int, text string")
+    got = {r.marker_value: r.ref_id for r in references.first_matching_reference(claims, refs).collect()}
+    assert got == {"Lee, 2001": 1, "2": 2, "7": None}
+
+
+def test_a_damaged_archive_is_an_error_of_its_row(spark):
+    import io
+    import zipfile
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "<w:p>hello</w:p>" * 50)
+    whole = buffer.getvalue()
+    broken = whole[:45] + bytes(b ^ 0x5A for b in whole[45:75]) + whole[75:]
+    files = spark.createDataFrame([("a", whole, "docx", None), ("b", broken, "docx", None), ("c", b"no archive", "docx", None)], "path string, content binary, ext string, skip string")
+    got = {r.path: r for r in documents.file_texts(files).collect()}
+    assert got["a"].text.startswith("hello") and not got["a"].error
+    assert got["b"].error and got["c"].error and got["b"].text is None
+
+
+def test_long_chains_and_cycles_of_redirects(spark):
+    edges = [(f"p{i}", f"p{i + 1}") for i in range(14)] + [("a", "b"), ("b", "a")]
+    got = {r.url: (r.final_url, r.hops, r.state) for r in references.redirect_ends(spark.createDataFrame(edges, "from_url string, to_url string")).collect()}
+    assert got["p4"] == ("p14", 10, "final") and got["p3"] == ("p13", 10, "too_long") and got["a"] == ("a", 2, "cycle") and len(got) == 16
+
+
+def test_tools_check_their_parameters(spark):
+    import pytest
+
+    from attesta.operators import tools
+
+    with pytest.raises(ValueError):
+        tools.scan_pii(spark.range(1))
+    with pytest.raises(ValueError):
+        tools.search_articles(spark.range(1), " ")
+    docs = spark.createDataFrame([(1, "mail a@b.kr"), (2, "nothing")], "doc_id long, text string")
+    found, risk = tools.scan_pii(docs)
+    assert [r.type for r in found.collect()] == ["email"] and {r.doc_id: r.risk for r in risk.collect()}[2] == "NONE"
+    papers = spark.createDataFrame([("10.1/a", None, "Deep nets", 1), ("10.1/b", None, "Shallow nets", 2)], "doi string, url string, title string, ord int")
+    assert [r.doi for r in tools.search_papers(papers, papers, "deep").collect()] == ["10.1/a"]
+    items, axes = tools.check_subcontract(docs)
+    assert items.count() == 36 and axes.count() == 10
