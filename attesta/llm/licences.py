@@ -2,8 +2,9 @@
 
 A text is normalised, and those sentences that licence texts and notices are made of are looked for in it and mapped to
 identifiers: from the start of a line or sentence to the end of one, on one line or wrapped over several with or without
-comment marks, but not across a blank line, the end of a sentence or a colon that ends a line. Ordered rules then look for sequences of identifiers, longest and most telling first; what a rule has
-matched is used up, so that a shorter rule can't report a part of it again.
+comment marks, but not across a blank line, the end of a sentence or a colon that ends a line. Ordered rules then look
+for sequences of identifiers, longest and most telling first; what a rule has matched is used up, so that a shorter rule
+can't report a part of it again.
 """
 
 from __future__ import annotations
@@ -48,16 +49,77 @@ SENTENCES = {
     "cc-by-nc": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license"],
     "cc0": ["released under cc0 1.0", "to the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "0bsd-grant": ["permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "0bsd-asis": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "bsl-grant": ["permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the software) to use, reproduce, display, distribute, execute, and transmit the software, and to prepare derivative works of the software, and to permit third-parties to whom the software is furnished to do so, all subject to the following:"],
+    "bsl-short": ["distributed under the boost software license, version 1.0"],
+    "zlib-asis": ["this software is provided as-is, without any express or implied warranty"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "bsd-4-ad": ["all advertising materials mentioning features or use of this software must display the following acknowledgement:"],
+    "lgpl21-grant": ["this library is free software; you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation; either version 2.1 of the license, or (at your option) any later version"],
+    "lgpl3-grant": ["this program is free software: you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version"],
+    "agpl-grant": ["this program is free software: you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version"],
+    "lgpl-see": ["see the gnu lesser general public license for more details"],
+    "agpl-see": ["see the gnu affero general public license for more details"],
+    "epl2-head": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"],
+    "cddl-head": ["the contents of this file are subject to the terms of the common development and distribution license (the license)", "the contents of this file are subject to the terms of the common development and distribution license"],
+    "ofl-head": ["this font software is licensed under the sil open font license, version 1.1"],
+    "wtfpl": ["everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"],
+    "eupl-short": ["licensed under the eupl, version 1.2 or - as soon they will be approved by the european commission - subsequent versions of the eupl", "licensed under the eupl-1.2"],
+    "artistic2": ["this program is free software; you can redistribute it and/or modify it under the terms of the artistic license 2.0", "you can redistribute it and/or modify it under the terms of the artistic license (2.0)"],
+    "cc-by-nd": ["licensed under cc by-nd 4.0", "this work is licensed under a creative commons attribution-noderivatives 4.0 international license"],
+    "cc-by-nc-sa": ["licensed under cc by-nc-sa 4.0", "this work is licensed under a creative commons attribution-noncommercial-sharealike 4.0 international license"],
+    "cc-by-nc-nd": ["licensed under cc by-nc-nd 4.0", "this work is licensed under a creative commons attribution-noncommercial-noderivatives 4.0 international license"],
+    "spdx-mit": ["spdx-license-identifier: mit"],
+    "spdx-apache": ["spdx-license-identifier: apache-2.0"],
+    "spdx-bsd2": ["spdx-license-identifier: bsd-2-clause"],
+    "spdx-bsd3": ["spdx-license-identifier: bsd-3-clause"],
+    "spdx-isc": ["spdx-license-identifier: isc"],
+    "spdx-gpl2": ["spdx-license-identifier: gpl-2.0-only", "spdx-license-identifier: gpl-2.0"],
+    "spdx-gpl2-later": ["spdx-license-identifier: gpl-2.0-or-later", "spdx-license-identifier: gpl-2.0+"],
+    "spdx-gpl3": ["spdx-license-identifier: gpl-3.0-only", "spdx-license-identifier: gpl-3.0"],
+    "spdx-gpl3-later": ["spdx-license-identifier: gpl-3.0-or-later", "spdx-license-identifier: gpl-3.0+"],
+    "spdx-lgpl21-later": ["spdx-license-identifier: lgpl-2.1-or-later", "spdx-license-identifier: lgpl-2.1+"],
+    "spdx-mpl2": ["spdx-license-identifier: mpl-2.0"],
 }
 
 #: Licences by sequences of sentence identifiers, in the order they are tried.
 RULES = [
+    ("BSD-4-Clause", ["bsd-head", "bsd-source", "bsd-binary", "bsd-4-ad"]),
     ("BSD-3-Clause", ["bsd-head", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-head", "bsd-source", "bsd-binary"]),
     ("MIT", ["mit-grant", "mit-notice", "as-is", "liability"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("MIT", ["mit-short"]),
     ("ISC", ["isc-grant"]),
+    ("0BSD", ["0bsd-grant", "0bsd-asis"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("BSL-1.0", ["bsl-grant"]),
+    ("BSL-1.0", ["bsl-short"]),
+    ("Zlib", ["zlib-asis", "zlib-grant"]),
+    ("LGPL-2.1-or-later", ["lgpl21-grant"]),
+    ("LGPL-3.0-or-later", ["lgpl3-grant"]),
+    ("AGPL-3.0-or-later", ["agpl-grant"]),
+    ("EPL-2.0", ["epl2-head"]),
+    ("CDDL", ["cddl-head"]),
+    ("OFL-1.1", ["ofl-head"]),
+    ("WTFPL", ["wtfpl"]),
+    ("EUPL-1.2", ["eupl-short"]),
+    ("Artistic-2.0", ["artistic2"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa"]),
+    ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd"]),
+    ("MIT", ["spdx-mit"]),
+    ("Apache-2.0", ["spdx-apache"]),
+    ("BSD-2-Clause", ["spdx-bsd2"]),
+    ("BSD-3-Clause", ["spdx-bsd3"]),
+    ("ISC", ["spdx-isc"]),
+    ("GPL-2.0", ["spdx-gpl2"]),
+    ("GPL-2.0-or-later", ["spdx-gpl2-later"]),
+    ("GPL-3.0", ["spdx-gpl3"]),
+    ("GPL-3.0-or-later", ["spdx-gpl3-later"]),
+    ("LGPL-2.1-or-later", ["spdx-lgpl21-later"]),
+    ("MPL-2.0", ["spdx-mpl2"]),
     ("Apache-2.0", ["apache-grant", "apache-copy", "apache-asis", "apache-see"]),
     ("Apache-2.0", ["apache-grant"]),
     ("Apache-2.0", ["apache-short"]),
@@ -85,44 +147,44 @@ LINES = [(QUOTES, ""), (r"[\x20\x09\x0B\x0C]+", " "), (r" ?(?:\*/?|//)? ?\n[ #*/
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def identifier_of(sentence: Column) -> Column:
-    known = [(s, k) for k, many in SENTENCES.items() for s in many]
+def identifier_of(sentence: Column, sentences: dict[str, list[str]] = SENTENCES) -> Column:
+    known = [(s, k) for k, many in sentences.items() for s in many]
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in known for x in pair)), sentence)
 
 
-def wanted() -> str:
+def wanted(sentences: dict[str, list[str]] = SENTENCES) -> str:
     """Finds known sentences in normalised text, the longest that ends where a line or sentence does.
 
     Those that a cut at full stops takes apart, or that end in characters that are stripped, are none.
     """
-    whole = [s for many in SENTENCES.values() for s in many if not re.search(ENDS, s) and not re.search(EDGES, s)]
+    whole = [s for many in sentences.values() for s in many if not re.search(ENDS, s) and not re.search(EDGES, s)]
     known = "|".join(r"[ \n]".join(map(re.escape, s.split(" "))) for s in sorted(whole, key=len, reverse=True))
     return rf"(?:^|[\n\r])[ #*/;.,!?-]*+({known})(?=[ */;.,!?-]*+(?:[\n\r]|\z))"
 
 
-def sentence_identifiers(text: Column) -> Column:
+def sentence_identifiers(text: Column, sentences: dict[str, list[str]] = SENTENCES) -> Column:
     """The identifiers of the text's known sentences, in order."""
     clean = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"\r\n?", "\n")
     for pattern, by in [(ENDS, "\r"), *LINES]:
         clean = F.regexp_replace(clean, pattern, by)
-    return F.filter(F.transform(F.regexp_extract_all(clean, F.lit(wanted()), F.lit(1)), lambda s: identifier_of(F.translate(s, "\n", " "))), lambda k: k.isNotNull())
+    return F.filter(F.transform(F.regexp_extract_all(clean, F.lit(wanted(sentences)), F.lit(1)), lambda s: identifier_of(F.translate(s, "\n", " "), sentences)), lambda k: k.isNotNull())
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """One row per row of docs: doc_id, sentence_ids (in order, comma-separated), n_sentences, licences (in rule order).
 
     A text without licence sentences, an empty and a null one have empty strings. A licence is reported once however
-    often its rules match. Repeated rows get equal results. Other columns are ignored.
+    often its rules match. Other tables of sentences (normalised, by identifier) and of ordered rules may be given. Repeated rows get equal results. Other columns are ignored.
     """
-    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), sentence_identifiers(F.col("text")).alias("ids"))
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), sentence_identifiers(F.col("text"), sentences).alias("ids"))
     out = rows.select("doc_id", F.array_join("ids", ",").alias("sentence_ids"), F.size("ids").cast("long").alias("n_sentences"))
     # Each identifier stands between bars of its own, so that neighbours can be used up one after the other.
     out = out.withColumn("rest", F.concat(F.lit("|"), F.replace("sentence_ids", F.lit(","), F.lit("||")), F.lit("|")))
     hits = []
-    for i, (_, ids) in enumerate(RULES):
+    for i, (_, ids) in enumerate(rules):
         at = F.lit("|" + "||".join(ids) + "|")
         out = out.withColumn(f"hit{i}", F.contains("rest", at)).withColumn("rest", F.replace("rest", at, F.lit("!")))
-        hits.append(F.when(F.col(f"hit{i}"), F.lit(RULES[i][0])))
+        hits.append(F.when(F.col(f"hit{i}"), F.lit(rules[i][0])))
     return out.select("doc_id", "sentence_ids", "n_sentences", F.array_join(F.array_distinct(F.array_compact(F.array(*hits))), ",").alias("licences"))
 
 

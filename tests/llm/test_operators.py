@@ -449,3 +449,62 @@ def test_label_model_finds_accuracies_and_correlations():
     assert np.abs(m.accuracies()[:4] - truth).max() < 0.06
     assert m.correlations[0, 4] > 0.5 and m.discount[0] < 0.7
     assert ((m.posterior(p)[index] > 0.5) == y).mean() > 0.88
+
+
+def test_more_licences_by_hand(spark):
+    texts = {
+        1: "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n",
+        2: "# SPDX-License-Identifier: GPL-2.0-or-later\nprint(1)",
+        3: "This software is provided 'as-is', without any express or implied warranty.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n",
+        4: " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.\n",
+        5: "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        6: "The contents of this file are subject to nothing at all.",
+    }
+    got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "GPL-2.0-or-later", 3: "Zlib", 4: "LGPL-2.1-or-later", 5: "OFL-1.1", 6: ""}
+    own = licences.scan(spark.createDataFrame([(1, "Do as you like.")], "doc_id long, text string"), sentences={"like": ["do as you like"]}, rules=[("Own", ["like"])])
+    assert own.first().licences == "Own"
+
+
+def test_shards_carry_size_and_checksum(docs):
+    def plain(doc_id, text):
+        data = (text or "").encode()
+        return doc_id, len(data) + 8, zlib.crc32(data)
+
+    got = Counter((r.doc_id, r.size, r.text_crc32) for r in sharding.shard_documents(docs).collect())
+    assert got == Counter(plain(r[0], r[1]) for r in awkward_rows())
+
+
+def test_scores_are_those_of_the_trained_models(spark):
+    """What queries give for each row is what the model says of its whole text, one text at a time."""
+    rows = [(i, (prose(i, 60) + (" Vilestuff" if i % 12 == 0 else "")) if i % 7 else prose(i, 40).upper().replace(" ", "!! ")) for i in range(300)] + [(300, None), (301, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(i % 12 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(d, marks)
+    known = {u: w for u, w in zip(model.units, model.weights)}
+    for r in toxicity.toxicity(d, marks).collect():
+        stems = Counter(s for t in set((rows[r.doc_id][1] or "").split()) for s in toxicity.stems_of(t))
+        z = model.intercept + sum(known.get(u, 0.0) for u in toxicity.units_of(stems))
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9 and r.predicted == (r.score >= 0.7)
+    good, _ = quality.train(d)
+    for r in quality.classify(d).collect():
+        at, values, _ = quality.Features()(rows[r.doc_id][1] or "")
+        z = good.intercept + sum(good.weights[a] * v for a, v in zip(at, values))
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6 and r.kept == (r.score >= quality.THRESHOLD)
+
+
+@pytest.mark.parametrize("name", ["keep_good", "exact", "jaccard", "copies"])
+def test_keeping_rows_leaves_clashing_columns_alone(spark, docs, name):
+    run = {"keep_good": quality.keep_good, "exact": exact_dedup.keep_first, "jaccard": jaccard.keep_first, "copies": mixing.take_copies}[name]
+    odd = docs.select("*", docs.n_chars.alias("TEXT"), docs.n_chars.alias("Doc_Id"), docs.n_chars.alias("row"), docs.n_chars.alias("_1"), docs.n_chars.alias("__row"), docs.n_chars.alias("copies"))
+    plain = sorted((tuple(r) for r in run(docs).collect()), key=repr)
+    got = sorted((tuple(r) for r in run(odd).collect()), key=repr)
+    assert run(odd).columns == odd.columns and [r[:5] for r in got] == plain and all(set(r[5:]) == {r[4]} for r in got)
+    empty = spark.createDataFrame([], docs.schema)
+    assert run(empty).count() == 0
+
+
+def test_repeated_rows_are_taken_as_often_as_the_mix_says(spark):
+    rows = [(i % 12, prose(i % 12, 20 + i % 12), "ab"[i % 2]) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mixing.take_copies(d).count() == sum(r.copies for r in mixing.entropy_mix(d).collect())
