@@ -152,9 +152,12 @@ def _corrections(rounded: DataFrame, most: int) -> DataFrame:
     from the largest on, each is taken that fits into what is still missing or too much.
     """
     left = rounded.groupBy("source_key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
-    can = rounded.join(left, "source_key").where("size > 0").where(F.when(F.col("left") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0))
-    at = F.struct("size", "part", "k")
-    ends = can.groupBy("source_key", F.floor(F.log2("size")).alias("power")).agg(F.max("left").alias("left"), F.max(at).alias("high"), F.min(at).alias("low"))
+    # The ends of both directions are found before the join, so that no document meets its source's one row.
+    at, more, less = F.struct("size", "part", "k"), F.col("copies") < most, F.col("copies") > 0
+    ends = rounded.where("size > 0").groupBy("source_key", F.floor(F.log2("size")).alias("power"))
+    ends = ends.agg(*(f(F.when(can, at)).alias(name) for can, way in ((more, "more"), (less, "less")) for f, name in ((F.max, f"high_{way}"), (F.min, f"low_{way}"))))
+    end = lambda name: F.when(F.col("left") > 0, F.col(f"{name}_more")).otherwise(F.col(f"{name}_less")).alias(name)
+    ends = ends.join(left, "source_key").select("source_key", "left", end("high"), end("low")).where("high IS NOT NULL")
     per_source = ends.groupBy("source_key").agg(F.max("left").alias("left"), F.reverse(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("high", "low")))))).alias("can"))
     start = F.struct(F.abs("left").alias("left"), F.slice("can", 1, 0).alias("taken"))
     nearer = lambda s, c: c["size"] <= s["left"]
