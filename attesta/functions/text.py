@@ -106,13 +106,23 @@ def author_year_key(s: Column) -> Column:
     return F.concat_ws(", ", F.regexp_extract(s, r"^\s*([\p{L}\-]+)", 1), F.regexp_extract(s, r"(\d{4})", 1))
 
 
-def spans(column: str, pattern: str, group: int = 0) -> Column:
+#: Matches that are folded at a time: an array that grows by one costs the square of its length.
+_FOLD = 256
+
+
+def spans(column: str, pattern: str, group: int = 0, only: Column | None = None) -> Column:
     """Array of struct(start, end, value) of the matches of a pattern that never matches nothing, without Python.
 
-    The text between matches (split) and the matches (extract all) alternate, so running lengths give the offsets.
+    The text between matches (split) and the matches (extract all) alternate, so running lengths give the offsets: first
+    within blocks of matches, then those of the blocks. Rows for which `only` isn't true have none and aren't searched.
     """
     p, kind = "r\"" + pattern + "\"", "array<struct<start:int,end:int,value:string>>"
-    step = f"""named_struct('at', acc.at + length(get(x.gaps, i)) + length(get(x.found, i)), 'out', array_append(acc.out, named_struct('start', acc.at + length(get(x.gaps, i)), 'end', acc.at + length(get(x.gaps, i)) + length(get(x.found, i)), 'value', get(x.vals, i))))"""
+    begin = "acc.at + length(get(x.gaps, i))"
+    step = f"named_struct('at', {begin} + length(get(x.found, i)), 'out', array_append(acc.out, named_struct('start', {begin}, 'end', {begin} + length(get(x.found, i)), 'value', get(x.vals, i))))"
+    block = f"aggregate(sequence(b, least(b + {_FOLD}, size(x.found)) - 1), named_struct('at', 0, 'out', cast(array() as {kind})), (acc, i) -> {step})"
+    blocks = f"transform(sequence(0, size(x.found) - 1, {_FOLD}), b -> {block})"
+    shifted = "transform(b.out, m -> named_struct('start', m.start + all.at, 'end', m.end + all.at, 'value', m.value))"
+    whole = f"flatten(aggregate({blocks}, named_struct('at', 0, 'out', cast(array() as array<{kind}>)), (all, b) -> named_struct('at', all.at + b.at, 'out', array_append(all.out, {shifted})), all -> all.out))"
     parts = f"named_struct('gaps', split({column}, {p}, -1), 'found', regexp_extract_all({column}, {p}, 0), 'vals', regexp_extract_all({column}, {p}, {group}))"
-    fold = f"aggregate(sequence(0, size(x.found) - 1), named_struct('at', 0, 'out', cast(array() as {kind})), (acc, i) -> {step}, acc -> acc.out)"
-    return F.expr(f"case when {column} rlike {p} then element_at(transform(array({parts}), x -> {fold}), 1) else cast(array() as {kind}) end")
+    found = F.expr(f"{column} rlike {p}")
+    return F.when(found if only is None else only & found, F.expr(f"element_at(transform(array({parts}), x -> {whole}), 1)")).otherwise(F.expr(f"cast(array() as {kind})"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ class Rule:
     check: Callable[[Column], Column] | None = None
     context: str | None = None
     bounded: bool = True
+    #: Each match holds one of these; a line without any needs no search.
+    needs: tuple[str, ...] = ()
 
     @property
     def search(self) -> str:
@@ -47,29 +51,29 @@ class Rule:
 
 #: What each type looks like.
 RULES = [
-    Rule("openai_api_key", r"sk-[A-Za-z0-9]{20,}", 1, "high"),
-    Rule("aws_access_key", r"(?:AKIA|ASIA)[A-Za-z0-9]{16,}", 1, "high"),
-    Rule("github_token", r"gh[pousr]_[A-Za-z0-9]{30,}", 1, "high"),
-    Rule("google_api_key", r"AIza[A-Za-z0-9_-]{35,}", 1, "high"),
-    Rule("slack_token", r"xox[baprs]-[A-Za-z0-9-]{10,}", 1, "high"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 1, "high"),
-    Rule("private_key", r"-----BEGIN\s+(?:RSA|EC|DSA|OPENSSH|ENCRYPTED|PKCS8|PEM)?\s*PRIVATE\s+KEY-----", 1, "high", bounded=False),
-    Rule("connection_string", r"[A-Za-z]+://[^@\s]+:[^@\s]+@[A-Za-z0-9._-]+(?::\d+)?(?:/\S*)?", 1, "high"),
-    Rule("bearer_token", r"Bearer\s+[A-Za-z0-9._~+/-]+", 1, "medium", lambda v: F.length(v) > 20),
-    Rule("generic_secret", r"(?i:api[_ ]?key|secret|token|password|passwd|pwd|auth)[=:]\s*[A-Za-z0-9_.!@#$%^&*+=-]{8,}", 1, "medium", bounded=False),
-    Rule("resident_number", r"\d{6}-\d{7}", 2, "high", lambda v: V.resident_status(v) != "invalid-date"),
+    Rule("openai_api_key", r"sk-[A-Za-z0-9]{20,}", 1, "high", needs=("sk-",)),
+    Rule("aws_access_key", r"(?:AKIA|ASIA)[A-Za-z0-9]{16,}", 1, "high", needs=("AKIA", "ASIA")),
+    Rule("github_token", r"gh[pousr]_[A-Za-z0-9]{30,}", 1, "high", needs=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("google_api_key", r"AIza[A-Za-z0-9_-]{35,}", 1, "high", needs=("AIza",)),
+    Rule("slack_token", r"xox[baprs]-[A-Za-z0-9-]{10,}", 1, "high", needs=("xox",)),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 1, "high", needs=("eyJ",)),
+    Rule("private_key", r"-----BEGIN\s+(?:RSA|EC|DSA|OPENSSH|ENCRYPTED|PKCS8|PEM)?\s*PRIVATE\s+KEY-----", 1, "high", bounded=False, needs=("-----BEGIN",)),
+    Rule("connection_string", r"[A-Za-z]+://[^@\s]+:[^@\s]+@[A-Za-z0-9._-]+(?::\d+)?(?:/\S*)?", 1, "high", needs=("://",)),
+    Rule("bearer_token", r"Bearer\s+[A-Za-z0-9._~+/-]+", 1, "medium", lambda v: F.length(v) > 20, needs=("Bearer",)),
+    Rule("generic_secret", r"(?i:api[_ ]?key|secret|token|password|passwd|pwd|auth)[=:]\s*[A-Za-z0-9_.!@#$%^&*+=-]{8,}", 1, "medium", bounded=False, needs=("=", ":")),
+    Rule("resident_number", r"\d{6}-\d{7}", 2, "high", lambda v: V.resident_status(v) != "invalid-date", needs=("-",)),
     Rule("credit_card", r"\d{4}[\s-]?\d{4,6}[\s-]?\d{4,7}[\s-]?\d+", 2, "high", V.luhn),
-    Rule("business_number", r"\d{3}-\d{2}-\d{5}", 2, "high", V.business_valid),
-    Rule("license", r"\d{2}-\d{2}-\d{6}-\d{2}", 2, "high"),
-    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 3, "high"),
-    Rule("mobile_phone", r"01[0-9]-\d{3,4}-\d{4}", 4, "high"),
-    Rule("landline_phone", r"(?!01)\d{2,3}-\d{3,4}-\d{4}", 4, "high"),
-    Rule("toll_free", r"15\d{2}-\d{4}", 4, "medium"),
+    Rule("business_number", r"\d{3}-\d{2}-\d{5}", 2, "high", V.business_valid, needs=("-",)),
+    Rule("license", r"\d{2}-\d{2}-\d{6}-\d{2}", 2, "high", needs=("-",)),
+    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 3, "high", needs=("@",)),
+    Rule("mobile_phone", r"01[0-9]-\d{3,4}-\d{4}", 4, "high", needs=("-",)),
+    Rule("landline_phone", r"(?!01)\d{2,3}-\d{3,4}-\d{4}", 4, "high", needs=("-",)),
+    Rule("toll_free", r"15\d{2}-\d{4}", 4, "medium", needs=("-",)),
     Rule("ipv4", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", 5, "info", V.ip_valid),
-    Rule("account_number", r"\d{3,5}-\d{2,6}-\d{2,6}", 6, "medium", context="account"),
+    Rule("account_number", r"\d{3,5}-\d{2,6}-\d{2,6}", 6, "medium", context="account", needs=("-",)),
     Rule("passport_new", r"[A-Z]\d{3}[A-Z0-9]\d{4}", 6, "medium", context="passport"),
     Rule("student_id", r"\d{5,10}", 6, "medium", context="student_id"),
-    Rule("birth_date", r"\d{4}[-/]\d{2}[-/]\d{2}", 6, "medium", lambda v: V.valid_date(F.left(v, F.lit(4)).cast("int"), F.substring(v, 6, 2).cast("int"), F.right(v, F.lit(2)).cast("int")), context="birth"),
+    Rule("birth_date", r"\d{4}[-/]\d{2}[-/]\d{2}", 6, "medium", lambda v: V.valid_date(F.left(v, F.lit(4)).cast("int"), F.substring(v, 6, 2).cast("int"), F.right(v, F.lit(2)).cast("int")), context="birth", needs=("-", "/")),
     Rule("name", r"[가-힣]{2,4}", 6, "low", context="name"),
     Rule("address", r"[가-힣]+(?:시|도)?\s*[가-힣]+구\s*[가-힣]+(?:로|길)\s*\d+|[가-힣]+(?:시|도)\s*[가-힣]+(?:로|길)\s*\d+", 6, "medium", context="address"),
     Rule("vehicle_plate", r"\d{2}[가-힣]\d{4}", 6, "medium"),
@@ -90,6 +94,13 @@ def _any_word(line: Column, words: list[str]) -> Column:
 _SIGNS, _STARTS = "[0-9@=:가-힣]", ("sk-", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AIza", "xox", "eyJ", "-----BEGIN", "Bearer")
 
 
+def _may_match(rule: Rule) -> Column:
+    """A cheap test that each line with a match of the rule passes."""
+    tests = [reduce(or_, (F.contains("line", F.lit(n)) for n in rule.needs))] if rule.needs else []
+    tests += [_any_word(F.col("line"), CONTEXT[rule.context])] if rule.context else []
+    return reduce(and_, tests, F.lit(True))
+
+
 def _candidates(rule: Rule, number: int) -> Column:
     line = F.col("line")
     confidence = F.lit(RANK[rule.confidence])
@@ -101,11 +112,10 @@ def _candidates(rule: Rule, number: int) -> Column:
             return F.when(V.resident_status(v) == "form-only", RANK["medium"]).otherwise(confidence)
         return confidence
 
-    found = spans("line", rule.search)
+    found = spans("line", rule.search, only=_may_match(rule))
     if rule.check:
         found = F.filter(found, lambda x: rule.check(x["value"]))
-    out = F.transform(found, lambda x: F.struct(F.lit(rule.priority).alias("priority"), F.lit(number).alias("rule"), x["start"].alias("start"), x["end"].alias("end"), F.lit(rule.kind).alias("type"), x["value"].alias("value"), ranked(x["value"]).alias("rank")))
-    return F.when(_any_word(line, CONTEXT[rule.context]), out).otherwise(F.slice(out, 1, 0)) if rule.context else out
+    return F.transform(found, lambda x: F.struct(F.lit(rule.priority).alias("priority"), F.lit(number).alias("rule"), x["start"].alias("start"), x["end"].alias("end"), F.lit(rule.kind).alias("type"), x["value"].alias("value"), ranked(x["value"]).alias("rank")))
 
 
 def keep_without_overlap(candidates: Column) -> Column:
@@ -117,9 +127,7 @@ def keep_without_overlap(candidates: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, min_confidence: str = "info", names: bool = True) -> DataFrame:
     """Findings: doc_id, type, line, col, start, end, matched, confidence, rank, masked, value. No shuffle."""
     use = [r for r in rules if names or r.kind != "name"]
-    hit = F.col("line").rlike(_SIGNS)
-    for start in _STARTS:
-        hit = hit | F.contains(F.col("line"), F.lit(start))
+    hit = F.col("line").rlike(_SIGNS) | reduce(or_, (F.contains("line", F.lit(s)) for s in _STARTS))
     kept = keep_without_overlap(F.concat(*(_candidates(r, i) for i, r in enumerate(use))))
     f = lines(docs, id_col, text_col).where(hit).select("doc_id", "line_no", F.explode(kept).alias("f"))
     level = F.element_at(F.create_map(*(F.lit(x) for k, v in RANK.items() for x in (v, k))), F.col("f.rank"))
