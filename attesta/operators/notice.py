@@ -13,7 +13,8 @@ RISK_WORDS = ["실격", "제외", "불가", "무효", "취소", "환수", "박
 RISK_CLASSES = [("disqualification", "실격|제외|불가|무효|취소|반려|미준수|위반|부정|허위"), ("deduction", "감점"), ("forfeit", "환수|박탈"), ("prohibition", "금지|도용|표절|중복"), ("caution", "유의|주의|엄수")]
 #: Kinds of dates by words on their line, first match first.
 DATE_KINDS = [("submission_deadline", "마감|제출|접수|deadline|submission"), ("review", "심사|평가|review"), ("announcement", "발표|공고|announcement"), ("event", "행사|시상|개최|event")]
-SPECS = [("size", r"(\d+(?:\.\d+)?\s*(?i:MB|KB|GB))"), ("pages", r"(\d+)\s*(?:쪽|장|페이지|매)"), ("characters", r"(\d+)\s*자"), ("minutes", r"(\d+)\s*(?:분|초)"), ("copies", r"(\d+)\s*부"), ("people", r"(\d+)\s*(?:인|명)"), ("file_type", r"(?:^|[^A-Za-z])(?i:(HWP|PDF|DOCX|PPTX|MP4|ZIP|PNG|JPG|MP3))(?:[^A-Za-z]|$)"), ("limit", r"(\d+(?:\.\d+)?\s*(?:쪽|자|분|MB|KB|GB|부|인|장)\s*(?:이내|이하|미만))")]
+#: What specifications look like.
+SPECS = [("size", r"(\d+(?:\.\d+)?\s*(?i:MB|KB|GB))"), ("pages", r"(\d+)\s*(?:쪽|장|페이지|매)"), ("characters", r"(\d+)\s*자"), ("minutes", r"(\d+)\s*(?:분|초)"), ("copies", r"(\d+)\s*부"), ("people", r"(\d+)\s*(?:인|명)"), ("file_type", r"(?:^|[^A-Za-z])(?i:(HWP|PDF|DOCX|PPTX|MP4|ZIP|PNG|JPG|MP3))(?:[^A-Za-z]|$)"), ("limit", r"(\d+(?:\.\d+)?\s*(?:쪽|자|분|MB|KB|GB|부|인|장)\s*(?:이내|이하|미만))"), ("file_name", r"파일명\s*(?:규칙|형식|안내|지정|예시)[:：\s]*(.{1,120})")]
 WEEKDAYS = "월화수목금토일"
 #: English names by their first letters, and a bracketed weekday in either language.
 ENGLISH = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
@@ -76,6 +77,18 @@ def days_left(targets: DataFrame, today: Column, holidays: list[str], column: st
     return targets.withColumns({"dday": n, "dday_label": label, "business_days": F.when(n > 0, work).otherwise(0).cast("int"), "holidays_between": F.size(between), "past": n < 0})
 
 
+def deadline_warnings(counted: DataFrame, today: Column, holidays: list[str], column: str = "target", time: str | None = None) -> DataFrame:
+    """Adds to days_left() the array warnings: codes past, soon (three days or fewer), weekend, holiday:<day> for each one
+    from tomorrow to the target, midnight (by the column `time`, if one is named: 23:59, 24:00 or the word for it)."""
+    t = F.col(column)
+    free = F.array_sort(F.array_distinct(F.array(*(F.to_date(F.lit(h)) for h in holidays)))) if holidays else F.array().cast("array<date>")
+    days = F.transform(F.filter(free, lambda h: (h > today) & (h <= t)), lambda h: F.concat(F.lit("holiday:"), h.cast("string")))
+    one = lambda test, code: F.when(test, F.array(F.lit(code))).otherwise(F.array().cast("array<string>"))
+    late = one(F.col(time).rlike("(^|T)(23:59|24:00)|자정"), "midnight") if time else F.array().cast("array<string>")
+    soon = (F.col("dday") >= 0) & (F.col("dday") <= 3)
+    return counted.withColumn("warnings", F.concat(one(F.col("dday") < 0, "past"), one(soon, "soon"), one(F.weekday(t) >= 5, "weekend"), F.coalesce(days, F.array().cast("array<string>")), late))
+
+
 def risk_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no, line, keyword (the first that stands on it), classes."""
     l = lines(docs, id_col, text_col).where(F.col("line").rlike("|".join(RISK_WORDS)))
@@ -85,10 +98,10 @@ def risk_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def spec_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no, spec, value."""
+    """doc_id, line_no, spec, value; of a rule for file names the first 120 characters."""
     named = lambda name: lambda v: F.struct(F.lit(name).alias("spec"), v.alias("value"))
     found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("line", F.lit(p), F.lit(1)), named(name)) for name, p in SPECS)))
-    return lines(docs, id_col, text_col).where(F.col("line").rlike(r"\d|HWP|PDF|DOCX|PPTX|MP4|ZIP|PNG|JPG|MP3")).select("doc_id", "line_no", F.explode(found).alias("s")).select("doc_id", "line_no", "s.*")
+    return lines(docs, id_col, text_col).where(F.col("line").rlike(r"(?i)\d|파일명|HWP|PDF|DOCX|PPTX|MP4|ZIP|PNG|JPG|MP3")).select("doc_id", "line_no", F.explode(found).alias("s")).select("doc_id", "line_no", "s.*")
 
 
 def score_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -261,3 +261,18 @@ def test_tools_check_their_parameters(spark):
     assert [r.doi for r in tools.search_papers(papers, papers, "deep").collect()] == ["10.1/a"]
     items, axes = tools.check_subcontract(docs)
     assert items.count() == 36 and axes.count() == 10
+
+
+def test_warnings_of_days_left_and_file_name_rules(spark):
+    today, holidays = F.to_date(F.lit("2026-09-22")), ["2026-09-24", "2026-09-25", "2026-10-03"]
+    targets = [("2026-09-20", None), ("2026-09-22", "18:00"), ("2026-09-25", "23:59"), ("2026-10-04", "자정"), (None, None)]
+    t = spark.createDataFrame(targets, "day string, time string").withColumn("target", F.to_date("day"))
+    got = {r.day: r.warnings for r in notice.deadline_warnings(notice.days_left(t, today, holidays), today, holidays, time="time").collect()}
+    assert got["2026-09-20"] == ["past", "weekend"] and got["2026-09-22"] == ["soon"]
+    assert got["2026-09-25"] == ["soon", "holiday:2026-09-24", "holiday:2026-09-25", "midnight"]
+    assert got["2026-10-04"] == ["weekend", "holiday:2026-09-24", "holiday:2026-09-25", "holiday:2026-10-03", "midnight"]
+    assert got[None] == []
+
+    text = "파일명 규칙: 팀명_제목\n본문 안내\n제출은 pdf 형식\n파일명 예시 " + "가" * 130
+    specs = {(r.line_no, r.spec, r.value) for r in notice.spec_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert specs == {(1, "file_name", "팀명_제목"), (3, "file_type", "pdf"), (4, "file_name", "가" * 120)}
