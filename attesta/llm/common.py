@@ -104,11 +104,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Deletes the table that stored() gave, once nothing reads it any more."""
-    spark = df.sparkSession
     folder = {f.rpartition("/")[0] for f in df.inputFiles()}
     for f in folder if len(folder) == 1 else ():
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, f)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text: Column) -> Column:
