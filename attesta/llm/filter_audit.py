@@ -24,6 +24,8 @@ FILTERS = "ABCDE"
 _UPPER = bytes(range(65, 91))
 #: Bytes of different texts that a task keeps at a time while it looks for its own copies.
 HELD = 32 << 20
+#: Bytes of text for which there is a partition of fingerprints.
+ROUTED = 32 << 20
 
 #: A copy that is known as such travels without a text, under a key of its own.
 Row = tuple[int | None, str, int]  # doc_id, part, mask of A to D
@@ -115,11 +117,14 @@ def settle(routed: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int | None, st
 def masks(docs: DataFrame, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", fingerprint_of=fingerprint) -> DataFrame:
     """doc_id, part, mask (bit i: the text fails filter i of ABCDE), a row for each row of docs."""
     rows = pick(docs, id_col, text_col, part_col).toDF("doc_id", "text", "part")
-    rows = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("part").cast("string")).rdd
-    n = partitions or max(2 * rows.getNumPartitions(), rows.context.defaultParallelism)
+    rows = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("part").cast("string"))
+    if partitions is None:
+        volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(1 + volume // ROUTED, docs.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.rdd
     routed = rows.mapPartitions(partial(route, fingerprint_of=fingerprint_of))
     # Sorted by Spark's external sorter: one fingerprint's chain is in memory at a time, whatever a partition holds.
-    settled = routed.repartitionAndSortWithinPartitions(n, partitionFunc=lambda key: key).mapPartitions(settle)
+    settled = routed.repartitionAndSortWithinPartitions(partitions, partitionFunc=lambda key: key).mapPartitions(settle)
     return docs.sparkSession.createDataFrame(settled, "doc_id long, part string, mask int", verifySchema=False)
 
 
