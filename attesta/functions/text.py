@@ -51,7 +51,7 @@ def quote_exists(quote: Column, title: Column, abstract: Column, shortest: int =
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([round(difflib.SequenceMatcher(None, x, y).ratio(), 4) if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def title_similarity(a: Column, b: Column) -> Column:
@@ -62,7 +62,7 @@ def title_similarity(a: Column, b: Column) -> Column:
         return (F.length(p) >= 5) & F.startswith(q, F.substring(p, F.lit(1), F.floor(F.length(p) / 2).cast("int") + 1))
 
     ratio = _ratio(x, y)
-    return F.when((x == "") | (y == ""), 0.0).otherwise(F.round(F.when(begins(x, y) | begins(y, x), F.greatest(ratio, F.lit(0.9))).otherwise(ratio), 4))
+    return F.when((x == "") | (y == ""), 0.0).otherwise(F.when(begins(x, y) | begins(y, x), F.greatest(ratio, F.lit(0.9))).otherwise(ratio))
 
 
 def author_match(a: Column, b: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
+from attesta.operators import titles
 
 #: How headings, numbered items and ids are written.
 HEADING = r"(?i)^(references|참고문헌|인용문헌)[ \t]*(\n|$)"
@@ -245,52 +246,60 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
     return c.withColumn("k", best).where("k = 1").drop("k")
 
 
-def _title_keys(titles: DataFrame, key: str, title: str, rarity: DataFrame, least: float) -> DataFrame:
-    """key, word: the first words of each title, and so many of its rarest words that titles which share at least `least`
-    of their words have one in common."""
-    t = titles.select(key, F.split(T.normalize_reference(F.col(title)), " ").alias("w")).where(F.element_at("w", 1) != "")
-    begins = t.select(key, F.concat(F.lit("^"), F.array_join(F.slice("w", 1, 3), " ")).alias("word"))
-    words = t.select(key, F.explode(F.array_distinct("w")).alias("word")).join(rarity, "word", "left")
-    g = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("w"))
-    some = F.slice("w", F.lit(1), F.size("w") - F.ceil(F.size("w") * least).cast("int") + 1)
-    return begins.unionByName(g.select(key, F.explode(F.transform(some, lambda x: x["word"])).alias("word"))).distinct()
+def _records(registry: DataFrame, rank: int) -> DataFrame:
+    order = F.col("ord").cast("long") if "ord" in registry.columns else F.lit(0).cast("long")
+    return registry.select(F.lit(rank).alias("rank"), order.alias("ord"), F.lower("doi").alias("doi"), "arxiv", "title", "first_author", F.col("year").cast("string").alias("year"))
 
 
-def title_candidates(refs: DataFrame, registry: DataFrame, least: float = 0.5) -> DataFrame:
-    """refs: ref_id, title; registry: g_id, g_title. The pairs (ref_id, g_id) whose titles share at least `least` of the
-    words of the longer one, or begin with the same three words. Rare words lead to them, so common ones meet nowhere."""
-    rarity = registry.select(F.explode(F.array_distinct(F.split(T.normalize_reference(F.col("g_title")), " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    mine, own = _title_keys(refs, "ref_id", "title", rarity, least), _title_keys(registry, "g_id", "g_title", rarity, least)
-    return mine.join(own, "word").select("ref_id", "g_id").distinct()
+def _by_id(refs: DataFrame, records: DataFrame) -> DataFrame:
+    """ref_id with similarity, author_ok, year_diff and cand_doi of the best record that has the DOI or arXiv id."""
+    ids = lambda d, a: F.explode(F.array_compact(F.array(F.concat(F.lit("d"), d), F.concat(F.lit("a"), a)))).alias("key")
+    mine = refs.select("ref_id", "title", "first_author", "year", ids(F.lower("doi"), F.col("arxiv")))
+    g = records.distinct().select(F.struct("rank", "ord", F.col("doi").isNull().alias("no_doi"), "doi", "title", "first_author", "year", "arxiv").alias("g"), ids(F.col("doi"), F.col("arxiv")))
+    c = mine.join(g, "key").select("ref_id", "g", T.title_similarity(F.col("title"), F.col("g.title")).alias("similarity"), T.author_match(F.col("first_author"), F.col("g.first_author")).alias("author_ok"), T.year_difference(F.col("year"), F.col("g.year")).alias("year_diff"))
+    best = best_candidate(c.withColumnRenamed("g", "cand_ord"))
+    return best.select("ref_id", "similarity", "author_ok", "year_diff", F.col("cand_ord.doi").alias("cand_doi"))
 
 
 def verify(refs: DataFrame, registry: DataFrame | None, more: DataFrame | None = None, known_dois: DataFrame | None = None) -> DataFrame:
-    """refs: ref_id and the columns of parse(); registry: doi, arxiv, title, first_author, year. Adds status, similarity, matched_doi.
-
-    Ids are equi-joins; `more` is a second registry of that form, asked for ids that the first doesn't have. A reference
-    whose id no registry has, or without one, is searched by title (title_candidates): with an unknown id it is partly
-    right at best, and matched_doi is the correct one. known_dois (doi) are registered without metadata: partial as well.
-    Without a registry snapshot everything is unreachable; a web page or book without id does not apply.
+    """refs: ref_id and the columns of parse(); registry: doi, arxiv, title, first_author, year, and ord if its order counts.
+    Adds status, similarity, matched_doi and diffs (what keeps a match from being right).
+
+    Ids are equi-joins; `more` is a second registry of that form, asked for ids that the first doesn't have. A record found
+    by its id is right or partly so. Without one, titles are searched (titles.best_match, all pairs that are similar enough):
+    a reference with an unknown DOI is partly right at best, and matched_doi is the correct one; one without ids is right by
+    its title alone, unless that has two words or fewer and the authors differ. known_dois (doi) are registered without
+    metadata: partial. An arXiv id or a book that isn't found is unreachable; a web page without id does not apply. Without
+    a registry snapshot everything is unreachable. On ties the first registry, then the lower ord, then the lower DOI wins;
+    the order of rows never counts.
     """
     if registry is None:
-        return refs.withColumns({"status": F.lit("unreachable"), "similarity": F.lit(None).cast("double"), "matched_doi": F.lit(None).cast("string")})
-    form = lambda r, rank: r.select(F.lit(rank).alias("g_rank"), F.lower("doi").alias("g_doi"), F.col("arxiv").alias("g_arxiv"), F.col("title").alias("g_title"), F.col("first_author").alias("g_author"), F.col("year").alias("g_year"))
-    g = form(registry, 1) if more is None else form(registry, 1).unionByName(form(more, 2))
-    g = g.withColumn("g_id", F.xxhash64("g_rank", "g_doi", "g_arxiv", "g_title"))
-    ids = lambda d, a: F.explode(F.array_compact(F.array(F.concat(F.lit("d"), d), F.concat(F.lit("a"), a)))).alias("key")
-    by_id = refs.select("ref_id", ids(F.lower("doi"), F.col("arxiv"))).join(g.select("g_id", ids(F.col("g_doi"), F.col("g_arxiv"))), "key").select("ref_id", "g_id").distinct()
-    rest = refs.join(by_id, "ref_id", "left_anti").where("title IS NOT NULL")
-    pairs = by_id.withColumn("by_id", F.lit(True)).unionByName(title_candidates(rest, g).withColumn("by_id", F.lit(False)))
-    c = pairs.join(refs.select("ref_id", "title", "first_author", "year"), "ref_id").join(g.dropDuplicates(["g_id"]), "g_id")
-    c = c.select("ref_id", "by_id", F.struct("g_rank", "g_doi", "g_title").alias("cand_ord"), "g_doi", T.title_similarity(F.col("title"), F.col("g_title")).alias("similarity"), T.author_match(F.col("first_author"), F.col("g_author")).alias("author_ok"), T.year_difference(F.col("year"), F.col("g_year")).alias("year_diff"))
-    out = refs.join(best_candidate(c.where(F.col("by_id") | (F.col("similarity") >= PARTIAL))), "ref_id", "left")
-    fits = F.col("author_ok") & (F.coalesce("year_diff", F.lit(0)) <= 1)
+        return refs.withColumns({"status": F.lit("unreachable"), "similarity": F.lit(None).cast("double"), "matched_doi": F.lit(None).cast("string"), "diffs": F.array().cast("array<string>")})
+    g = _records(registry, 1) if more is None else _records(registry, 1).unionByName(_records(more, 2))
+    by_id = _by_id(refs, g)
     no_id = F.col("doi").isNull() & F.col("arxiv").isNull()
-    status = F.when(F.col("similarity").isNull() & no_id & F.col("kind").isin("web", "book"), "not_applicable").when((F.col("similarity") >= VERIFIED) & fits & (F.col("by_id") | no_id), "verified").when(F.col("similarity") >= PARTIAL, "partial")
+    page = no_id & (F.coalesce("kind", F.lit("")) == "web")
+    only_arxiv = F.col("doi").isNull() & F.col("arxiv").isNotNull()
+    search = refs.where(F.col("title").isNotNull() & ~page & ~only_arxiv).join(by_id, "ref_id", "left_anti")
+    known = ["title", "first_author", "year"]
+    by_title = titles.best_match(search.select(*known), g, PARTIAL).alias("b")
+    by_title = search.select("ref_id", *known).alias("s").join(by_title, [F.col(f"s.{c}").eqNullSafe(F.col(f"b.{c}")) for c in known]).select("ref_id", "similarity", "author_ok", "year_diff", "cand_doi")
+    found = by_id.withColumn("by_id", F.lit(True)).unionByName(by_title.withColumn("by_id", F.lit(False)))
+    out = refs.join(found, "ref_id", "left")
+    late = F.coalesce("year_diff", F.lit(0)) > 1
+    short = F.size(F.split(F.trim("title"), r"\s+")) <= 2
+    status = (
+        F.when(F.col("by_id"), F.when((F.col("similarity") >= VERIFIED) & F.col("author_ok") & ~late, "verified").otherwise("partial"))
+        .when(page, "not_applicable")
+        .when(only_arxiv, "unreachable")
+        .when(F.col("similarity").isNotNull(), F.when(no_id & (F.col("similarity") >= VERIFIED) & ~(short & ~F.col("author_ok")), "verified").otherwise("partial"))
+    )
     if known_dois is not None:
         out = out.join(known_dois.select(F.lower("doi").alias("known")).distinct(), F.lower("doi") == F.col("known"), "left")
         status = status.when(F.col("known").isNotNull(), "partial")
-    return out.select(*refs.columns, status.otherwise("unverified").alias("status"), "similarity", F.col("g_doi").alias("matched_doi"))
+    status = status.when(no_id & (F.col("kind") == "book"), "unreachable").otherwise("unverified")
+    diffs = F.array_compact(F.array(F.when(F.col("similarity") < VERIFIED, "title_differs"), F.when(~F.col("author_ok"), "author_differs"), F.when(late & F.col("similarity").isNotNull(), "year_differs")))
+    return out.select(*refs.columns, status.alias("status"), "similarity", F.col("cand_doi").alias("matched_doi"), diffs.alias("diffs"))
 
 
 def retracted(registry: DataFrame) -> DataFrame:

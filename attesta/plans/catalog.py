@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as T
 from attesta.functions import validators as V
-from attesta.operators import checklist, gate, law, notice, photos, pii, references
+from attesta.operators import checklist, gate, law, notice, photos, pii, references, titles
 from attesta.sources import documents, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,6 +184,25 @@ def ref_parse_fields(spark, d):
     return references.parse_references(_refs(spark, d)).select("ref_id", "doi", "arxiv", "url", "year", "kind")
 
 
+#: Titles of which no two are similar, as they are digests.
+_UNLIKE = "'Study ' || {sha}"
+
+
+#: A record's title with up to seven wrong characters, none of which a digest has; every fifth lacks its second half instead.
+_TYPOS = "CASE WHEN p_partkey % 5 = 0 THEN substr({sha}, 1, 40) ELSE array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN i % 8 = 0 AND i <= 8 * (p_partkey % 8) THEN '_' ELSE {sha}[i] END), '') END"
+
+
+@query(
+    f"""WITH t AS (SELECT p_partkey, sha256(CAST(p_partkey AS VARCHAR)) AS h FROM part)
+SELECT {_TYPOS.format(sha='h')} AS left_title, h AS right_title, round_even(CASE WHEN p_partkey % 5 = 0 THEN 0.9 ELSE (64 - p_partkey % 8) / 64.0 END, 4)::DOUBLE AS similarity FROM t"""
+)
+def title_join(spark, d):
+    """Every pair of similar titles: a record's and the one with its typing errors, and no other."""
+    p = table(spark, d, "part").select("p_partkey", F.sha2(F.col("p_partkey").cast("string"), 256).alias("title"))
+    wrong = F.expr("case when p_partkey % 5 = 0 then substr(title, 1, 40) else array_join(transform(sequence(1, 64), i -> case when i % 8 = 0 and i <= 8 * (p_partkey % 8) then '_' else substr(title, cast(i as int), 1) end), '') end")
+    return titles.similar_titles(p.select(wrong.alias("title")), p.select("title"), references.PARTIAL)
+
+
 #: Of six references: right; a wrong DOI; no id; not registered; a web page; a wrong year.
 _VERIFY_STATUS = "CASE p_partkey % 6 WHEN 0 THEN 'verified' WHEN 1 THEN 'partial' WHEN 2 THEN 'verified' WHEN 3 THEN 'unverified' WHEN 4 THEN 'not_applicable' ELSE 'partial' END"
 
@@ -191,7 +210,7 @@ _VERIFY_STATUS = "CASE p_partkey % 6 WHEN 0 THEN 'verified' WHEN 1 THEN 'partial
 @query(f"SELECT p_partkey AS ref_id, {_VERIFY_STATUS} AS status, CASE WHEN p_partkey % 6 IN (3, 4) THEN NULL ELSE CAST(1.0 AS DOUBLE) END AS similarity, CASE WHEN p_partkey % 6 IN (3, 4) THEN NULL ELSE '10.1000/x' || p_partkey END AS matched_doi FROM part")
 def ref_verify(spark, d):
     p = table(spark, d, "part")
-    title = F.expr("'Study' || p_partkey || ' of sample' || (p_partkey * 7) || ' by method' || (p_partkey * 11)")
+    title = F.expr(_UNLIKE.format(sha="sha2(cast(p_partkey as string), 256)"))
     refs = p.select(F.col("p_partkey").alias("ref_id"), title.alias("title"), F.expr("case p_partkey % 6 when 0 then '10.1000/X' || p_partkey when 1 then '10.9999/gone' || p_partkey when 5 then '10.1000/x' || p_partkey end").alias("doi"), F.lit(None).cast("string").alias("arxiv"), F.lit("Kim").alias("first_author"), F.expr("case when p_partkey % 6 = 5 then '1990' else '2001' end").alias("year"), F.expr("case when p_partkey % 6 = 4 then 'web' else 'article' end").alias("kind"))
     registry = p.where("p_partkey % 6 NOT IN (3, 4)").select(F.expr("'10.1000/x' || p_partkey").alias("doi"), F.lit(None).cast("string").alias("arxiv"), title.alias("title"), F.lit("Kim, A.").alias("first_author"), F.lit("2001").alias("year"))
     return references.verify(refs, registry).select("ref_id", "status", "similarity", "matched_doi")

@@ -21,8 +21,8 @@ def ref_verify_second_registry(spark, d):
     """arXiv ids in the first registry, DOIs in the second, DOIs that are only registered, and unknown ones."""
     p = table(spark, d, "part")
     none = F.lit(None).cast("string")
-    refs = p.select(F.col("p_partkey").alias("ref_id"), F.expr("'W' || p_partkey || ' X' || (p_partkey * 7)").alias("title"), F.expr("case when p_partkey % 4 > 0 then '10.2000/' || p_partkey end").alias("doi"), F.expr("case when p_partkey % 4 = 0 then '2001.' || (10000 + p_partkey) end").alias("arxiv"), F.lit("Lee").alias("first_author"), F.lit("2001").alias("year"), F.lit("article").alias("kind"))
-    record = lambda k, doi, arxiv: p.where(f"p_partkey % 4 = {k}").select(doi.alias("doi"), arxiv.alias("arxiv"), F.expr("'W' || p_partkey || ' X' || (p_partkey * 7)").alias("title"), F.lit("Lee").alias("first_author"), F.lit("2002").alias("year"))
+    refs = p.select(F.col("p_partkey").alias("ref_id"), F.sha2(F.col("p_partkey").cast("string"), 256).alias("title"), F.expr("case when p_partkey % 4 > 0 then '10.2000/' || p_partkey end").alias("doi"), F.expr("case when p_partkey % 4 = 0 then '2001.' || (10000 + p_partkey) end").alias("arxiv"), F.lit("Lee").alias("first_author"), F.lit("2001").alias("year"), F.lit("article").alias("kind"))
+    record = lambda k, doi, arxiv: p.where(f"p_partkey % 4 = {k}").select(doi.alias("doi"), arxiv.alias("arxiv"), F.sha2(F.col("p_partkey").cast("string"), 256).alias("title"), F.lit("Lee").alias("first_author"), F.lit("2002").alias("year"))
     first, second = record(0, none, F.expr("'2001.' || (10000 + p_partkey)")), record(1, F.expr("'10.2000/' || p_partkey"), none)
     return references.verify(refs, first, second, p.where("p_partkey % 4 = 2").selectExpr("'10.2000/' || p_partkey AS doi")).select("ref_id", "status")
 
