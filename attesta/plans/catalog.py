@@ -453,7 +453,7 @@ def _checklist(spark, d):
 def _check_sql() -> str:
     text = _CHECK_TEXT.format(risk=f"{_RISKS}[o_orderkey % 18 + 1]", good=f"{_GOODS}[(o_orderkey + 7) % 18 + 1]")
     words = lambda ws: " OR ".join(f"contains(x, '{w}')" for w in ws)
-    item = lambda r: f"SELECT doc_id, CAST({r[0]} AS INT) AS axis, CAST({r[1]} AS INT) AS item, list_filter(s, lambda x: regexp_matches(x, '{r[3].replace('(?iu)', '(?i)')}')) AS e, list_filter(e, lambda x: {words(r[5])}) AS bad FROM s"
+    item = lambda r: f"SELECT doc_id, CAST({r[0]} AS INT) AS axis, CAST({r[1]} AS INT) AS item, list_filter(s, lambda x: regexp_matches(x, '(?i){'|'.join(r[3])}')) AS e, list_filter(e, lambda x: {words(r[5])}) AS bad FROM s"
     rows = " UNION ALL ".join(item(r) for r in checklist.DEFAULT)
     return f"""s AS (SELECT o_orderkey AS doc_id, list_filter(list_transform(regexp_split_to_array({text}, '[.?！；;:\\n]+'), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '{checklist.NEGATION}')) AS s FROM orders),
 k AS (SELECT doc_id, axis, item, CASE WHEN len(e) = 0 THEN 'no_evidence' WHEN len(bad) > 0 THEN 'risk' ELSE 'compliant' END AS label FROM ({rows}))"""
@@ -472,6 +472,27 @@ def checklist_axis_summary(spark, d):
     return checklist.axis_summary(_checklist(spark, d), ("axis",))
 
 
+#: A site of a customer and what is said of it; a rule for each nation that the caller's table brings.
+_SITES = "'The PLANT in ' || a.n_name || ' is open. Its ' || b.n_name || ' site is ' || CASE WHEN c_custkey % 3 = 0 THEN 'closed' ELSE 'audited' END || '; a ' || b.n_name || ' office 없음'"
+
+
+@query(
+    f"""WITH d AS (SELECT c_custkey AS doc_id, {_SITES} AS t FROM customer JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = (c_nationkey + c_custkey) % 25),
+s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '[.;]+'), lambda x: trim(x)), lambda x: NOT contains(x, '없음')) AS s FROM d),
+r AS (SELECT doc_id, n_nationkey AS item, list_filter(s, lambda x: regexp_matches(x, '(?i)plant (in|of) ' || n_name) OR regexp_matches(x, '(?i)' || n_name || '\s+site')) AS e FROM s, nation)
+SELECT doc_id, item, CASE WHEN len(e) = 0 THEN 'no_evidence' WHEN len(list_filter(e, lambda x: contains(x, 'closed'))) > 0 THEN 'risk' ELSE 'compliant' END AS label, array_to_string(e, '|') AS evidence, CAST(len(list_filter(e, lambda x: contains(x, 'audited'))) > 0 AS INT) AS audited FROM r"""
+)
+def checklist_own_rules(spark, d):
+    """A caller's table of rules: one for each nation."""
+    n = table(spark, d, "nation")
+    a, b = n.alias("a"), n.alias("b")
+    docs = table(spark, d, "customer").join(a, F.col("a.n_nationkey") == F.col("c_nationkey")).join(b, F.col("b.n_nationkey") == (F.col("c_nationkey") + F.col("c_custkey")) % 25)
+    docs = docs.select(F.col("c_custkey").alias("doc_id"), F.expr(_SITES).alias("text"))
+    rules = n.select(F.lit(1).alias("axis"), F.col("n_nationkey").alias("item"), F.col("n_name").alias("name"), F.expr(r"array('plant (in|of) ' || n_name, n_name || '\\s+site')").alias("patterns"), F.array(F.lit("audited")).alias("compliant"), F.array(F.lit("closed")).alias("risk"))
+    found = checklist.evaluate(docs, rules)
+    return found.select("doc_id", "item", "label", F.array_join("evidence", "|").alias("evidence"), F.size("compliant_hits").alias("audited"))
+
+
 # -- Photos -----------------------------------------------------------------------------------------------------------
 
 _PHOTO = "'[사진 ' || (1 + o_orderkey % 4) || '] ' || case when o_orderkey % 3 = 0 then '창고의 균열을 확인' else '계기 점검 결과' end || '.'"
