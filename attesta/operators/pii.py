@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import validators as V
-from attesta.functions.text import LEFT, RIGHT, spans
+from attesta.functions.text import LEFT, RIGHT, let, spans
 
 #: Words that have to stand on a line for its rule to apply.
 CONTEXT = {
@@ -101,7 +101,7 @@ def _may_match(rule: Rule) -> Column:
     return reduce(and_, tests, F.lit(True))
 
 
-def _candidates(rule: Rule, number: int) -> Column:
+def _candidates(rule: Rule) -> Column:
     line = F.col("line")
     confidence = F.lit(RANK[rule.confidence])
 
@@ -115,20 +115,50 @@ def _candidates(rule: Rule, number: int) -> Column:
     found = spans("line", rule.search, only=_may_match(rule))
     if rule.check:
         found = F.filter(found, lambda x: rule.check(x["value"]))
-    return F.transform(found, lambda x: F.struct(F.lit(rule.priority).alias("priority"), F.lit(number).alias("rule"), x["start"].alias("start"), x["end"].alias("end"), F.lit(rule.kind).alias("type"), x["value"].alias("value"), ranked(x["value"]).alias("rank")))
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(rule.kind).alias("type"), x["value"].alias("value"), ranked(x["value"]).alias("rank")))
 
 
-def keep_without_overlap(candidates: Column) -> Column:
-    """Greedy by order of the array's structs: a span that touches a kept one goes."""
-    kept = F.slice(candidates, 1, 0)
-    return F.aggregate(F.array_sort(candidates), kept, lambda k, s: F.when(F.exists(k, lambda o: (s["start"] <= o["end"]) & (s["end"] >= o["start"])), k).otherwise(F.array_append(k, s)))
+def _points(kept: Column) -> Column:
+    """A byte for each point of a line up to the last kept span: 1 where a span lies, its end included."""
+    before = lambda i: F.coalesce(F.get(kept, i - 1)["end"] + 1, F.lit(0))
+    runs = F.transform(kept, lambda x, i: F.concat(F.repeat(F.lit("0"), x["start"] - before(i)), F.repeat(F.lit("1"), x["end"] - x["start"] + 1)))
+    return F.array_join(runs, "").cast("binary")
+
+
+def _apart(spans_: Column) -> Column:
+    """Of spans in order, those that don't touch the one kept before: of each chain of touching ones every other."""
+
+    def others(s: Column, chained: Column) -> Column:
+        marks = F.split(F.regexp_replace(F.regexp_replace(F.array_join(chained, ""), "tt", "dk"), "t", "d"), "")
+        return let(marks, lambda m: F.filter(s, lambda x, i: F.get(m, i) != "d"))
+
+    chain = lambda s: F.transform(s, lambda x, i: F.when(x["start"] <= F.get(s, i - 1)["end"], "t").otherwise("s"))
+    return let(spans_, lambda s: let(chain(s), lambda c: F.when(F.array_contains(c, "t"), others(s, c)).otherwise(s)))
+
+
+def keep_without_overlap(candidates: list[Column]) -> Column:
+    """Greedy by the order of the rules, each an array of spans (start, end, ...) in order that don't overlap each other: a
+    span that overlaps or touches a kept one goes. Kept spans in order of their starts.
+
+    Each rule looks at the points that are taken so far, so that a line costs its length and its spans once for each rule
+    that has any, however many there are.
+    """
+    found = F.filter(F.array(*candidates), lambda c: F.size(c) > 0)
+
+    def add(state: Column, spans_: Column) -> Column:
+        free = F.filter(spans_, lambda x: ~F.contains(F.substring(state["points"], x["start"] + 1, x["end"] - x["start"] + 1), F.lit(b"1")))
+        return let(F.array_sort(F.concat(state["kept"], _apart(free))), lambda k: F.struct(k.alias("kept"), _points(k).alias("points")))
+
+    none = F.slice(candidates[0], 1, 0)
+    greedy = F.aggregate(found, F.struct(none.alias("kept"), F.lit(b"").alias("points")), add, lambda s: s["kept"])
+    return let(found, lambda f: F.when(F.aggregate(f, F.lit(0), lambda n, c: n + F.size(c)) <= 1, F.flatten(f)).otherwise(greedy))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, min_confidence: str = "info", names: bool = True) -> DataFrame:
     """Findings: doc_id, type, line, col, start, end, matched, confidence, rank, masked, value. No shuffle."""
     use = [r for r in rules if names or r.kind != "name"]
     hit = F.col("line").rlike(_SIGNS) | reduce(or_, (F.contains("line", F.lit(s)) for s in _STARTS))
-    kept = keep_without_overlap(F.concat(*(_candidates(r, i) for i, r in enumerate(use))))
+    kept = keep_without_overlap([_candidates(r) for r in sorted(use, key=lambda r: r.priority)])
     f = lines(docs, id_col, text_col).where(hit).select("doc_id", "line_no", F.explode(kept).alias("f"))
     level = F.element_at(F.create_map(*(F.lit(x) for k, v in RANK.items() for x in (v, k))), F.col("f.rank"))
     out = f.select("doc_id", F.col("f.type").alias("type"), F.col("line_no").alias("line"), (F.col("f.start") + 1).alias("col"), F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.length("f.value").alias("matched"), level.alias("confidence"), F.col("f.rank").alias("rank"), V.mask(F.col("f.type"), F.col("f.value")).alias("masked"), F.col("f.value").alias("value"))
@@ -153,12 +183,14 @@ def top_findings(findings: DataFrame, k: int = 40) -> DataFrame:
 
 
 def masked_copies(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, masked_text of documents with findings: each line's spans are replaced from the right."""
-    per = findings.groupBy("doc_id", "line").agg(F.reverse(F.array_sort(F.collect_list(F.struct("start", "end", "masked")))).alias("f"))
-    splice = lambda s, x: F.concat(F.substring(s, F.lit(1), x["start"]), x["masked"], F.substring(s, x["end"] + 1, F.length(s)))
+    """doc_id, masked_text of documents with findings: each line is put together from what lies between its spans and their masks."""
+    per = findings.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("start", "end", "masked"))).alias("f"))
+    end = lambda i: F.coalesce(F.get("f", i - 1)["end"], F.lit(0))
+    pieces = F.transform("f", lambda x, i: F.concat(F.substring("line", end(i) + 1, x["start"] - end(i)), x["masked"]))
+    spliced = F.concat(F.array_join(pieces, ""), F.substring("line", F.element_at("f", -1)["end"] + 1, F.length("line")))
     hit = findings.select(F.col("doc_id").alias("hit_id")).distinct()
     some = lines(docs.select(id_col, text_col).join(hit, F.col(id_col) == F.col("hit_id"), "left_semi"), id_col, text_col)
-    out = some.join(per.withColumnRenamed("line", "line_no"), ["doc_id", "line_no"], "left").select("doc_id", "line_no", F.coalesce(F.aggregate("f", F.col("line"), splice), F.col("line")).alias("line"))
+    out = some.join(per.withColumnRenamed("line", "line_no"), ["doc_id", "line_no"], "left").select("doc_id", "line_no", F.coalesce(spliced, F.col("line")).alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     return out.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("masked_text"))
 
