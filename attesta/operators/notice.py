@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attesta.functions.text import LEFT, RIGHT, let
 from attesta.operators.pii import lines
 
 #: Words of lines about disqualification, in the order they are looked for.
@@ -12,7 +13,16 @@ RISK_WORDS = ["실격", "제외", "불가", "무효", "취소", "환수", "박
 #: Classes of such lines.
 RISK_CLASSES = [("disqualification", "실격|제외|불가|무효|취소|반려|미준수|위반|부정|허위"), ("deduction", "감점"), ("forfeit", "환수|박탈"), ("prohibition", "금지|도용|표절|중복"), ("caution", "유의|주의|엄수")]
 #: Kinds of dates by words on their line, first match first.
-DATE_KINDS = [("submission_deadline", "마감|제출|접수|deadline|submission"), ("review", "심사|평가|review"), ("announcement", "발표|공고|announcement"), ("event", "행사|시상|개최|event")]
+DATE_KINDS = [
+    ("submission_deadline", "마감|접수 마감|제출 마감|접수 마감일|제출 마감일|접수종료|제출기한|제출 기한|마감일|마감 기한|마감 시|마감시간|오후 6시|18:00|23:59|자정"),
+    ("final_award", "결선|시상|시상식|대상|시상 식|시상일|시상 일자"),
+    ("announcement", "발표|결과 발표|합격 발표|예비심사 결과|서류 심사 결과|발표일"),
+    ("briefing", "설명|교육|워크숍|세미나|오리엔테이션|O[ T]?T|사전 설명|설명회|참가 안내|오픈 설명"),
+    ("start", "시작|접수 시작|접수 시작일|시작일|공모 시작|모집 시작|접수 개시|접수개시"),
+    ("event", "행사|개막|페스티벌|컵|데이|포럼|콘퍼런스|컨퍼런스|전시회|박람회|해커톤|아이디어톤|대회|올림피아드|캠프"),
+]
+#: Lines that a table of scores may stand below the line that introduces it, and what its sum should be.
+SCORE_WINDOW, FULL_SCORE = 20, (95, 105)
 #: What specifications look like.
 SPECS = [("size", r"(\d+(?:\.\d+)?\s*(?i:MB|KB|GB))"), ("pages", r"(\d+)\s*(?:쪽|장|페이지|매)"), ("characters", r"(\d+)\s*자"), ("minutes", r"(\d+)\s*(?:분|초)"), ("copies", r"(\d+)\s*부"), ("people", r"(\d+)\s*(?:인|명)"), ("file_type", r"(?:^|[^A-Za-z])(?i:(HWP|PDF|DOCX|PPTX|MP4|ZIP|PNG|JPG|MP3))(?:[^A-Za-z]|$)"), ("limit", r"(\d+(?:\.\d+)?\s*(?:쪽|자|분|MB|KB|GB|부|인|장)\s*(?:이내|이하|미만))"), ("file_name", r"파일명\s*(?:규칙|형식|안내|지정|예시)[:：\s]*(.{1,120})")]
 WEEKDAYS = "월화수목금토일"
@@ -31,8 +41,10 @@ def dates(docs: DataFrame, today: Column, id_col: str = "doc_id", text_col: str
     A year of two digits is one from 2000 on. A year that is left out is this one, or the next if the date would be over 240 days past. A two-part number that is
     a score, a size or no date gives nothing. Of equal dates and times on a line the first stays.
     """
-    l = lines(docs, id_col, text_col).where(F.col("line").rlike(_ONE))
-    pieces = F.zip_with(F.regexp_extract_all("line", F.lit(_ONE), F.lit(0)), F.slice(F.split("line", _ONE, -1), F.lit(2), F.lit(1000)), lambda d, rest: F.struct(d.alias("raw"), rest.alias("rest")))
+    # Two numbers with a sign between them are found quickly, and few lines have any.
+    l = lines(docs, id_col, text_col).where(F.col("line").rlike(r"\d\s*[-./월]\s*\d"))
+    after = let(F.split("line", _ONE, -1), lambda x: F.slice(x, F.lit(2), F.size(x)))
+    pieces = F.zip_with(F.regexp_extract_all("line", F.lit(_ONE), F.lit(0)), after, lambda d, rest: F.struct(d.alias("raw"), rest.alias("rest")))
     d = l.select("doc_id", "line_no", "line", F.posexplode(pieces).alias("i", "p")).select("doc_id", "line_no", "line", "i", "p.*")
     part = lambda k: F.regexp_extract("raw", DATE, k).try_cast("int")
     day_of = lambda y: F.try_to_date(F.format_string("%04d-%02d-%02d", y, part(2), part(3)), "yyyy-MM-dd")
@@ -49,7 +61,7 @@ def dates(docs: DataFrame, today: Column, id_col: str = "doc_id", text_col: str
     weekday = F.substring(F.lit(WEEKDAYS), F.weekday("date") + 1, F.lit(1))
     kind = F
     for name, words in DATE_KINDS:
-        kind = kind.when(F.lower("line").rlike(words), name)
+        kind = kind.when(F.col("line").rlike(f"{LEFT}(?:{words}){RIGHT}"), name)
     d = d.withColumns({"time": time, "weekday": weekday, "weekday_in_text": said, "kind": kind.otherwise("other")})
     first = F.row_number().over(Window.partitionBy("doc_id", "line_no", "date", "time").orderBy("i"))
     return d.withColumn("k", first).where("k = 1").select("doc_id", "line_no", "raw", "date", "time", "year_inferred", "weekday", "weekday_in_text", (F.col("weekday_in_text") != F.col("weekday")).alias("weekday_mismatch"), "kind")
@@ -104,11 +116,42 @@ def spec_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return lines(docs, id_col, text_col).where(F.col("line").rlike(r"(?i)\d|파일명|HWP|PDF|DOCX|PPTX|MP4|ZIP|PNG|JPG|MP3")).select("doc_id", "line_no", F.explode(found).alias("s")).select("doc_id", "line_no", "s.*")
 
 
+def table_cells(line: Column) -> Column:
+    """struct(cells, weights): the numbers that stand alone in the cells of a row of bars, points and percentages apart.
+    A row that separates head and body has none, nor has text outside of a table."""
+    parts = F.transform(F.split(line, r"\|", -1), lambda p: F.trim(p))
+    row = F.contains(line, F.lit("|")) & ~F.exists(parts, lambda p: p.rlike("^[-:]+$"))
+    of = lambda ps, unit: F.transform(F.filter(ps, lambda p: p.rlike(rf"^\d+(?:\.\d+)?\s*{unit}\s*$")), lambda p: _number(F.regexp_extract(p, r"^(\d+(?:\.\d+)?)", 1)))
+    some = F.when(row, parts).otherwise(F.array().cast("array<string>"))
+    return let(some, lambda ps: F.struct(of(ps, "점?").alias("cells"), of(ps, "%").alias("weights")))
+
+
+def _number(text: Column) -> Column:
+    """Exact, so that sums don't depend on their order."""
+    return text.try_cast("decimal(20,6)")
+
+
+def score_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lines with points or percentages: doc_id, line_no, line, points, cells, weights, in_table.
+
+    points are the numbers before 점 or %, decimals included; cells and weights those of the table rows among this line and
+    the next 19. Rows of tables and lines of text are told apart by in_table.
+    """
+    l = lines(docs, id_col, text_col).where(F.col("line").rlike(r"\||\d\s*(?:점|%)"))
+    points = F.transform(F.regexp_extract_all("line", F.lit(r"(\d+(?:\.\d+)?)\s*(?:점|%)"), F.lit(1)), _number)
+    l = l.withColumns({"points": points, "own": table_cells(F.col("line"))})
+    below = Window.partitionBy("doc_id").orderBy("line_no").rangeBetween(0, SCORE_WINDOW - 1)
+    l = l.withColumns({k: F.flatten(F.collect_list(F.col("own")[k]).over(below)) for k in ("cells", "weights")})
+    return l.where(F.size("points") > 0).select("doc_id", "line_no", F.trim("line").alias("line"), "points", "cells", "weights", F.ltrim("line").startswith("|").alias("in_table"))
+
+
 def score_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score_lines, total, near_hundred: the points on its lines."""
-    l = lines(docs, id_col, text_col).withColumn("points", F.transform(F.regexp_extract_all("line", F.lit(r"(\d{1,3})\s*(?:점|%)"), F.lit(1)), lambda x: x.cast("long"))).where(F.size("points") > 0)
-    g = l.groupBy("doc_id").agg(F.count("*").alias("score_lines"), F.sum(F.aggregate("points", F.lit(0).cast("long"), lambda a, b: a + b)).alias("total"))
-    return g.withColumn("near_hundred", F.col("total").between(95, 105))
+    """doc_id, score_lines, total, near_hundred. A table's row counts its own points, a line of text the cells of the table
+    that it introduces; points of text alone make no total."""
+    of = F.when(F.col("in_table"), F.col("points")).otherwise(F.col("cells"))
+    total = F.sum(F.aggregate(of, F.lit(0).cast("decimal(30,6)"), lambda a, b: (a + F.coalesce(b, F.lit(0))).cast("decimal(30,6)")))
+    g = score_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.count("*").alias("score_lines"), F.round(total, 2).cast("double").alias("total"))
+    return g.withColumn("near_hundred", F.col("total").between(*FULL_SCORE))
 
 
 def window_cells(cells: DataFrame, ahead: int = 19) -> DataFrame:

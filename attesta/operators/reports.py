@@ -98,10 +98,47 @@ def notice_analysis(docs: DataFrame, today: Column, holidays: list[str], id_col:
     for part in (notice.title_line(d), left, count(found, "dates"), count(notice.risk_lines(d), "risks"), count(notice.spec_lines(d), "specs"), notice.score_check(d), notice.contacts(d)):
         out = out.join(part, "doc_id", "left")
     out = out.fillna(0, ["dates", "risks", "specs", "score_lines"])
-    said = F.concat_ws("; ", F.col("title"), F.concat(F.lit("deadline "), F.col("deadline").cast("string"), F.lit(" "), "dday_label"), F.format_string("%d risks", "risks"), F.format_string("%d specifications", "specs"), F.when(F.col("score_lines") > 0, F.format_string("%d points", "total")))
+    said = F.concat_ws("; ", F.col("title"), F.concat(F.lit("deadline "), F.col("deadline").cast("string"), F.lit(" "), "dday_label"), F.format_string("%d risks", "risks"), F.format_string("%d specifications", "specs"), F.when(F.col("score_lines") > 0, F.concat(F.regexp_replace(F.col("total").cast("string"), r"\.0$", ""), F.lit(" points"))))
     return out.withColumn("summary", said)
 
 
+def _listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """doc_id and `name`, an array of structs of the columns in their order. columns: the first ones give the order."""
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+
+def notice_details(docs: DataFrame, today: Column, holidays: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A notice in full, a row a document: status (ok, no_dates, empty), warnings, schedule, primary_deadline, date_flags,
+    risk_lines, spec_lines, score_lines, score_sum, contacts. Lists are in order of lines, and empty where nothing is found.
+
+    schedule: line_no, raw, date, time, weekday, weekday_in_text, kind, dday, dday_label, business_days, holidays_between,
+    warnings. primary_deadline is the schedule's first submission date, else its first date. Rows of one document id count
+    as one notice. A document holds its lists in one row; they are as long as its text has findings.
+    """
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = notice.dates(d, today)
+    dated = notice.deadline_warnings(notice.days_left(found, today, holidays, "date"), today, holidays, "date", "time")
+    schedule = _listed(dated, "schedule", "line_no", "date", "time", "raw", "weekday", "weekday_in_text", "weekday_mismatch", "year_inferred", "kind", "dday", "dday_label", "business_days", "holidays_between", "past", "warnings")
+    specs = notice.spec_lines(d).groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_set(F.struct("spec", "value"))).alias("specs"))
+    out = d.groupBy("doc_id").agg(F.max(notice.is_notice(F.col("text"))).alias("likely"), F.max(F.trim(F.coalesce("text", F.lit(""))) != "").alias("some"))
+    parts = [schedule, _listed(notice.risk_lines(d), "risk_lines", "line_no", "keyword", "classes", "line"), _listed(specs, "spec_lines", "line_no", "specs"), _listed(notice.score_lines(d), "score_lines", "line_no", "points", "cells", "weights", "in_table")]
+    for part in parts:
+        out = out.join(part, "doc_id", "left")
+        name = part.columns[1]
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    sums = notice.score_check(d).select("doc_id", F.struct("total", "near_hundred").alias("score_sum"))
+    people = notice.contacts(d).groupBy("doc_id").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>")))))).alias(c) for c in ("emails", "phones", "urls")))
+    out = out.join(sums, "doc_id", "left").join(people.select("doc_id", F.struct("emails", "phones", "urls").alias("contacts")), "doc_id", "left")
+    by_date = lambda x: F.array_min(F.transform(x, lambda r: F.struct(r["date"].alias("date"), r["line_no"].alias("line_no"), r["time"].alias("time"), r["raw"].alias("raw"), r["kind"].alias("kind"), r["dday"].alias("dday"), r["dday_label"].alias("dday_label"))))
+    due = F.coalesce(by_date(F.filter("schedule", lambda r: r["kind"] == "submission_deadline")), by_date(F.col("schedule")))
+    any_ = lambda f: F.exists("schedule", lambda r: F.coalesce(f(r), F.lit(False)))
+    flags = F.struct(any_(lambda r: r["weekday_mismatch"]).alias("weekday_mismatch"), any_(lambda r: r["year_inferred"]).alias("year_inferred"), any_(lambda r: r["past"]).alias("past_deadline"), any_(lambda r: F.weekday(r["date"]) >= 5).alias("weekend"))
+    status = F.when(~F.col("some"), "empty").when((F.size("schedule") > 0) | F.col("likely"), "ok").otherwise("no_dates")
+    warnings = F.array_compact(F.array(F.when(~F.coalesce("likely", F.lit(False)), "unlike_a_notice"), F.when(F.size("schedule") == 0, "no_dates")))
+    score_sum = F.coalesce("score_sum", F.struct(F.lit(0.0).alias("total"), F.lit(False).alias("near_hundred")))
+    return out.select("doc_id", status.alias("status"), warnings.alias("warnings"), "schedule", due.alias("primary_deadline"), flags.alias("date_flags"), "risk_lines", "spec_lines", "score_lines", score_sum.alias("score_sum"), "contacts")
+
+
 def law_articles_of(docs: DataFrame, pattern: str = r"^\s*(?:#+\s*)?제(\d+)조") -> DataFrame:
     """docs: law_key, text in any layout of lines, Markdown or HTML. Articles as law.parse_law_text gives them: tags go,
     heads may stand behind marks, and metadata before the first and an addendum after the last are left out."""

@@ -574,11 +574,48 @@ def _notices(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_NOTICE.format(s="string")).alias("text"))
 
 
-@query("SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS score_lines, CAST(o_orderkey % 60 + 40 AS BIGINT) AS total, o_orderkey % 60 + 40 BETWEEN 95 AND 105 AS near_hundred FROM orders")
+@query("SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS score_lines, CAST(0 AS DOUBLE) AS total, false AS near_hundred FROM orders")
 def notice_scores(spark, d):
+    """Points in text alone: two lines of them, but no table and so no total."""
     return notice.score_check(_notices(spark, d))
 
 
+#: A line that introduces a table further down; rows with points, with bare numbers and with percentages; a second table out of its reach.
+_SCORE_TABLE = "'심사 배점 (총 ' || (50 + o_orderkey % 50) || '점)' || chr(10) || '| 항목 | 배점 |' || chr(10) || '|:--|--:|' || chr(10) || '| 창의성 | ' || (o_orderkey % 60) || '.5점 |' || chr(10) || '| 완성도 | ' || (o_orderkey % 7) || ' |' || chr(10) || '비중 | 30% |' || repeat(chr(10), CAST(10 + o_orderkey % 10 AS INT)) || '| 부록 | 8점 | 9 |'"
+
+
+@query(
+    f"""SELECT o_orderkey AS doc_id, CAST(4 AS BIGINT) AS score_lines,
+ round(2 * (o_orderkey % 60 + 0.5) + o_orderkey % 7 + 8 + CASE WHEN 6 + 10 + o_orderkey % 10 <= 20 THEN 17 ELSE 0 END + CASE WHEN 10 + o_orderkey % 10 <= 19 THEN 17 ELSE 0 END, 2)::DOUBLE AS total,
+ round(2 * (o_orderkey % 60 + 0.5) + o_orderkey % 7 + 8 + CASE WHEN 6 + 10 + o_orderkey % 10 <= 20 THEN 17 ELSE 0 END + CASE WHEN 10 + o_orderkey % 10 <= 19 THEN 17 ELSE 0 END, 2) BETWEEN 95 AND 105 AS near_hundred FROM orders"""
+)
+def notice_score_tables(spark, d):
+    return notice.score_check(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_SCORE_TABLE.replace("chr(10)", "'\n'")).alias("text")))
+
+
+_KIND_LINES = "'{a}' || chr(10) || '접수 시작: 2026. 9. ' || d || '.(월) 09:00' || chr(10) || '설명회 9월 ' || d || '일 14시' || chr(10) || '제출마감 2026-10-' || d || ' 자정' || chr(10) || '결과 발표 2026-11-' || d || chr(10) || '시상식 12/' || d || '(토)' || chr(10) || '해커톤 2026년 12월 ' || d || '일' || chr(10) || '마감과 2026-12-' || d"
+
+
+@query(
+    """WITH k AS (SELECT * FROM (VALUES (2, 9, '09:00', 'start'), (3, 9, '14:00', 'briefing'), (4, 10, '24:00', 'submission_deadline'), (5, 11, NULL, 'announcement'), (6, 12, NULL, 'final_award'), (7, 12, NULL, 'event'), (8, 12, NULL, 'other')) t(line_no, m, time, kind))
+SELECT o_orderkey AS doc_id, CAST(line_no AS INT) AS line_no, make_date(2026, m, 10 + o_orderkey % 19) AS date, time, kind, line_no IN (3, 6) AS year_inferred FROM orders, k"""
+)
+def notice_date_kinds(spark, d):
+    """All six kinds, and a line that names none as a word of its own."""
+    text = _KIND_LINES.format(a="공고").replace("chr(10)", "'\n'").replace("|| d", "|| cast(10 + o_orderkey % 19 as string)")
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(text).alias("text"))
+    return notice.dates(docs, F.to_date(F.lit("2026-08-01"))).select("doc_id", "line_no", "date", "time", "kind", "year_inferred")
+
+
+@query("SELECT s_suppkey AS doc_id, CAST(1200 AS BIGINT) AS n, CAST(28 AS BIGINT) AS days, CAST(1200 AS BIGINT) AS times FROM supplier")
+def notice_long_line(spark, d):
+    """Every date and time of a line of 1,200 dates."""
+    one = "transform(sequence(0, 1199), i -> '2026-09-' || lpad(cast(1 + i % 28 as string), 2, '0') || ' ' || lpad(cast(i div 100 as string), 2, '0') || ':' || lpad(cast(i % 60 as string), 2, '0'))"
+    docs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.expr(f"array_join({one}, ', ')").alias("text"))
+    found = notice.dates(docs, F.to_date(F.lit("2026-08-01")))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("date").alias("days"), F.count("time").alias("times"))
+
+
 @query("SELECT o_orderkey AS doc_id, CAST(3 AS INT) AS line_no, '실격' AS keyword, 'disqualification,prohibition' AS classes FROM orders")
 def notice_risk_lines(spark, d):
     return notice.risk_lines(_notices(spark, d)).select("doc_id", "line_no", "keyword", F.array_join("classes", ",").alias("classes"))

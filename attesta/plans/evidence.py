@@ -230,17 +230,42 @@ def tool_detect_objects(spark, d):
 _DAY = "(1 + o_orderkey % 28)"
 
 
+def _calls(spark, d):
+    text = f"'# 창업 공모전 공고\\n접수 마감: 2026-09-' || lpad({_DAY}, 2, '0') || ' 18:00\\n마감 이후 제출은 실격 처리\\n심사 기준\\n| 창의성 | 60점 |\\n| 실현성 | 40점 |\\n결과 발표: 2026-12-' || lpad({_DAY}, 2, '0') || ', 분량 20쪽 이내, 문의 a' || o_orderkey || '@x.org'"
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(text).alias("text"))
+
+
 @query(
-    """SELECT o_orderkey AS doc_id, true AS likely, '창업 공모전 공고' AS title, CAST('2026-09-' || lpad(CAST(1 + o_orderkey % 28 AS VARCHAR), 2, '0') AS DATE) AS deadline, 'D-' || (31 + o_orderkey % 28) AS dday_label, CAST(2 AS BIGINT) AS score_lines, CAST(100 AS BIGINT) AS total, true AS near_hundred,
+    """SELECT o_orderkey AS doc_id, true AS likely, '창업 공모전 공고' AS title, CAST('2026-09-' || lpad(CAST(1 + o_orderkey % 28 AS VARCHAR), 2, '0') AS DATE) AS deadline, 'D-' || (31 + o_orderkey % 28) AS dday_label, CAST(2 AS BIGINT) AS score_lines, CAST(100 AS DOUBLE) AS total, true AS near_hundred,
 CAST(1 AS BIGINT) AS risks FROM orders"""
 )
 def notice_analysis(spark, d):
-    text = f"'# 창업 공모전 공고\\n접수 마감: 2026-09-' || lpad({_DAY}, 2, '0') || ' 18:00\\n마감 이후 제출은 실격 처리\\n심사: 창의성 60점\\n실현성 40%'"
-    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(text).alias("text"))
-    found = tools.analyze_notice(docs, F.to_date(F.lit("2026-08-01")), ["2026-09-24"])
+    found = tools.analyze_notice(_calls(spark, d), F.to_date(F.lit("2026-08-01")), ["2026-09-24"])
     return found.select("doc_id", "likely", "title", "deadline", "dday_label", "score_lines", "total", "near_hundred", "risks")
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey AS doc_id, CAST(1 + o_orderkey % 28 AS INT) AS k, make_date(2026, 9, CAST(1 + o_orderkey % 28 AS INT)) AS d1, make_date(2026, 12, CAST(1 + o_orderkey % 28 AS INT)) AS d2 FROM orders),
+w AS (SELECT *, CASE WHEN isodow(d1) > 5 THEN 'weekend' ELSE '' END AS w1, CASE WHEN isodow(d2) > 5 THEN 'weekend' ELSE '' END AS w2, CASE WHEN d1 >= DATE '2026-09-24' THEN 'holiday:2026-09-24' ELSE '' END AS h1 FROM o)
+SELECT doc_id, 'ok' AS status, d1 AS deadline, '18:00' AS time, 'submission_deadline' AS kind,
+ '2 submission_deadline D-' || (30 + k) || ' ' || array_to_string(list_filter([w1, h1], lambda x: x <> ''), '+') || '; 7 announcement D-' || (121 + k) || ' ' || array_to_string(list_filter([w2, 'holiday:2026-09-24'], lambda x: x <> ''), '+') AS schedule,
+ '3 실격' AS risks, '7 limit=20쪽 이내,pages=20' AS specs, '5 60.00 60.00+40.00; 6 40.00 40.00' AS scores, CAST(100 AS DOUBLE) AS total, 'a' || doc_id || '@x.org' AS emails, w1 <> '' OR w2 <> '' AS weekend FROM w"""
+)
+def notice_details(spark, d):
+    """The nested lists of a notice, one line each."""
+    found = reports.notice_details(_calls(spark, d), F.to_date(F.lit("2026-08-01")), ["2026-09-24"])
+    joined = lambda c, f: F.array_join(F.transform(c, f), "; ")
+    numbers = lambda c: F.array_join(F.transform(c, lambda x: x.cast("decimal(9,2)").cast("string")), "+")
+    return found.select(
+        "doc_id", "status", F.col("primary_deadline.date").alias("deadline"), F.col("primary_deadline.time").alias("time"), F.col("primary_deadline.kind").alias("kind"),
+        joined("schedule", lambda r: F.concat_ws(" ", r["line_no"], r["kind"], r["dday_label"], F.array_join(r["warnings"], "+"))).alias("schedule"),
+        joined("risk_lines", lambda r: F.concat_ws(" ", r["line_no"], r["keyword"])).alias("risks"),
+        joined("spec_lines", lambda r: F.concat_ws(" ", r["line_no"], F.array_join(F.transform(r["specs"], lambda s: F.concat_ws("=", s["spec"], s["value"])), ","))).alias("specs"),
+        joined("score_lines", lambda r: F.concat_ws(" ", r["line_no"], numbers(r["points"]), numbers(r["cells"]))).alias("scores"),
+        F.col("score_sum.total").alias("total"), F.array_join("contacts.emails", ",").alias("emails"), F.col("date_flags.weekend").alias("weekend"),
+    )
+
+
 @query("SELECT DISTINCT n_nationkey AS law_no, CAST(a AS INT) AS article, CASE a WHEN 1 THEN '목적' ELSE '정의' END AS title FROM nation, (VALUES (1), (2)) t(a)")
 def law_layouts(spark, d):
     """Articles from Markdown and from HTML, with metadata before them and an addendum after."""

@@ -129,9 +129,9 @@ def test_full_checklist(spark):
 
 
 def test_notice(spark):
-    docs = spark.createDataFrame([(1, "접수 마감: 2026년 9월 10일(금) 18시까지\n시상 12월 5일(토)\n창의성 60점\n완성도 40점")], "doc_id int, text string")
+    docs = spark.createDataFrame([(1, "접수 마감: 2026년 9월 10일(금) 18시까지\n시상 12월 5일(토)\n심사표\n| 창의성 | 60점 |\n| 완성도 | 40점 |")], "doc_id int, text string")
     got = notice.dates(docs, F.to_date(F.lit("2026-08-01"))).orderBy("line_no").collect()
-    assert [(r.date, r.time, r.weekday_mismatch, r.kind) for r in got] == [(date(2026, 9, 10), "18:00", True, "submission_deadline"), (date(2026, 12, 5), None, False, "event")]
+    assert [(r.date, r.time, r.weekday_mismatch, r.kind) for r in got] == [(date(2026, 9, 10), "18:00", True, "submission_deadline"), (date(2026, 12, 5), None, False, "final_award")]
     assert notice.score_check(docs).first().near_hundred
 
 
