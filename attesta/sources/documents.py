@@ -14,18 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.sources import responses
+
 MAX_BYTES = 5 * 1024 * 1024
-ELEMENT = "struct<id:int,page:int,category:string,text:string,content:struct<html:string,markdown:string,text:string>,coordinates:array<struct<x:double,y:double>>,boundingBox:array<double>>"
-RESPONSE = f"elements array<{ELEMENT}>, data struct<elements:array<{ELEMENT}>>, result struct<elements:array<{ELEMENT}>>"
 
 
 def parse_responses(spark: SparkSession, path: str) -> DataFrame:
-    """JSON parse responses to elements: path, ord, id, page, category, text, x, y, w, h."""
-    r = spark.read.schema(RESPONSE).option("multiLine", True).json(path).withColumn("path", F.input_file_name())
-    e = r.select("path", F.posexplode(F.coalesce("elements", "data.elements", "result.elements")).alias("ord", "e"))
-    xs, ys = F.transform("e.coordinates", lambda p: p["x"]), F.transform("e.coordinates", lambda p: p["y"])
-    box = lambda i: F.get("e.boundingBox", F.lit(i))
-    return e.select("path", "ord", "e.id", F.coalesce("e.page", F.lit(0)).alias("page"), F.coalesce("e.category", F.lit("")).alias("category"), F.coalesce("e.text", "e.content.text", "e.content.markdown", F.lit("")).alias("text"), F.coalesce(F.array_min(xs), box(0)).alias("x"), F.coalesce(F.array_min(ys), box(1)).alias("y"), F.coalesce(F.array_max(xs) - F.array_min(xs), box(2)).alias("w"), F.coalesce(F.array_max(ys) - F.array_min(ys), box(3)).alias("h"))
+    """JSON parse responses to elements: path, ord, id, page, category, text, x, y, w, h (responses.elements_of)."""
+    return responses.elements_of(responses.bodies(spark, path).drop("key"))
 
 
 def text_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
