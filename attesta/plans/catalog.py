@@ -693,4 +693,4 @@ def gate_summary_lines(spark, d):
     return sinks.summary_lines(_gated(spark, d))
 
 
-from attesta.plans import evidence, readers, sql_queries  # noqa: E402, F401  # register further queries
+from attesta.plans import evidence, readers, sql_queries, streams  # noqa: E402, F401  # register further queries
