@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as T
 from attesta.operators import titles
+from attesta.storage import forget, stored
 
 #: How headings, numbered items and ids are written.
 HEADING = r"(?i)^(references|참고문헌|인용문헌)[ \t]*(\n|$)"
@@ -308,18 +309,53 @@ def retracted(registry: DataFrame) -> DataFrame:
     return registry.where(notice | F.coalesce("is_retracted", F.lit(False)))
 
 
+def _after(steps: DataFrame, hops: int) -> DataFrame:
+    """steps: url, at (the next page), n (1) and perhaps path ([at]). Where each page leads after `hops` steps, or before if
+    there are no more: by steps of 1, 2, 4, ... pages, each of two of the last kind, of which those that `hops` sums up to
+    are taken. So a chain costs as many joins as its length has binary digits, twice at most."""
+
+    def then(l: DataFrame, r: DataFrame) -> DataFrame:
+        j = l.alias("l").join(r.alias("r"), F.col("l.at") == F.col("r.url"), "left")
+        path = [F.concat("l.path", F.coalesce("r.path", F.array().cast("array<string>"))).alias("path")] if "path" in l.columns else []
+        return j.select("l.url", F.coalesce("r.at", "l.at").alias("at"), (F.col("l.n") + F.coalesce("r.n", F.lit(0))).alias("n"), *path)
+
+    far, out = steps, None
+    for k in range(hops.bit_length()):
+        if k:
+            last, far = far, stored(then(far, far))
+            if k > 1 and out is not last:
+                forget(last)
+        if hops >> k & 1:
+            out = far if out is None else stored(then(out, far))
+    return out
+
+
 def redirect_ends(edges: DataFrame, hops: int = 10) -> DataFrame:
-    """edges: from_url, to_url. For each from_url final_url, hops and state: where its redirects end ('final'), where they
-    come back to a page of the chain ('cycle'), or where they are after `hops` steps ('too_long'). A join a step."""
-    e = edges.dropDuplicates(["from_url", "to_url"])
-    now = e.select(F.col("from_url").alias("url"), F.col("to_url").alias("at"), F.array("from_url").alias("seen"))
-    for _ in range(hops - 1):
-        step = now.join(e, (F.col("at") == F.col("from_url")) & ~F.array_contains("seen", F.col("at")), "left")
-        goes_on = F.col("from_url").isNotNull()
-        now = step.select("url", F.when(goes_on, F.col("to_url")).otherwise(F.col("at")).alias("at"), F.when(goes_on, F.array_append("seen", F.col("at"))).otherwise(F.col("seen")).alias("seen"))
-    open_ = now.join(e.select(F.col("from_url").alias("more")).distinct(), F.col("at") == F.col("more"), "left")
-    state = F.when(F.col("more").isNull(), "final").when(F.array_contains("seen", F.col("at")), "cycle").otherwise("too_long")
-    return open_.select("url", F.col("at").alias("final_url"), F.size("seen").alias("hops"), state.alias("state"))
+    """edges: from_url, to_url. For each from_url url, final_url, hops and state: where its redirects end ('final'), where they
+    come back to a page of the chain ('cycle', hops being the pages it has), or where they are after `hops` steps ('too_long').
+
+    Of several targets of a page the first by name counts; edges without one of the pages don't. Chains are doubled, with
+    a table in the shared folder each time; only pages whose chain hasn't ended by then get a list of `hops` pages, in
+    which a page that comes back is looked for.
+    """
+    if hops < 1:
+        raise ValueError("a chain has a step at least")
+    e = edges.select(F.col("from_url").cast("string"), F.col("to_url").cast("string")).where("from_url IS NOT NULL AND to_url IS NOT NULL")
+    e = stored(e.groupBy(F.col("from_url").alias("url")).agg(F.min("to_url").alias("at")).withColumn("n", F.lit(1)))
+    pages = e.select(F.col("url").alias("page"))
+    ends = _after(e, hops).withColumnRenamed("at", "final_url")
+    on = stored(ends.join(pages, F.col("final_url") == F.col("page"), "left_semi"))
+    done = ends.join(pages, F.col("final_url") == F.col("page"), "left_anti").select("url", "final_url", F.col("n").alias("hops"), F.lit("final").alias("state"))
+    if on.isEmpty():
+        return done
+    # Chains that come back never leave the pages that are still on their way.
+    turning = stored(e.join(on.select("url"), "url", "left_semi").withColumn("path", F.array("at")))
+    seen = _after(turning, hops).select("url", F.concat(F.array("url"), "path").alias("path")).where(F.size("path") == hops + 1)
+    seen = seen.withColumn("pages", F.size(F.array_distinct("path"))).where(F.col("pages") <= hops)
+    back = seen.select(F.col("url").alias("page"), "pages", F.get("path", F.col("pages")).alias("again"))
+    rest = on.join(back, F.col("url") == F.col("page"), "left")
+    state = F.when(F.col("page").isNotNull(), "cycle").otherwise("too_long")
+    return done.unionByName(rest.select("url", F.coalesce("again", "final_url").alias("final_url"), F.coalesce("pages", "n").alias("hops"), state.alias("state")))
 
 
 def corrected_entry() -> Column:

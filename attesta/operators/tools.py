@@ -75,7 +75,7 @@ def check_retraction(dois: DataFrame, registry: DataFrame) -> DataFrame:
 def check_url(urls: DataFrame, pages: DataFrame, redirects: DataFrame) -> DataFrame:
     """urls: url; pages: key (URL), value (its status). Adds final_url, hops, state, and the status of the final page."""
     _needs(urls, "url")
-    ends = urls.join(references.redirect_ends(redirects), "url", "left")
+    ends = urls.join(references.redirect_ends(redirects).withColumn("url", F.col("url").cast(urls.schema["url"].dataType)), "url", "left")
     ends = ends.withColumns({"final_url": F.coalesce("final_url", "url"), "hops": F.coalesce("hops", F.lit(0)), "state": F.coalesce("state", F.lit("final"))})
     return evidence.by_snapshots(ends, "final_url", pages).withColumnRenamed("value", "status").drop("found")
 
