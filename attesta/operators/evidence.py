@@ -73,12 +73,20 @@ def enabled(servers: DataFrame) -> DataFrame:
     return servers.where(F.coalesce("enabled", F.lit(True)))
 
 
+#: The verdicts as models name them.
+VERDICTS = {"뒷받침함": "supported", "뒷받침 안 함": "not_supported", "판단 불가": "cannot_judge"}
+
+
 def verdict_in(answer: Column) -> Column:
-    """The verdict in a model's answer: that of the JSON object in it, else what its words say, else cannot_judge."""
-    stated = F.get_json_object(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), "$.verdict")
+    """The verdict in a model's answer: that of the object in it that has one, else what its words say, else cannot_judge."""
     low = F.lower(F.coalesce(answer, F.lit("")))
-    guess = F.when(low.rlike(r"not[ _]supported|unsupported|contradict"), "not_supported").when(low.rlike(r"cannot|can't|unclear"), "cannot_judge").when(F.contains(low, F.lit("supported")), "supported").otherwise("cannot_judge")
-    return F.when(stated.isin("supported", "not_supported", "cannot_judge"), stated).otherwise(guess)
+    stated = F.regexp_extract(F.coalesce(answer, F.lit("")), r'(?s)(\{[^}]*"verdict"[^}]*\})', 1)
+    value = F.get_json_object(stated, "$.verdict")
+    named, said = F, F
+    for word, code in VERDICTS.items():
+        named, said = named.when(value.isin(word, code), code), said.when(F.contains(low, F.lit(word)), code)
+    said = said.when(low.rlike(r"not[ _]supported|unsupported|contradict"), "not_supported").when(low.rlike(r"cannot|can't|unclear"), "cannot_judge").when(F.contains(low, F.lit("supported")), "supported").otherwise("cannot_judge")
+    return F.when(stated != "", F.coalesce(named.otherwise("cannot_judge"), F.lit("cannot_judge"))).otherwise(said)
 
 
 def author_year_items(lines: DataFrame) -> DataFrame:

@@ -64,20 +64,38 @@ def match_photos(claims: DataFrame, photos: DataFrame) -> DataFrame:
     return c.join(best, "claim_no", "left").withColumn("matched_file", F.coalesce("hint_file", "own_file")).drop("claim_no", "hint_file", "own_file")
 
 
-def domain(sentence: Column) -> Column:
-    """Which detector a sentence asks for."""
-    s = F.lower(sentence)
-    return F.when(s.rlike("균열|부식|손상|결함|용접|crack|corrosion|defect"), "defect").when(s.rlike("계기|압력계|게이지|gauge"), "gauge").when(s.rlike("청소|정리|적치|폐기물|cleaning"), "cleaning").otherwise("defect")
+#: Words of a sentence that ask for a detector, looked for in this order.
+DOMAIN_WORDS = {
+    "defect": ["부식", "균열", "손상", "용접", "crack", "damage", "corrosion", "weld"],
+    "gauge": ["계기", "수치", "gauge", "digit", "압력", "온도", "rpm", "속도", "값", "측정", "게이지"],
+    "cleaning": ["정리", "적재", "폐기물", "청소", "폐기", "방치", "쓰레기", "cleaning", "cardboard", "pile"],
+}
+#: Fixed value: a photo whose name has it shows a gauge.
+GAUGE_NAME = "계기"
 
 
-def inspect(detections: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """detections: image, label, conf. Per image: severity (the highest), categories, n_detections; images without any are in too."""
-    d = detections.join(F.broadcast(labels), "label", "left")  # a table of labels, some dozens
-    kept = F.col("conf") >= threshold
+def domain(sentence: Column) -> Column:
+    """Which detector a sentence asks for; that of defects if it names none."""
+    out = F
+    for name, words in DOMAIN_WORDS.items():
+        out = out.when(F.lower(sentence).rlike("|".join(words)), name)
+    return out.otherwise("defect")
+
+
+def inspect(detections: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, gauge: bool = False) -> DataFrame:
+    """detections: image, label, conf, and domain if there are several. Per image: severity (the highest), categories,
+    n_detections; images without any are in too. With domains, gauge_run tells whether its detections of gauges count: those
+    of all images, or those of images whose name says so."""
+    use, more = F.col("conf") >= threshold, []
+    if "domain" in detections.columns:
+        shows = F.lit(gauge) | F.contains(F.element_at(F.split(F.col("image").cast("string"), "/"), -1), F.lit(GAUGE_NAME))
+        use = use & ((F.coalesce("domain", F.lit("")) != "gauge") | shows)
+        more = [F.max(shows).alias("gauge_run")]
+    d = detections.withColumn("kept", F.coalesce(use, F.lit(False))).join(labels, "label", "left")
     rank = F.element_at(F.create_map(*(F.lit(x) for k, v in SEVERITY.items() for x in (k, v))), F.col("severity"))
     name = F.element_at(F.create_map(*(F.lit(x) for k, v in SEVERITY.items() for x in (v, k))), F.col("rank"))
-    g = d.groupBy("image").agg(F.coalesce(F.max(F.when(kept, rank)), F.lit(0)).alias("rank"), F.count_if(kept).alias("n_detections"), F.array_join(F.array_sort(F.collect_set(F.when(kept & (rank >= 2), F.col("category")))), ", ").alias("categories"))
-    return g.select("image", name.alias("severity"), "n_detections", "categories")
+    g = d.groupBy("image").agg(F.coalesce(F.max(F.when(F.col("kept"), rank)), F.lit(0)).alias("rank"), F.count_if("kept").alias("n_detections"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("kept") & (rank >= 2), F.col("category")))), ", ").alias("categories"), *more)
+    return g.select("image", name.alias("severity"), "n_detections", "categories", *(["gauge_run"] if more else []))
 
 
 def inspection_summary(inspected: DataFrame) -> DataFrame:

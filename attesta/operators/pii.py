@@ -80,10 +80,24 @@ RULES = [
 ]
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 1), line; a null text has none."""
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", header: Column | None = None) -> DataFrame:
+    """doc_id, line_no (from 1), line; a null text has none. With header, a condition on docs: also header, the cells of the
+    first line of documents for which it holds, else null."""
     text = F.regexp_replace(F.col(text_col), r"\r\n?|[\x0B\x0C\x85  ]", "\n")
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("line_no"), "line")
+    cells = [] if header is None else [F.when(header, _cells(F.element_at(F.split(text, "\n", 2), 1))).alias("header")]
+    l = docs.select(F.col(id_col).alias("doc_id"), *cells, F.posexplode(F.split(text, "\n", -1)).alias("i", "line"))
+    return l.select("doc_id", (F.col("i") + 1).alias("line_no"), "line", *(["header"] if cells else []))
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a line of comma-separated values, commas between quotes kept."""
+    return F.split(line, r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", -1)
+
+
+def _column(line: Column, at: Column) -> Column:
+    """The number, from 0, of the cell that begins at or before an offset: the commas before it that stand in no quotes."""
+    before = F.regexp_replace(F.substring(line, F.lit(1), at), r'\"[^\"]*(\"|$)', "")
+    return F.length(before) - F.length(F.replace(before, F.lit(","), F.lit("")))
 
 
 def _any_word(line: Column, words: list[str]) -> Column:
@@ -94,14 +108,17 @@ def _any_word(line: Column, words: list[str]) -> Column:
 _SIGNS, _STARTS = "[0-9@=:가-힣]", ("sk-", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AIza", "xox", "eyJ", "-----BEGIN", "Bearer")
 
 
-def _may_match(rule: Rule) -> Column:
+def _may_match(rule: Rule, header: bool) -> Column:
     """A cheap test that each line with a match of the rule passes."""
     tests = [reduce(or_, (F.contains("line", F.lit(n)) for n in rule.needs))] if rule.needs else []
-    tests += [_any_word(F.col("line"), CONTEXT[rule.context])] if rule.context else []
+    if rule.context:
+        words = CONTEXT[rule.context]
+        above = F.exists("header", lambda h: _any_word(h, words)) if header else F.lit(False)
+        tests.append(_any_word(F.col("line"), words) | F.coalesce(above, F.lit(False)))
     return reduce(and_, tests, F.lit(True))
 
 
-def _candidates(rule: Rule) -> Column:
+def _candidates(rule: Rule, header: bool = False) -> Column:
     line = F.col("line")
     confidence = F.lit(RANK[rule.confidence])
 
@@ -112,9 +129,13 @@ def _candidates(rule: Rule) -> Column:
             return F.when(V.resident_status(v) == "form-only", RANK["medium"]).otherwise(confidence)
         return confidence
 
-    found = spans("line", rule.search, only=_may_match(rule))
+    found = spans("line", rule.search, only=_may_match(rule, header))
     if rule.check:
         found = F.filter(found, lambda x: rule.check(x["value"]))
+    if rule.context and header:  # of the words above, those of the value's own column count
+        words = CONTEXT[rule.context]
+        here = _any_word(line, words)
+        found = F.filter(found, lambda x: here | F.coalesce(_any_word(F.get("header", _column(line, x["start"])), words), F.lit(False)))
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(rule.kind).alias("type"), x["value"].alias("value"), ranked(x["value"]).alias("rank")))
 
 
@@ -154,12 +175,16 @@ def keep_without_overlap(candidates: list[Column]) -> Column:
     return let(found, lambda f: F.when(F.aggregate(f, F.lit(0), lambda n, c: n + F.size(c)) <= 1, F.flatten(f)).otherwise(greedy))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, min_confidence: str = "info", names: bool = True) -> DataFrame:
-    """Findings: doc_id, type, line, col, start, end, matched, confidence, rank, masked, value. No shuffle."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, min_confidence: str = "info", names: bool = True, header: Column | None = None) -> DataFrame:
+    """Findings: doc_id, type, line, col, start, end, matched, confidence, rank, masked, value. No shuffle.
+
+    header: a condition on docs that holds for comma-separated values with a header; there a value's context may also stand
+    in its column's head.
+    """
     use = [r for r in rules if names or r.kind != "name"]
     hit = F.col("line").rlike(_SIGNS) | reduce(or_, (F.contains("line", F.lit(s)) for s in _STARTS))
-    kept = keep_without_overlap([_candidates(r) for r in sorted(use, key=lambda r: r.priority)])
-    f = lines(docs, id_col, text_col).where(hit).select("doc_id", "line_no", F.explode(kept).alias("f"))
+    kept = keep_without_overlap([_candidates(r, header is not None) for r in sorted(use, key=lambda r: r.priority)])
+    f = lines(docs, id_col, text_col, header).where(hit).select("doc_id", "line_no", F.explode(kept).alias("f"))
     level = F.element_at(F.create_map(*(F.lit(x) for k, v in RANK.items() for x in (v, k))), F.col("f.rank"))
     out = f.select("doc_id", F.col("f.type").alias("type"), F.col("line_no").alias("line"), (F.col("f.start") + 1).alias("col"), F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.length("f.value").alias("matched"), level.alias("confidence"), F.col("f.rank").alias("rank"), V.mask(F.col("f.type"), F.col("f.value")).alias("masked"), F.col("f.value").alias("value"))
     return out.where(F.col("rank") >= RANK[min_confidence])

@@ -134,6 +134,20 @@ def pii_overlap_kept(spark, d):
     return pii.scan(t, rules=[r for r in pii.RULES if r.kind in ("business_number", "toll_free")]).select("doc_id", "start", "type", "value")
 
 
+#: A table of a header and three rows: account numbers below their head, numbers of that form below another, and quoted commas.
+_CSV = "case when c_custkey % 2 = 0 then '번호,계좌번호,비고' else '번호,수량,\"a, 계좌\"' end || '\n1,110-' || lpad(cast(c_custkey % 1000 as string), 3, '0') || '-' || lpad(cast(c_custkey as string), 6, '0') || ',x\n2,\"x, y\",220-123-' || lpad(cast(c_custkey as string), 6, '0')"
+
+
+@query(
+    """SELECT c_custkey AS doc_id, CAST(2 AS INT) AS line, '110-' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS value FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 3, '220-123-' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') FROM customer WHERE c_custkey % 2 = 1"""
+)
+def pii_csv_accounts(spark, d):
+    """Account numbers that only their column's head tells."""
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(_CSV).alias("text"))
+    return pii.scan(docs, rules=_rule("account_number"), header=F.lit(True)).select("doc_id", "line", "value")
+
+
 # -- Text -------------------------------------------------------------------------------------------------------------
 
 
@@ -515,6 +529,28 @@ def photo_domain_route(spark, d):
     return _photo_claims(spark, d).groupBy(photos.domain(F.col("sentence")).alias("domain")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN 'gauge' WHEN 1 THEN 'cleaning' WHEN 2 THEN 'gauge' WHEN 3 THEN 'defect' WHEN 4 THEN 'cleaning' ELSE 'defect' END AS domain, count(*) AS n FROM part GROUP BY 1")
+def photo_domain_words(spark, d):
+    s = F.expr("case cast(p_partkey % 6 as int) when 0 then '압력 0.8' when 1 then '쓰레기 더미' when 2 then 'RPM 수치' when 3 then 'Weld의 압력' when 4 then 'a Pile of boards' else '아무 말' end || ' ' || p_name")
+    return table(spark, d, "part").groupBy(photos.domain(s).alias("domain")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN p_partkey % 4 = 3 THEN 'supported' WHEN p_partkey % 4 = 2 THEN 'cannot_judge' WHEN p_partkey % 4 = 1 THEN 'not_supported' ELSE 'supported' END AS verdict, count(*) AS n FROM part GROUP BY 1")
+def verdict_words(spark, d):
+    """Verdicts that answers name in either language, stated or said."""
+    from attesta.operators import evidence as e
+
+    a = F.expr("""case cast(p_partkey % 4 as int) when 0 then '판정: 뒷받침함' when 1 then '{"n": {"k": 1}} {"verdict": "뒷받침 안 함", "quote": "supported"}' when 2 then '{"verdict": "뒷받침함", broken}' else 'It is Supported by ' || p_name end""")
+    return table(spark, d, "part").groupBy(e.verdict_in(a).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'p' || user_id || CASE WHEN user_id % 2 = 0 THEN '_계기.jpg' ELSE '.jpg' END AS image, CASE WHEN user_id % 2 = 0 OR bool_or(event_id % 2 = 0) THEN 'risk' ELSE 'none' END AS severity, CASE WHEN user_id % 2 = 0 THEN count(*) ELSE count(*) FILTER (event_id % 2 = 0) END AS n_detections, user_id % 2 = 0 AS gauge_run FROM events GROUP BY user_id")
+def inspect_gauges(spark, d):
+    """Detections of gauges count for photos whose name tells that they show one."""
+    e = table(spark, d, "events").select(F.expr("'p' || user_id || case when user_id % 2 = 0 then '_계기.jpg' else '.jpg' end").alias("image"), F.expr("case when event_id % 2 = 0 then 'defect' else 'gauge' end").alias("domain"), F.lit("crack").alias("label"), F.lit(0.9).alias("conf"))
+    return photos.inspect(e, photos.labels_table(spark)).select("image", "severity", "n_detections", "gauge_run")
+
+
 _LABEL = "CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'crack' WHEN 1 THEN 'paper' WHEN 2 THEN 'helmet' WHEN 3 THEN 'unknown' ELSE 'cable_damage' END"
 _CONF = "(event_id * 37 % 100) / 100.0"
 _RANK_SQL = f"CASE WHEN {_CONF} < 0.45 THEN 0 ELSE CASE {_LABEL} WHEN 'crack' THEN 3 WHEN 'cable_damage' THEN 3 WHEN 'paper' THEN 2 WHEN 'helmet' THEN 1 ELSE 0 END END"
