@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import pick
 
-#: Sentences of public licence texts and notices, normalised, by identifier.
+#: Sentences of public licence texts and notices, normalised, by identifier; <name> is up to 120 characters of a line.
 SENTENCES = {
-    "mit-short": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "distributed under the mit license"],
+    "mit-short": ["<name> is licensed under the mit license", "<name> is licensed under the mit license and <name>", "<name> is released under the mit license", "<name> is distributed under the mit license", "released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "distributed under the mit license"],
     "mit-grant": ["permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the software), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions:"],
     "mit-notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
     "as-is": ["the software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement", "the software is provided as is"],
@@ -28,14 +28,29 @@ SENTENCES = {
     "bsd-source": ["redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "bsd-endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-endorse-any": ["neither the name of <name> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the names of <name> nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission", "the name of <name> may not be used to endorse or promote products derived from this software without specific prior written permission"],
     "bsd-short": ["licensed under the bsd license", "use of this source code is governed by a bsd-style license that can be found in the license file"],
     "apache-grant": ["licensed under the apache license, version 2.0 (the license); you may not use this file except in compliance with the license", "licensed under the apache license, version 2.0 (the license)"],
     "apache-copy": ["you may obtain a copy of the license at http://www.apache.org/licenses/license-2.0", "you may obtain a copy of the license at"],
     "apache-asis": ["unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis, without warranties or conditions of any kind, either express or implied"],
     "apache-see": ["see the license for the specific language governing permissions and limitations under the license"],
-    "apache-short": ["licensed under the apache license, version 2.0", "licensed under the apache license 2.0", "released under the apache license, version 2.0"],
-    "gpl3-short": ["this work is licensed under the gnu general public license, version 3", "licensed under the gnu general public license, version 3", "licensed under the gnu general public license version 3"],
-    "gpl2-short": ["this work is licensed under the gnu general public license, version 2", "licensed under the gnu general public license, version 2", "licensed under the gnu general public license version 2"],
+    "apache-title": ["apache license version 2.0, january 2004"],
+    "apache-short": ["<name> is licensed under the apache license, version 2.0", "<name> is released under the apache license, version 2.0", "licensed under the apache license, version 2.0", "licensed under the apache license 2.0", "released under the apache license, version 2.0"],
+    "gpl3-title": ["gnu general public license version 3, 29 june 2007"],
+    "gpl3-preamble": ["the gnu general public license is a free, copyleft license for software and other kinds of works"],
+    "gpl2-title": ["gnu general public license version 2, june 1991"],
+    "lgpl21-title": ["gnu lesser general public license version 2.1, february 1999"],
+    "lgpl3-title": ["gnu lesser general public license version 3, 29 june 2007"],
+    "agpl3-title": ["gnu affero general public license version 3, 19 november 2007"],
+    "gnu-verbatim": ["everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"],
+    "mpl2-title": ["mozilla public license version 2.0", "mozilla public license, version 2.0"],
+    "cc-by-title": ["creative commons attribution 4.0 international public license"],
+    "cc-by-sa-title": ["creative commons attribution-sharealike 4.0 international public license"],
+    "cc-by-nc-title": ["creative commons attribution-noncommercial 4.0 international public license"],
+    "cc0-title": ["cc0 1.0 universal"],
+    "epl2-title": ["eclipse public license - v 2.0"],
+    "gpl3-short": ["<name> is licensed under the gnu general public license, version 3", "this work is licensed under the gnu general public license, version 3", "licensed under the gnu general public license, version 3", "licensed under the gnu general public license version 3"],
+    "gpl2-short": ["<name> is licensed under the gnu general public license, version 2", "this work is licensed under the gnu general public license, version 2", "licensed under the gnu general public license, version 2", "licensed under the gnu general public license version 2"],
     "gpl-grant": ["this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version"],
     "gpl2-grant": ["this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version"],
     "gpl-hope": ["this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose"],
@@ -87,7 +102,22 @@ SENTENCES = {
 RULES = [
     ("BSD-4-Clause", ["bsd-head", "bsd-source", "bsd-binary", "bsd-4-ad"]),
     ("BSD-3-Clause", ["bsd-head", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-3-Clause", ["bsd-head", "bsd-source", "bsd-binary", "bsd-endorse-any"]),
     ("BSD-2-Clause", ["bsd-head", "bsd-source", "bsd-binary"]),
+    ("GPL-3.0", ["gpl3-title", "gnu-verbatim"]),
+    ("GPL-3.0", ["gpl3-title"]),
+    ("GPL-3.0", ["gpl3-preamble"]),
+    ("GPL-2.0", ["gpl2-title"]),
+    ("LGPL-2.1", ["lgpl21-title"]),
+    ("LGPL-3.0", ["lgpl3-title"]),
+    ("AGPL-3.0", ["agpl3-title"]),
+    ("MPL-2.0", ["mpl2-title"]),
+    ("Apache-2.0", ["apache-title"]),
+    ("CC-BY-4.0", ["cc-by-title"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-title"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-title"]),
+    ("CC0-1.0", ["cc0-title"]),
+    ("EPL-2.0", ["epl2-title"]),
     ("MIT", ["mit-grant", "mit-notice", "as-is", "liability"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("MIT", ["mit-short"]),
@@ -141,24 +171,46 @@ RULES = [
     ("BSD", ["bsd-short"]),
 ]
 
-ENDS, BREAK, EDGES, QUOTES = r"[.!?][\x20\x09-\x0D]+", r"[\n\r]+", r"^[\x20\x09-\x0D#*/;.,!?-]+|[\x20\x09-\x0D*/;.,!?-]+$", "[\"'`]"
+ENDS, EDGES, QUOTES = r"[.!?][\x20\x09-\x0D]+", r"^[\x20\x09-\x0D#*/;.,!?-]+|[\x20\x09-\x0D*/;.,!?-]+$", "[\"'`]"
 #: How lines become comparable after the sentences' ends are marked by \r. Nothing here takes more than linear time.
 LINES = [(QUOTES, ""), (r"[\x20\x09\x0B\x0C]+", " "), (r" ?(?:\*/?|//)? ?\n[ #*/;-]*+", "\n"), (r"\n\n+", "\r"), (r": ?\n", ":\r"), ("licence", "license")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+SLOT, NAME = "<name>", r"[^\n\r]{1,120}?"
+#: What stands for a blank between two words, and for the mark of a sentence's end: in the text as it is, and in one where
+#: these marks are doubled for engines that can't look ahead.
+ONCE, TWICE = (r"[ \n]", r"\r"), (r"(?: |\n\n)", r"\r\r")
+
+
+def key_of(sentence: str) -> str:
+    """A known sentence as the normalised text has it: ends within it marked (as after `v.`), edges stripped."""
+    return re.sub(EDGES, "", re.sub(ENDS, "\r", sentence))
+
+
+def pattern_of(sentence: str, blank: str, end: str) -> str:
+    literal = lambda x: re.escape(x).replace(r"\ ", " ").replace("\\\r", "\r").replace(" ", blank).replace("\r", end)
+    return NAME.join(literal(part) for part in key_of(sentence).split(SLOT))
+
+
+def known_of(sentences: dict[str, list[str]]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(sentence, identifier) without names in them and with, the longest first."""
+    every = sorted(((s, k) for k, many in sentences.items() for s in many), key=lambda x: -len(x[0]))
+    return [x for x in every if SLOT not in x[0]], [x for x in every if SLOT in x[0]]
+
+
 def identifier_of(sentence: Column, sentences: dict[str, list[str]] = SENTENCES) -> Column:
-    known = [(s, k) for k, many in sentences.items() for s in many]
-    return F.try_element_at(F.create_map(*(F.lit(x) for pair in known for x in pair)), sentence)
+    """The identifier of a sentence as it was found, line ends turned to blanks."""
+    whole, named = known_of(sentences)
+    exact = F.try_element_at(F.create_map(*(F.lit(x) for s, k in whole for x in (key_of(s), k))), sentence) if whole else F.lit(None).cast("string")
+    return F.coalesce(exact, *(F.when(sentence.rlike(f"^{pattern_of(s, ' ', chr(13))}$"), k) for s, k in named))
 
 
 def wanted(sentences: dict[str, list[str]] = SENTENCES) -> str:
-    """Finds known sentences in normalised text, the longest that ends where a line or sentence does.
-
-    Those that a cut at full stops takes apart, or that end in characters that are stripped, are none.
-    """
-    whole = [s for many in sentences.values() for s in many if not re.search(ENDS, s) and not re.search(EDGES, s)]
-    known = "|".join(r"[ \n]".join(map(re.escape, s.split(" "))) for s in sorted(whole, key=len, reverse=True))
+    """Finds known sentences in normalised text, the longest that ends where a line or sentence does; those that name
+    something of their own come after all others."""
+    whole, named = known_of(sentences)
+    known = "|".join(pattern_of(s, *ONCE) for s, _ in whole + named)
     return rf"(?:^|[\n\r])[ #*/;.,!?-]*+({known})(?=[ */;.,!?-]*+(?:[\n\r]|\z))"
 
 
@@ -192,11 +244,24 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _in_sql(s: str) -> str:
+    """A string or pattern as SQL has it, control characters by their numbers."""
+    parts = re.split("([\n\r])", s)
+    return " || ".join(f"chr({ord(p)})" if p in ("\n", "\r") else _quoted(p) for p in parts if p) or "''"
+
+
 def scan_sql() -> str:
-    """The same in DuckDB's SQL."""
-    known = ", ".join(f"{_quoted(s)}: {_quoted(k)}" for k, many in SENTENCES.items() for s in many)
-    marked = f"regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ENDS}', chr(10), 'g'), '{BREAK}', chr(10), 'g')"
-    clean = f"regexp_replace(replace(regexp_replace(regexp_replace(s, {_quoted(QUOTES)}, '', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), 'licence', 'license'), '{EDGES}', '', 'g')"
+    """The same in DuckDB's SQL: lines that are wrapped included. Marks of ends are doubled there, as its patterns can't look
+    ahead: a sentence takes one of them before and one after it."""
+    whole, named = known_of(SENTENCES)
+    clean = f"regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '\\r\\n?', chr(10), 'g')"
+    for pattern, by in [(ENDS, "\r"), *LINES]:
+        clean = f"regexp_replace({clean}, {_quoted(pattern.replace('*+', '*'))}, {_in_sql(by)}, 'g')"
+    twice = f"replace(replace({clean}, chr(10), chr(10) || chr(10)), chr(13), chr(13) || chr(13))"
+    pattern = f"(?:^|[\\n\\r])[ #*/;.,!?-]*({'|'.join(pattern_of(s, *TWICE) for s, _ in whole + named)})[ */;.,!?-]*(?:[\\n\\r]|\\z)"
+    once = "replace(replace(s, chr(10) || chr(10), ' '), chr(13) || chr(13), chr(13))"
+    known = ", ".join(f"{_in_sql(key_of(s))}: {_quoted(k)}" for s, k in whole)
+    cases = " ".join(f"WHEN regexp_full_match({once}, {_quoted(pattern_of(s, ' ', chr(92) + 'r'))}) THEN {_quoted(k)}" for s, k in named)
     ctes, prev = [], "b"
     for i, (_, ids) in enumerate(RULES):
         at = _quoted("|" + "||".join(ids) + "|")
@@ -204,8 +269,8 @@ def scan_sql() -> str:
         prev = f"r{i}"
     hits = ", ".join(f"CASE WHEN hit{i} THEN {_quoted(name)} END" for i, (name, _) in enumerate(RULES))
     return f"""
-WITH s AS (SELECT doc_id, list_filter(string_split({marked}, chr(10)), lambda s: length(s) BETWEEN 10 AND 600) AS ss FROM documents),
-k AS (SELECT doc_id, list_filter(list_transform(ss, lambda s: MAP {{{known}}}[{clean}]), lambda x: x IS NOT NULL) AS ids FROM s),
+WITH s AS (SELECT doc_id, regexp_extract_all({twice}, {_quoted(pattern)}, 1) AS ss FROM documents),
+k AS (SELECT doc_id, list_filter(list_transform(ss, lambda s: coalesce(MAP {{{known}}}[{once}], CASE {cases} END)), lambda x: x IS NOT NULL) AS ids FROM s),
 b AS (SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS sentence_ids, CAST(len(ids) AS BIGINT) AS n_sentences, '|' || replace(coalesce(array_to_string(ids, ','), ''), ',', '||') || '|' AS rest FROM k),
 {", ".join(ctes)},
 u AS (SELECT doc_id, sentence_ids, n_sentences, list_filter([{hits}], lambda x: x IS NOT NULL) AS l FROM {prev})
