@@ -491,7 +491,7 @@ _SITES = "'The PLANT in ' || a.n_name || ' is open. Its ' || b.n_name || ' site
 
 
 @query(
-    f"""WITH d AS (SELECT c_custkey AS doc_id, {_SITES} AS t FROM customer JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = (c_nationkey + c_custkey) % 25),
+    rf"""WITH d AS (SELECT c_custkey AS doc_id, {_SITES} AS t FROM customer JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = (c_nationkey + c_custkey) % 25),
 s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '[.;]+'), lambda x: trim(x)), lambda x: NOT contains(x, '없음')) AS s FROM d),
 r AS (SELECT doc_id, n_nationkey AS item, list_filter(s, lambda x: regexp_matches(x, '(?i)plant (in|of) ' || n_name) OR regexp_matches(x, '(?i)' || n_name || '\s+site')) AS e FROM s, nation)
 SELECT doc_id, item, CASE WHEN len(e) = 0 THEN 'no_evidence' WHEN len(list_filter(e, lambda x: contains(x, 'closed'))) > 0 THEN 'risk' ELSE 'compliant' END AS label, array_to_string(e, '|') AS evidence, CAST(len(list_filter(e, lambda x: contains(x, 'audited'))) > 0 AS INT) AS audited FROM r"""
