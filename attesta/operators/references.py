@@ -81,9 +81,12 @@ def split_numbered(elements: DataFrame) -> DataFrame:
 
 
 def merge_lines(ls: Column) -> Column:
-    """Lines joined with a blank, without one between two letters or digits of a broken word; DOIs mended."""
-    fold = F.aggregate(ls, F.lit(""), lambda a, l: F.when(a == "", F.trim(l)).when(a.rlike(r"[\p{L}\p{N}]-$"), F.concat(a, F.trim(l))).otherwise(F.concat(a, F.lit(" "), F.trim(l))))
-    return F.regexp_replace(fold, r"10\. (\d{4,9}/)", "10.$1")
+    """Lines joined with a blank, but without one between two letters or digits, where a word or an id was broken; blank
+    lines go, DOIs are mended."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    joined = F.array_join(F.filter(F.transform(ls, strip), lambda x: x != ""), "\n")
+    glued = F.regexp_replace(joined, r"(?<=[\p{L}\p{N}])\n(?=[\p{L}\p{N}])", "")
+    return F.regexp_replace(F.replace(glued, F.lit("\n"), F.lit(" ")), r"10\.\s+(\d{4,9}/)", "10.$1")
 
 
 def merge_across_pages(items: DataFrame) -> DataFrame:
@@ -232,11 +235,18 @@ def downgrade(matches: DataFrame) -> DataFrame:
 
 
 def union_registries(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Papers of two sources (doi, url, title, ord, ...), one per DOI, else URL, else title; the first source wins."""
-    key = F.coalesce(F.lower("doi"), F.col("url"), F.left(F.lower("title"), F.lit(80)))
-    both = first.withColumn("source_rank", F.lit(1)).unionByName(second.withColumn("source_rank", F.lit(2))).withColumn("key", key)
-    best = F.row_number().over(Window.partitionBy("key").orderBy("source_rank", "ord"))
-    return both.withColumn("k", best).where("k = 1").drop("k")
+    """Papers of two sources (doi, url, title, ord, ...), one per DOI, else per URL, else per source and beginning of the title.
+
+    The first source wins. Of its papers with one DOI the last counts, at the first one's place in ord; of all others the
+    first.
+    """
+    both = first.withColumn("source_rank", F.lit(1)).unionByName(second.withColumn("source_rank", F.lit(2)))
+    key = F.coalesce(F.concat(F.lit("d:"), F.lower("doi")), F.concat(F.lit("u:"), "url"), F.concat(F.lit("t"), F.col("source_rank").cast("string"), F.lit(":"), F.left("title", F.lit(20))))
+    w = Window.partitionBy("key")
+    later = F.col("doi").isNotNull() & (F.col("source_rank") == 1)
+    best = F.row_number().over(w.orderBy("source_rank", F.when(later, -F.col("ord")).otherwise(F.col("ord"))))
+    both = both.withColumn("key", key).withColumns({"k": best, "place": F.min("ord").over(Window.partitionBy("key", "source_rank"))})
+    return both.where("k = 1").withColumn("ord", F.col("place")).drop("k", "place")
 
 
 def best_candidate(candidates: DataFrame) -> DataFrame:

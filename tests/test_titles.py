@@ -161,3 +161,39 @@ def test_empty_tables(spark):
     assert references.verify(none, g).collect() == []
     one = spark.createDataFrame([(1, "a title of its own", None, None, None, None, "article")], REFS)
     assert [r["status"] for r in references.verify(one, g).collect()] == ["unverified"]
+
+
+def test_lines_of_a_reference_are_merged_by_their_ends(spark):
+    def plain(lines):
+        out = []
+        for line in (x.strip() for x in lines if x.strip()):
+            if out and out[-1][-1].isalnum() and line[0].isalnum():
+                out[-1] += line
+            else:
+                out.append(line)
+        return " ".join(out)
+
+    r = random.Random(6)
+    cases = [["".join(r.choices("ab 9.-한,", k=r.randint(0, 5))) for _ in range(r.randint(0, 6))] for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, ls array<string>")
+    got = {x.i: x.t for x in df.select("i", references.merge_lines(F.col("ls")).alias("t")).collect()}
+    assert got == {i: plain(c) for i, c in enumerate(cases)}
+    mended = spark.createDataFrame([(["doi: 10.", "1234/ab"],)], "ls array<string>").select(references.merge_lines(F.col("ls")).alias("t")).first().t
+    assert mended == "doi: 10.1234/ab"
+
+
+def test_papers_of_two_sources_as_a_dictionary_has_them(spark):
+    r = random.Random(8)
+    some = lambda n: [(r.choice([None, *(f"10.1/{k}" for k in range(6))]), r.choice([None, "u1", "u2"]), r.choice(["a title of twenty characters and more", "a title of twenty characters and other", "b"]), i) for i in range(n)]
+    for _ in range(4):
+        first, second, want = some(14), some(14), {}
+        for rank, rows in ((1, first), (2, second)):
+            for doi, url, title, o in rows:
+                key = doi or url or (rank, title[:20])
+                if doi and rank == 1:
+                    want[key] = ((doi, url, title), rank, want[key][2] if key in want else o)
+                elif key not in want:
+                    want[key] = ((doi, url, title), rank, o)
+        frame = lambda x: spark.createDataFrame(x, "doi string, url string, title string, ord long")
+        got = {((x.doi, x.url, x.title), x.source_rank, x.ord) for x in references.union_registries(frame(first), frame(second)).collect()}
+        assert got == set(want.values())
