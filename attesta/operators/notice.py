@@ -42,10 +42,13 @@ def dates(docs: DataFrame, today: Column, id_col: str = "doc_id", text_col: str
     a score, a size or no date gives nothing. Of equal dates and times on a line the first stays.
     """
     # Two numbers with a sign between them are found quickly, and few lines have any.
-    l = lines(docs, id_col, text_col).where(F.col("line").rlike(r"\d\s*[-./월]\s*\d"))
+    kind = F
+    for name, words in DATE_KINDS:
+        kind = kind.when(F.col("line").rlike(f"{LEFT}(?:{words}){RIGHT}"), name)
+    l = lines(docs, id_col, text_col).where(F.col("line").rlike(r"\d\s*[-./월]\s*\d")).withColumn("kind", kind.otherwise("other"))
     after = let(F.split("line", _ONE, -1), lambda x: F.slice(x, F.lit(2), F.size(x)))
     pieces = F.zip_with(F.regexp_extract_all("line", F.lit(_ONE), F.lit(0)), after, lambda d, rest: F.struct(d.alias("raw"), rest.alias("rest")))
-    d = l.select("doc_id", "line_no", "line", F.posexplode(pieces).alias("i", "p")).select("doc_id", "line_no", "line", "i", "p.*")
+    d = l.select("doc_id", "line_no", "kind", F.posexplode(pieces).alias("i", "p")).select("doc_id", "line_no", "kind", "i", "p.*")
     part = lambda k: F.regexp_extract("raw", DATE, k).try_cast("int")
     day_of = lambda y: F.try_to_date(F.format_string("%04d-%02d-%02d", y, part(2), part(3)), "yyyy-MM-dd")
     this = day_of(F.year(today))
@@ -59,10 +62,7 @@ def dates(docs: DataFrame, today: Column, id_col: str = "doc_id", text_col: str
     evening = F.col("rest").rlike(r"^[^\d]{0,12}오후") & (hour < 12)
     time = F.when(F.col("rest").rlike(r"^[^\d]{0,8}자정"), "24:00").when(hour.isNotNull(), F.format_string("%02d:%02d", hour + F.when(evening, 12).otherwise(0), F.coalesce(minute, F.lit(0))))
     weekday = F.substring(F.lit(WEEKDAYS), F.weekday("date") + 1, F.lit(1))
-    kind = F
-    for name, words in DATE_KINDS:
-        kind = kind.when(F.col("line").rlike(f"{LEFT}(?:{words}){RIGHT}"), name)
-    d = d.withColumns({"time": time, "weekday": weekday, "weekday_in_text": said, "kind": kind.otherwise("other")})
+    d = d.withColumns({"time": time, "weekday": weekday, "weekday_in_text": said})
     first = F.row_number().over(Window.partitionBy("doc_id", "line_no", "date", "time").orderBy("i"))
     return d.withColumn("k", first).where("k = 1").select("doc_id", "line_no", "raw", "date", "time", "year_inferred", "weekday", "weekday_in_text", (F.col("weekday_in_text") != F.col("weekday")).alias("weekday_mismatch"), "kind")
 

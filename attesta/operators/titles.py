@@ -158,11 +158,17 @@ def _passes(titles: DataFrame, size: int) -> int:
     return max(1, math.ceil(titles.count() / size))
 
 
+def _spread(titles: DataFrame) -> DataFrame:
+    """Titles over all cores: the work on a block is long, however few bytes it has."""
+    spark = titles.sparkSession
+    return titles.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "t")
+
+
 def similar_titles(left: DataFrame, right: DataFrame, least: float, size: int = PASS) -> DataFrame:
     """left, right: title. All pairs of different normalised titles whose similarity is `least` or more: left_title,
     right_title, similarity. Empty titles have none. As many rows as there are such pairs: use best_match for one a title."""
     norm = lambda df: df.select(T.normalize_reference(F.col("title")).alias("t")).where("t <> ''").distinct()
-    mine, others = stored(norm(left)), stored(norm(right))
+    mine, others = stored(norm(left)), stored(_spread(norm(right)))
     out = []
     for p in range(n := _passes(mine, size)):
         own = mine.where(F.pmod(F.xxhash64("t"), F.lit(n)) == p).toArrow()["t"].to_pylist()
@@ -264,7 +270,7 @@ def best_match(refs: DataFrame, registry: DataFrame, least: float, size: int = P
     author = F.when(F.col("first_author").isNotNull(), T.normalize_reference(F.col("first_author"))).alias("a")
     own = stored(refs.select("title", "first_author", "year").distinct().select("title", "first_author", "year", norm, author, year).where("t <> ''"))
     first = F.min(F.struct("rank", "ord", F.col("doi").isNull().alias("none"), "doi")).alias("f")
-    records = stored(registry.select(norm, author, year, F.col("rank").cast("int").alias("rank"), F.coalesce(F.col("ord").cast("long"), F.lit(0)).alias("ord"), "doi").where("t <> ''").groupBy("t", "a", "y").agg(first).select("t", "a", "y", "f.rank", "f.ord", "f.doi"))
+    records = stored(_spread(registry.select(norm, author, year, F.col("rank").cast("int").alias("rank"), F.coalesce(F.col("ord").cast("long"), F.lit(0)).alias("ord"), "doi").where("t <> ''").groupBy("t", "a", "y").agg(first).select("t", "a", "y", "f.rank", "f.ord", "f.doi")))
     keys = own.select("t", "a", "y").distinct()
     # A longer title could be another one by so little that it rounds to 1.
     same = keys.where(F.length("t") < 10_000).alias("k").join(records.alias("r"), "t")
