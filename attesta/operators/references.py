@@ -169,9 +169,10 @@ def parse_references(refs: DataFrame, raw_col: str = "raw") -> DataFrame:
 
 def extract_claims(blocks: DataFrame) -> DataFrame:
     """blocks: doc_id, ord, page, text. One row per sentence and marker: doc_id, ord, sentence_no, claim, marker_type, marker_value, page."""
-    s = blocks.select("doc_id", "ord", "page", F.posexplode(T.sentences(F.col("text"))).alias("sentence_no", "claim"))
+    # explode() would have Spark make sentences and markers twice, first for the arrays' sizes.
+    s = blocks.select("doc_id", "ord", "page", F.posexplode_outer(T.sentences(F.col("text"))).alias("sentence_no", "claim")).where("claim IS NOT NULL")
     marks = F.concat(F.transform(T.number_markers(F.col("claim")), lambda v: F.struct(F.lit("number").alias("marker_type"), v.alias("marker_value"))), F.transform(T.author_year_markers(F.col("claim")), lambda v: F.struct(F.lit("author_year").alias("marker_type"), v.alias("marker_value"))))
-    return s.select("doc_id", "ord", "sentence_no", "claim", "page", F.explode(marks).alias("m")).select("doc_id", "ord", "sentence_no", "claim", "page", "m.*")
+    return s.select("doc_id", "ord", "sentence_no", "claim", "page", F.explode_outer(marks).alias("m")).where("m IS NOT NULL").select("doc_id", "ord", "sentence_no", "claim", "page", "m.*")
 
 
 def reference_marker(t: Column) -> Column:
@@ -206,7 +207,7 @@ def first_matching_reference(claims: DataFrame, refs: DataFrame) -> DataFrame:
 
     References list all the markers they answer to, so the search is an equi-join and not a comparison of every pair.
     """
-    m = refs.select("doc_id", "ref_id", F.explode(markers_within(F.col("text"))).alias("m")).groupBy("doc_id", "m.marker_type", "m.marker_value").agg(F.min("ref_id").alias("ref_id"))
+    m = refs.select("doc_id", "ref_id", F.explode_outer(markers_within(F.col("text"))).alias("m")).where("m IS NOT NULL").groupBy("doc_id", "m.marker_type", "m.marker_value").agg(F.min("ref_id").alias("ref_id"))
     return claims.join(m, ["doc_id", "marker_type", "marker_value"], "left")
 
 
