@@ -9,7 +9,7 @@ from attesta.operators import notice
 from attesta.storage import spread
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-DEALT = ["notice_long_line", "law_claim_check", "notice_date_kinds", "claim_ref_first_match", "checklist_labels", "claim_markers", "notice_details", "checklist_axis_summary", "reference_extraction", "claims_per_doc", "notice_analysis", "link_missing", "sql_analyze_notice", "notice_score_tables", "ref_cross_page_merge"]
+DEALT = ["notice_long_line", "law_claim_check", "notice_date_kinds", "claim_ref_first_match", "checklist_labels", "claim_markers", "notice_details", "checklist_axis_summary", "reference_extraction", "claims_per_doc", "notice_analysis", "link_missing", "sql_analyze_notice", "notice_score_tables", "ref_cross_page_merge", "pii_csv_accounts"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
