@@ -88,3 +88,11 @@ def test_words_come_before_patterns_of_dates(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
 def test_a_sum_of_points_searches_no_percentages(spark):
     assert "*%" not in plan_of(spark, "notice_score_tables").replace(r"(?:점|%)", "")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+@pytest.mark.parametrize("name", ["notice_analysis", "notice_details"])
+def test_parts_of_a_notice_are_never_broadcast(spark, name):
+    """Their estimated size is that of a column of keys, whatever is found in the texts."""
+    p = plan_of(spark, name)
+    assert "Broadcast" not in p and p.count("Exchange ") == p.count("REPARTITION_BY_NUM")
