@@ -213,3 +213,14 @@ def test_unlike_titles_are_left_out_without_their_subsequences():
         found |= {(i, j) for j, most, begin in near if pass_.similarity(i, others[j], most, begin) >= 0.72}
     assert found == {(k, 1000 * k) for k in range(8)}
     assert time.process_time() - began < 15
+
+
+def test_steps_leave_few_of_the_pairs_with_a_common_word():
+    """Three million pairs of unlike titles that begin with the same word; what is left has its subsequences computed."""
+    import hashlib
+
+    made_ = lambda i: "study " + hashlib.sha256(str(i).encode()).hexdigest()
+    own = titles.Titles([made_(i) for i in range(700)], 0.72)
+    block = titles.Block([made_(i) for i in range(10_000, 14_096)], own.alphabet)
+    left = sum(len(rows) for c in own.classes for _, rows in c.near(block))
+    assert left < 0.003 * 700 * 4096
